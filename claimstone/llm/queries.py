@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from claimstone.llm import language, mixing, simhash, tokens, toxicity, warc
+from claimstone.llm import contamination, language, media, mixing, quality, simhash, tokens, toxicity, warc
 
-MODULES = (warc, simhash, tokens, toxicity, mixing, language)
+MODULES = (warc, simhash, media, quality, contamination, tokens, toxicity, mixing, language)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
