@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimstone.functions import text
-from claimstone.operators import retrieval
+from claimstone.operators import chunking, retrieval, similarity
 
-MODULES = (text, retrieval)
+MODULES = (text, chunking, retrieval, similarity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}
