@@ -134,7 +134,7 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    """OGG: pages that follow on each other, from a first page on."""
+    """OGG: pages that follow on each other, from a first page to a last one."""
     p = at
     while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
         table_end = p + 27 + b[p + 26]
@@ -146,7 +146,7 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
         last, p = b[p + 5] & 4, size
         if last:
             return "audio/ogg", p
-    return ("audio/ogg", p) if p > at else None
+    return None
 
 
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
@@ -228,7 +228,7 @@ def sniff(df: DataFrame, *, content_col: str, declared_col: str | None = None, o
     media = F.col(f"{out}_all")
     declared = F.lower(F.trim(F.col(declared_col))) if declared_col else F.lit(None).cast("string")
     known = declared.isin("audio/wav", "image/webp", *[k for k in VALIDATORS if k != "riff"])
-    first = F.filter(media, lambda m: m["start"] == 0)[0]["type"]
+    first = F.get(F.filter(media, lambda m: m["start"] == 0), F.lit(0))["type"]
     detected = F.coalesce(first, F.when(~known, declared), F.lit("application/octet-stream"))
     held = F.filter(media, lambda m: m["start"] > 0)
     return df.withColumn(f"{out}_all", _media(F.coalesce(F.col(content_col), F.lit(b"")))).withColumn(
