@@ -87,7 +87,10 @@ class Network:
         doc = np.repeat(np.arange(len(starts)), sizes)
         back = (wrong[:, None] * p["out"])[doc]
         mean, most, least = (back[:, k * FILTERS : (k + 1) * FILTERS] for k in range(3))
-        dh = mean / sizes[doc][:, None] + most * (h == d[doc, FILTERS : 2 * FILTERS]) + least * (h == d[doc, 2 * FILTERS :])
+        dh = mean / sizes[doc][:, None]
+        for part, k in ((most, 1), (least, 2)):  # chunks that share an extreme share its gradient
+            holds = h == d[doc, k * FILTERS : (k + 1) * FILTERS]
+            dh = dh + part * holds / np.add.reduceat(holds.astype(np.float32), starts)[doc]
         dz = dh * (1 - h * h)
         rows = np.arange(len(chunks))[:, None]
         picked = x[rows, best]  # (chunks, filters, window)
@@ -143,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held:
 
 
 def score(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 of every whole text; a null text is empty, which scores like any."""
+    """``docs`` with ``score`` (replaced if it is there), the probability of label 1 of every whole text; a null text is empty, which scores like any."""
 
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
