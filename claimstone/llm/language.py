@@ -114,7 +114,7 @@ def train(docs: DataFrame, *, rows: int = SAMPLE_ROWS, folds: int = 4, held: int
     """Profiles from at most ``rows`` documents a language, outside fold ``held``; null languages, texts and ids don't count."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = stored(known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang"), "ids")
+    ids = stored(known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang").distinct(), "ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sample = known.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
@@ -127,7 +127,7 @@ PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("sc
 
 
 def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` for every row; ``und`` and 0 where the text is null or has no letter."""
+    """``docs`` with ``guess`` (``lang_pred, score``; replaced if it is there) for every row; ``und`` and 0 where the text is null or has no letter."""
 
     @F.pandas_udf(PREDICTION)
     def predicted(texts: pd.Series) -> pd.DataFrame:

@@ -35,8 +35,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) -> np.ndarray:
     """Weights, the bias last, of an L2-regularised logistic model by Newton's method.
 
-    The bias is free; with labels of one kind only, it alone carries their rate.
+    The bias is free; with labels of one kind only, it alone carries their rate.  Without
+    any row nothing has the label: the bias alone is set, to -20.
     """
+    if not len(x):
+        return np.append(np.zeros(x.shape[1]), -20.0)
     x = np.column_stack([x, np.ones(len(x))])
     ridge = np.full(x.shape[1], l2)
     ridge[-1] = 1e-2

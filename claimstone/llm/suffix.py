@@ -337,16 +337,17 @@ def _kept_texts(packed: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``packed`` (the text's bytes, compressed) and ``spans``: the byte ranges that go, null for none; ranges may overlap.
+    """``row, packed, spans`` for every row of ``docs``: the row itself as a struct, its text's bytes (compressed), and the byte ranges that go.
 
-    Null texts are empty.  Documents without an id come after all others and don't affect
-    each other, nor do rows with equal ids.  Texts shorter than LENGTH lose nothing.  Extra
-    columns are kept.  Text crosses the shuffle compressed, twice: to the anchors that are
-    repeated in it and to its spans.
+    ``spans`` is null for none; ranges may overlap.  Null texts are empty.  Documents
+    without an id come after all others and don't affect each other, nor do rows with equal
+    ids.  Texts shorter than LENGTH lose nothing.  Extra columns ride along in ``row``,
+    whatever their names.  Text crosses the shuffle compressed, twice: to the anchors that
+    are repeated in it and to its spans.
     """
-    own = [c for c in docs.columns if c not in ("id", "mark", "packed", "spans", "cold", "hot")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(*own, F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).isNull().alias("bare"),
+                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
     long = keyed.where(F.octet_length("_text") >= LENGTH).select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col("_text").alias("text"))
     rows = long.select("id", "text").mapInPandas(_anchor_rows, "anchor long, id long, n long")
     # Rows with n = 0 are known to be repeated and only pass; no anchor brings more than one row of a batch to its group.
@@ -361,7 +362,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     open_rows = pieces.where("body is not null").select("key", "id", "mark", "start", "body").repartition("key").sortWithinPartitions("key", "id")
     spans = open_rows.mapInPandas(_compared, "id long, mark long, start int, end int").unionByName(pieces.where("body is null").select("id", "mark", "start", "end"))
     spans = stored(spans.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    return keyed.withColumn("packed", _packed("_text")).drop("_text").join(spans, ["_id", "_mark"], "left").select(*own, "packed", "spans")
+    return keyed.withColumn("packed", _packed("_text")).drop("_text").join(spans, ["_id", "_mark"], "left").select("row", "bare", "packed", "spans")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,14 +371,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A character goes if all its bytes do, so that what stays is text.  Null texts stay null.
     """
     found = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    cut = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(_kept_texts("packed", "spans"))
-    return found.withColumn(text_col, cut).select(*docs.columns)
+    cut = F.when(~F.col("bare"), _kept_texts("packed", "spans"))
+    return found.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from, and kept of, every document."""
     found = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", _digests("packed", "spans").alias("d")).select("doc_id", "d.*")
+    return found.select("row.doc_id", _digests("packed", "spans").alias("d")).select("doc_id", "d.*")
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}

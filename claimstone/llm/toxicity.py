@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held:
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns ``toxicity`` (the probabilities of CATEGORIES) for every row; a null text is empty."""
+    """``docs`` with ``toxicity`` (the probabilities of CATEGORIES; replaced if it is there) for every row; a null text is empty."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scored(texts: pd.Series) -> pd.Series:
