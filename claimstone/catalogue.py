@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimstone.functions import text
+from claimstone.functions import facts, text
 from claimstone.operators import chunking, intervals, jobs, retrieval, similarity
+from claimstone.plans import requirements
 
-MODULES = (text, chunking, retrieval, similarity, intervals, jobs)
+MODULES = (text, facts, chunking, retrieval, similarity, intervals, jobs, requirements)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -252,10 +252,23 @@ def _relevance_sql(source: str, keep: str) -> str:
               CASE WHEN size < 20 THEN 'irrelevant' WHEN size < 50 THEN 'uncertain' WHEN garbage THEN 'irrelevant' WHEN s >= 1.5 THEN 'relevant' ELSE 'uncertain' END AS decision FROM d)"""
 
 
+def meaning_sql(column: str) -> str:
+    """DuckDB's expression for meaningful_tokens()."""
+    return f"list_filter(list_distinct({tokens_sql(column)}), lambda m: NOT list_contains([{_GENERIC}], m))"
+
+
 def _case(pairs: list[tuple[str, str]], column: str, other: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{n}'" for n, p in pairs) + f" ELSE '{other}' END"
 
 
+def priority_sql(column: str) -> str:
+    return _case(V.PRIORITIES, f"coalesce({column}, '')", "Medium")
+
+
+def category_sql(column: str) -> str:
+    return _case([(n, "|".join(map(re.escape, t)).replace(chr(92) + " ", " ")) for n, t in V.CATEGORIES], f"lower(coalesce({column}, ''))", "Functional Capability")
+
+
 _CARDS_SQL = r"""
     WITH r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\b\d{13,16}\b')) AS digits FROM documents),
     s AS (SELECT doc_id, digits, list_sum(list_transform(range(1, len(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INT
@@ -279,8 +292,7 @@ SQL = {
     "relevance_against_labels": _relevance_sql("documents", "doc_id") + " SELECT decision, quality, count(*) AS documents FROM r JOIN labels USING (doc_id) GROUP BY ALL",
     "numeric_claims": rf"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{V.NUMBER}')) AS x FROM documents)
         SELECT DISTINCT doc_id, regexp_replace(trim(lower(x)), '\s+', ' ', 'g') AS claim FROM n""",
-    "priorities": f"""SELECT {_case(V.PRIORITIES, "coalesce(text, '')", 'Medium')} AS priority,
-        {_case([(n, '|'.join(map(re.escape, t)).replace(chr(92) + ' ', ' ')) for n, t in V.CATEGORIES], "lower(coalesce(text, ''))", 'Functional Capability')} AS category, count(*) AS documents FROM documents GROUP BY ALL""",
+    "priorities": f"SELECT {priority_sql('text')} AS priority, {category_sql('text')} AS category, count(*) AS documents FROM documents GROUP BY ALL",
 }
 QUERIES = {
     "tokenize_counts": tokenize_counts, "conversation_tokens": conversation_tokens, "normalized_text": normalized_text, "text_keys": text_keys, "sampled_text": sampled_text,

@@ -179,7 +179,7 @@ def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_support(both, "claim", "evidence").select("item_id", "doc_id", "support")
 
 
-_BM25 = f"""
+BM25_SQL = f"""
     h AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents WHERE trim(text, ' ') <> ''),
     st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM h),
     tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM h) GROUP BY ALL),
@@ -197,28 +197,28 @@ def _cosine_sql(queries: str, scope: str = "") -> str:
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs)"""
 
 
-def _numbers_sql(column: str) -> str:
+def numbers_sql(column: str) -> str:
     return rf"list_distinct(list_transform(regexp_extract_all(coalesce({column}, ''), '{V.NUMBER}'), lambda x: regexp_replace(trim(lower(x)), '\s+', ' ', 'g')))"
 
 
 _MEANING = ", ".join(f"'{w}'" for w in V.GENERIC_TERMS)
 SQL = {
-    "bm25_topk": f"WITH {_BM25} SELECT query_id AS item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM bm WHERE rank <= 3",
+    "bm25_topk": f"WITH {BM25_SQL} SELECT query_id AS item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM bm WHERE rank <= 3",
     "index_stats": f"""WITH h AS (SELECT {tokens_sql('text')} AS t FROM documents WHERE trim(text, ' ') <> '')
         SELECT count(*) AS documents, round(avg(len(t)), 6) AS mean_tokens, (SELECT count(DISTINCT term) FROM (SELECT unnest(t) AS term FROM h)) AS vocabulary FROM h""",
     "frequent_terms": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 100",
     "vector_topk": f"WITH {_cosine_sql('q.vec_id % 20 = 0')} SELECT query_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM vr WHERE rank <= 5",
     "vector_topk_scoped": f"WITH {_cosine_sql('q.vec_id % 20 = 0', 'AND q.label = c.label')} SELECT query_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM vr WHERE rank <= 5",
-    "hybrid_topk": f"""WITH {_BM25}, {_cosine_sql('q.vec_id IN (SELECT item_id FROM benchmark)')},
+    "hybrid_topk": f"""WITH {BM25_SQL}, {_cosine_sql('q.vec_id IN (SELECT item_id FROM benchmark)')},
         l AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 5),
         v AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS s FROM vr WHERE rank <= 5),
         m AS (SELECT query_id, doc_id, round(0.5 * coalesce(l.s, 0) + 0.5 * coalesce(v.s, 0) + CASE WHEN l.s IS NOT NULL AND v.s IS NOT NULL THEN 0.1 ELSE 0 END, 6) AS score, l.rank AS lr, v.rank AS vr
               FROM l FULL JOIN v USING (query_id, doc_id)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lr NULLS LAST, vr) AS rank FROM m)
         SELECT query_id AS item_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5""",
-    "evidence_support": f"""WITH {_BM25},
+    "evidence_support": f"""WITH {BM25_SQL},
         p AS (SELECT b.item_id, d.doc_id, list_filter(list_distinct({tokens_sql('b.text')}), lambda x: NOT list_contains([{_MEANING}], x)) AS a,
-              list_filter(list_distinct({tokens_sql('d.text')}), lambda x: NOT list_contains([{_MEANING}], x)) AS e, {_numbers_sql('b.text')} AS na, {_numbers_sql('d.text')} AS ne
+              list_filter(list_distinct({tokens_sql('d.text')}), lambda x: NOT list_contains([{_MEANING}], x)) AS e, {numbers_sql('b.text')} AS na, {numbers_sql('d.text')} AS ne
               FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents d ON d.doc_id = bm.doc_id WHERE bm.rank <= 3)
         SELECT item_id, doc_id, round(CASE WHEN len(a) = 0 OR len(e) = 0 OR (len(na) > 0 AND len(ne) > 0 AND NOT list_has_any(na, ne)) THEN 0
                ELSE 0.75 * len(list_intersect(a, e)) / len(a) + 0.25 * len(list_intersect(a, e)) / len(e) END, 4)::DOUBLE AS support FROM p""",
