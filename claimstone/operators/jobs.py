@@ -75,7 +75,11 @@ def _status() -> Column:
 
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state that each job's last event shows, as published."""
-    last = latest(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"])
+    return public_states(latest(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]))
+
+
+def public_states(last: DataFrame) -> DataFrame:
+    """The last events of jobs as states, and as the states that are shown."""
     public = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PUBLIC_STATUS.items() for x in kv]), F.col("status")), F.col("status"))
     return last.withColumn("status", _status()).select("user_id", F.col("event_id").alias("last_event"), "status", public.alias("public_status"))
 

@@ -103,6 +103,12 @@ def duplicate_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(first, "key").groupBy("source").agg(F.count("*").alias("sentences"), F.count_if(F.col("doc_id") > F.col("first_id")).alias("repeated"))
 
 
+def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark statements alike enough to conflict and too different to be duplicates."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return near_pairs(items, token_classes(items), least=0.3).where(F.col("jaccard") < NEAR)
+
+
 _SETS = f"""
     k AS (SELECT doc_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM documents),
     c AS (SELECT s, min(doc_id) AS class_id FROM k GROUP BY s),
@@ -128,6 +134,12 @@ SQL = {
         f AS (SELECT key, min(doc_id) AS first_id FROM p WHERE length(key) >= 12 GROUP BY key)
         SELECT source, count(*) AS sentences, count(*) FILTER (WHERE doc_id > first_id) AS repeated FROM p JOIN f USING (key) GROUP BY source""",
 }
+SQL["conflict_pairs"] = f"""
+    WITH k AS (SELECT item_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM benchmark),
+    c AS (SELECT s, min(item_id) AS i FROM k WHERE len(s) >= 4 GROUP BY s),
+    p AS (SELECT a.i AS a, b.i AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM c a JOIN c b ON a.i < b.i)
+    SELECT * FROM p WHERE jaccard >= 0.3 AND jaccard < 0.8"""
 QUERIES = {
     "exact_dup_groups": exact_dup_groups, "near_dup_pairs": near_dup_pairs, "dup_components": dup_components, "dedup_survivors": dedup_survivors, "duplicate_statements": duplicate_statements,
+    "conflict_pairs": conflict_pairs,
 }
