@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimstone.functions import facts, text
-from claimstone.operators import chunking, intervals, jobs, retrieval, similarity
+from claimstone.operators import chunking, intervals, jobs, matching, retrieval, similarity
 from claimstone.plans import requirements
 from claimstone.sources import files
 from claimstone.streaming import events
 
-MODULES = (files, text, facts, chunking, retrieval, similarity, intervals, jobs, requirements, events)
+MODULES = (files, text, facts, chunking, retrieval, similarity, intervals, matching, jobs, requirements, events)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}

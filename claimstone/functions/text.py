@@ -109,6 +109,45 @@ def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop("_cards", "_text", *[f"_{k}" for k, _ in counts])
 
 
+LEGACY = StructType([StructField("masked", StringType()), *[StructField(k, IntegerType()) for k in ("emails", "phones", "credit_cards", "api_keys")]])
+
+
+@F.pandas_udf(LEGACY)
+def mask_pii_legacy(texts: pd.Series) -> pd.DataFrame:
+    """The second masking profile: emails, phones of 7 to 15 digits, cards of sound Luhn sums, keys, secrets with their quotes; all four counts."""
+    email, phone, card, secret = (re.compile(p) for p in (V.EMAIL, V.PHONE, V.CARD, V.SECRET))
+    keys = [re.compile(p) for _, p in V.KEYS]
+
+    def one(text: str) -> tuple[str, int, int, int, int]:
+        counts = {"phones": 0, "cards": 0}
+
+        def swap(kind: str, mask: str, fits) -> callable:
+            def run(m: re.Match) -> str:
+                digits = [int(c) for c in m[0] if c.isdigit()]
+                if not fits(digits):
+                    return m[0]
+                counts[kind] += 1
+                return mask
+
+            return run
+
+        def sound(digits: list[int]) -> bool:
+            back = digits[::-1]
+            return (sum(back[::2]) + sum(d * 2 - 9 * (d > 4) for d in back[1::2])) % 10 == 0
+
+        text, emails = email.subn("[EMAIL]", text)
+        text = phone.sub(swap("phones", "[PHONE]", lambda d: 7 <= len(d) <= 15), text)
+        text = card.sub(swap("cards", "[CREDIT_CARD]", sound), text)
+        found = 0
+        for key in keys:
+            text, n = key.subn("[API_KEY]", text)
+            found += n
+        text, n = secret.subn(r"\1\2[API_KEY]\4", text)
+        return text, emails, counts["phones"], counts["cards"], found + n
+
+    return pd.DataFrame([one(t) for t in texts], columns=LEGACY.names)
+
+
 def priority(text: Column) -> Column:
     """The explicit priority; Medium where none is stated."""
     out = F.lit("Medium")
@@ -193,6 +232,11 @@ def pii_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_pii(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.md5("masked").alias("masked_md5"), F.to_json("pii").alias("pii"))
 
 
+def pii_masked_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second profile over all documents."""
+    return _docs(spark, sf_dir).select("doc_id", mask_pii_legacy(F.coalesce("text", F.lit(""))).alias("m")).select("doc_id", F.md5("m.masked").alias("masked_md5"), "m.emails", "m.phones", "m.credit_cards", "m.api_keys")
+
+
 def pii_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each kind by source: the maps summed."""
     found = mask_pii(_docs(spark, sf_dir).select("source", "text")).select("source", F.explode("pii").alias("kind", "n"))
@@ -296,6 +340,6 @@ SQL = {
 }
 QUERIES = {
     "tokenize_counts": tokenize_counts, "conversation_tokens": conversation_tokens, "normalized_text": normalized_text, "text_keys": text_keys, "sampled_text": sampled_text,
-    "pii_emails": pii_emails, "pii_cards": pii_cards, "pii_masked": pii_masked, "pii_by_source": pii_by_source, "relevance_decisions": relevance_decisions,
+    "pii_emails": pii_emails, "pii_cards": pii_cards, "pii_masked": pii_masked, "pii_masked_legacy": pii_masked_legacy, "pii_by_source": pii_by_source, "relevance_decisions": relevance_decisions,
     "relevance_of_turns": relevance_of_turns, "relevance_against_labels": relevance_against_labels, "numeric_claims": numeric_claims, "priorities": priorities,
 }

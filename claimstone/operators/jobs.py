@@ -12,6 +12,8 @@ from claimstone.sources.tables import table
 
 # --- Fixed values: states, severities, public states -------------------------------------
 SEVERITIES = ["low", "medium", "high"]
+RETRYABLE = ["FAILED", "CANCELLED"]
+RUNNING = ["QUEUED", "RUNNING"]
 PUBLIC_STATUS = {"PARTIAL": "COMPLETED", "REJECTED": "COMPLETED"}
 BLOCKED_EXTENSIONS = [".html", ".htm", ".js", ".exe", ".sh", ".bat", ".php"]
 
@@ -53,6 +55,35 @@ def request_fingerprint(**fields: Column) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
+def creation_outcome(*, exists: Column, same_scope: Column, reprocess: Column, status: Column, same_request: Column) -> Column:
+    """What a request to create a job gets: ``code`` (202 made or queued again, 200 reported, 409 refused), ``outcome`` and whether it is ``dispatched``."""
+    def out(code: int, outcome: str, dispatched: bool = False) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(outcome).alias("outcome"), F.lit(dispatched).alias("dispatched"))
+
+    retryable = status.isin(RETRYABLE)
+    return (
+        F.when(~exists, out(202, "created", True)).when(~same_scope, out(409, "conflict of scope")).when(reprocess & ~retryable, out(409, "not retryable"))
+        .when(reprocess & ~same_request, out(409, "another request")).when(reprocess, out(202, "retried", True)).when(~same_request, out(409, "another request"))
+        .when(status.isin(RUNNING), out(202, "already running")).otherwise(out(200, "reported"))
+    )
+
+
+def coverage(requirements: DataFrame, stories: DataFrame) -> DataFrame:
+    """``item_id, coverage, story_id``: how each requirement (``item_id, disposition, label``) ended up.
+
+    ``stories``: ``story_id, ord, item_ids``.  In order: rejected and deferred ones, and
+    questions, assumptions and what is out of scope, have no story; proposed and uncertain
+    ones are to be reviewed; then the first story by ``ord`` that names the requirement
+    covers it, alone or with others; without one it is to be reviewed.
+    """
+    named = stories.select("story_id", "ord", F.size("item_ids").alias("n"), F.explode(F.array_distinct("item_ids")).alias("item_id"))
+    first = named.groupBy("item_id").agg(F.min(F.struct("ord", "story_id", "n")).alias("s"))
+    d, story = F.col("disposition"), F.col("s.story_id")
+    none = d.isin("rejected", "deferred") | F.col("label").isin("Open Question", "Out-of-Scope", "Assumption")
+    kind = F.when(none, "non_story").when(d.isin("proposed", "uncertain"), "needs_review").when(story.isNull(), "needs_review").when(F.col("s.n") > 1, "merged_into_story").otherwise("covered_by_story")
+    return requirements.join(first, "item_id", "left").select("item_id", kind.alias("coverage"), F.when(kind.isin("merged_into_story", "covered_by_story"), story).alias("story_id"))
+
+
 def grouped_issues(issues: DataFrame) -> DataFrame:
     """Issues of one item and cause as one: the highest severity, and the distinct details in order."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
@@ -149,6 +180,26 @@ def merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(merged, "doc_id", "left").select("doc_id", F.coalesce("labels", F.lit("FR")).alias("labels"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 
 
+def creation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a request to create its user's job, answered by the state that the event before left."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _events(spark, sf_dir).withColumn("status", _status()).withColumn("kind", F.get_json_object("props", "$.k").cast("int") % 3)
+    e = e.withColumn("old", F.lag("status").over(before)).withColumn("old_kind", F.lag("kind").over(before))
+    # Of the request only what is compared: a kind for its content, the value's parity for the wish to repeat.
+    result = creation_outcome(exists=F.col("old").isNotNull(), same_scope=F.lit(True), reprocess=F.col("value").cast("int") % 2 == 1, status=F.col("old"), same_request=F.col("kind").eqNullSafe(F.col("old_kind")))
+    return e.select(result.alias("r")).groupBy("r.code", "r.outcome").agg(F.count("*").alias("requests"))
+
+
+def coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requirements, and conversations as stories that name them by number."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    reqs = table(spark, sf_dir, "documents").select("doc_id").distinct().join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("item_id"), F.when(F.col("toxic") > 0, "rejected").when(F.col("quality") == 0, "proposed").otherwise("accepted").alias("disposition"), F.lit("FR").alias("label"))
+    tales = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select(
+        F.col("conv_id").alias("story_id"), F.col("conv_id").alias("ord"), F.sequence(F.col("conv_id"), F.col("conv_id") + F.col("n") % 3).alias("item_ids"))
+    return coverage(reqs, tales)
+
+
 _STATUS = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'view' THEN 'PARTIAL' ELSE 'RUNNING' END"
 _CTRL = "len(regexp_extract_all(coalesce(html, ''), '[\\x00-\\x08\\x0E-\\x1F]'))"
 SQL = {
@@ -174,11 +225,25 @@ SQL = {
         f AS (SELECT user_id, event_type, d, min(event_id) AS o FROM i WHERE d IS NOT NULL GROUP BY ALL)
         SELECT 'job' AS item_type, g.user_id AS item_id, g.event_type AS cause, CASE g.s WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, g.issues, md5(coalesce(t.d, '')) AS details_md5
         FROM (SELECT user_id, event_type, max(s) AS s, count(*) AS issues FROM i GROUP BY ALL) g LEFT JOIN (SELECT user_id, event_type, string_agg(d, '; ' ORDER BY o) AS d FROM f GROUP BY ALL) t USING (user_id, event_type)""",
+    "creation_outcomes": """WITH e AS (SELECT *, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'view' THEN 'PARTIAL' ELSE 'RUNNING' END AS status,
+        json_extract_string(props, '$.k')::INT % 3 AS kind FROM events),
+        o AS (SELECT *, lag(status) OVER w AS old, lag(kind) OVER w AS old_kind, trunc(value)::INT % 2 = 1 AS again FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        x AS (SELECT *, kind IS NOT DISTINCT FROM old_kind AS same FROM o),
+        r AS (SELECT CASE WHEN old IS NULL THEN 'created' WHEN again AND old NOT IN ('FAILED', 'CANCELLED') THEN 'not retryable' WHEN again AND NOT same THEN 'another request' WHEN again THEN 'retried'
+              WHEN NOT same THEN 'another request' WHEN old IN ('QUEUED', 'RUNNING') THEN 'already running' ELSE 'reported' END AS outcome FROM x)
+        SELECT CASE WHEN outcome IN ('created', 'retried', 'already running') THEN 202 WHEN outcome = 'reported' THEN 200 ELSE 409 END AS code, outcome, count(*) AS requests FROM r GROUP BY outcome""",
+    "coverages": """WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        s AS (SELECT conv_id, count(*) % 3 + 1 AS n FROM conversations GROUP BY conv_id),
+        n AS (SELECT conv_id, n, conv_id + unnest(range(0, n)) AS item_id FROM s),
+        f AS (SELECT item_id, arg_min(n, conv_id) AS n, min(conv_id) AS conv_id FROM n GROUP BY item_id),
+        c AS (SELECT d.doc_id AS item_id, f.conv_id, CASE WHEN toxic > 0 THEN 'non_story' WHEN quality = 0 THEN 'needs_review' WHEN f.conv_id IS NULL THEN 'needs_review' WHEN f.n > 1 THEN 'merged_into_story' ELSE 'covered_by_story' END AS coverage
+              FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN l USING (doc_id) LEFT JOIN f ON f.item_id = d.doc_id)
+        SELECT item_id, coverage, CASE WHEN coverage IN ('merged_into_story', 'covered_by_story') THEN conv_id END AS story_id FROM c""",
     "merged_labels": """WITH l AS (SELECT DISTINCT doc_id, CASE WHEN toxic > 0 THEN 'Out-of-Scope' WHEN quality > 0 THEN 'FR' ELSE 'Open Question' END AS label FROM labels),
         m AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM l GROUP BY doc_id)
         SELECT doc_id, coalesce(labels, 'FR') AS labels, CASE WHEN labels IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM documents LEFT JOIN m USING (doc_id)""",
 }
 QUERIES = {
     "job_status": job_status, "attempt_upsert": attempt_upsert, "retention": retention, "outcome_counts": outcome_counts, "create_or_get": create_or_get,
-    "document_fingerprints": document_fingerprints, "page_types": page_types, "issue_groups": issue_groups, "merged_labels": merged_labels,
+    "document_fingerprints": document_fingerprints, "page_types": page_types, "issue_groups": issue_groups, "merged_labels": merged_labels, "creation_outcomes": creation_outcomes, "coverages": coverages,
 }

@@ -104,3 +104,39 @@ def test_fingerprint_of_json(spark):
     row = {"b": 'say "hi"\n\\ é', "a": None}
     df = spark.createDataFrame([(row["b"],)], "b string").select(jobs.request_fingerprint(b=F.col("b"), a=F.lit(None)).alias("f"))
     assert df.first().f == hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_capped_matching_is_the_sequential_pass(spark):
+    from claimstone.operators.matching import capped_matching
+
+    r = random.Random(6)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(25), r.randrange(25)) for _ in range(200)) if a < b})
+    rows = [(a, b, r.choice([0.5, 0.6, 0.7, 0.8])) for a, b in pairs]
+    for k in (1, 3):
+        used: dict[int, int] = {}
+        want = []
+        for a, b, s in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+            if used.get(a, 0) < k and used.get(b, 0) < k:
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                want.append((a, b, s))
+        got = [tuple(x) for x in capped_matching(spark.createDataFrame(rows, "a long, b long, score double"), k).collect()]
+        assert sorted(got) == sorted(want)
+    assert capped_matching(spark.createDataFrame([], "a long, b long, score double"), 2).count() == 0
+
+
+def test_creation_outcomes(spark):
+    cases = [
+        (False, True, False, None, False, 202, "created"), (True, False, False, "QUEUED", True, 409, "conflict of scope"), (True, True, True, "RUNNING", True, 409, "not retryable"),
+        (True, True, True, "FAILED", False, 409, "another request"), (True, True, True, "CANCELLED", True, 202, "retried"), (True, True, False, "COMPLETED", False, 409, "another request"),
+        (True, True, False, "RUNNING", True, 202, "already running"), (True, True, False, "COMPLETED", True, 200, "reported"), (True, True, False, "FAILED", True, 200, "reported"),
+    ]
+    df = spark.createDataFrame([c[:5] for c in cases], "e boolean, s boolean, r boolean, status string, f boolean")
+    rows = df.select(jobs.creation_outcome(exists=F.col("e"), same_scope=F.col("s"), reprocess=F.col("r"), status=F.col("status"), same_request=F.col("f")).alias("x")).collect()
+    assert [(r.x.code, r.x.outcome) for r in rows] == [c[5:] for c in cases]
+
+
+def test_coverage_order(spark):
+    reqs = spark.createDataFrame([(1, "rejected", "FR"), (2, "accepted", "Assumption"), (3, "proposed", "FR"), (4, "accepted", "FR"), (5, "accepted", "FR"), (6, "accepted", "FR")], "item_id long, disposition string, label string")
+    tales = spark.createDataFrame([("s2", 2, [4]), ("s1", 1, [4, 5, 3])], "story_id string, ord int, item_ids array<long>")
+    got = [tuple(r) for r in jobs.coverage(reqs, tales).orderBy("item_id").collect()]
+    assert got == [(1, "non_story", None), (2, "non_story", None), (3, "needs_review", None), (4, "merged_into_story", "s1"), (5, "merged_into_story", "s1"), (6, "needs_review", None)]

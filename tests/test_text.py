@@ -72,3 +72,36 @@ def test_windows_without_blanks(spark, n, spans):
 def test_pages(spark):
     df = spark.createDataFrame([(1, "ab\f \fcd"), (2, None), (3, "")], "doc_id long, text string")
     assert [(r.doc_id, r.page, r.start_char, r.end_char, r.chunk) for r in chunking.pages(df).orderBy("page").collect()] == [(1, 1, 0, 2, "ab"), (1, 3, 5, 7, "cd")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a.b@c.org +49 (30) 123-4567", ("[EMAIL] [PHONE]", 1, 1, 0, 0)),
+        ("card 4111-1111-1111-1111x", ("card [PHONE]-1111x", 0, 1, 0, 0)),
+        ("card 4111 1111 1111 1111", ("card [CREDIT_CARD]", 0, 0, 1, 0)),
+        ("api_key = 'abcdefghijklmnop1234' and AKIA" + "A1" * 8, ("api_key = '[API_KEY]' and [API_KEY]", 0, 0, 0, 2)),
+        ("", ("", 0, 0, 0, 0)),
+    ],
+)
+def test_legacy_masks(spark, text, want):
+    assert tuple(one(spark, T.mask_pii_legacy, text)) == want
+
+
+def test_files(spark):
+    import io
+    import zipfile
+
+    from claimstone.sources import files
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "x")
+        z.writestr("word/document.xml", "x")
+    rows = [
+        ("a.pdf", b"%PDF-1.4 x", "pdf", None), ("a.txt", b"%PDF-1.4 x", "pdf", "content is not what the name says"), ("b.docx", out.getvalue(), "docx", None), ("c.docx", b"PK\x03\x04junk", None, "unknown content"),
+        ("d.wav", b"RIFF\0\0\0\0WAVEfmt ", "wav", None), ("e.mp3", b"ID3\x03", "mp3", None), ("f.ogg", b"OggS\0", "ogg", None), ("g.m4a", b"\0\0\0\x18ftypM4A ", "m4a", None), ("h.webm", b"\x1aE\xdf\xa3..", "webm", None),
+        ("i.txt", "plain é\n".encode(), "text", None), ("j.txt", b"nul\0inside", None, "unknown content"), ("k.txt", b"\xff\xfe\xfd", None, "unknown content"), ("l.html", b"<p>", "text", "blocked extension"), ("m.txt", b"", None, "unknown content"), ("n", None, None, "unknown content"),
+    ]
+    df = files.inspected(spark.createDataFrame([r[:2] for r in rows], "name string, content binary"), name_col="name")
+    assert [(r.name, r.kind, r.rejected) for r in df.orderBy("name").collect()] == [(n, k, w) for n, _, k, w in rows]
