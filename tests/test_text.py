@@ -52,7 +52,7 @@ def test_relevance(spark, text, decision):
 def test_small_functions(spark):
     assert one(spark, T.tokenize, "The user-ID is x 42 42") == ["user", "id", "42", "42"]
     assert one(spark, T.meaningful_tokens, "The system shall lock lock accounts") == ["lock", "accounts"]
-    assert one(spark, T.numbers, "within 5  Seconds or 2.5 % of 10") == ["5 seconds", "2.5", "10"] or one(spark, T.numbers, "within 5  Seconds") == ["5 seconds"]
+    assert one(spark, T.numbers, "within 5  Seconds or 2.5 % of 10") == ["5 seconds", "2.5", "10"]
     assert one(spark, T.normalize_text, " a \t b\r\n\r\n\n\r c ") == "a b\n\nc"
     assert one(spark, T.slug, "  Hello, World! ") == "hello-world"
     assert one(spark, T.match_key, None) == ""
