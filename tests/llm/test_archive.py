@@ -25,7 +25,7 @@ def test_sql(spark, sf_dir, duck):
 def test_rules_and_odd_rows(spark):
     big, small = "é" * 60, "s" * 99
     rows = [(5, "http://a", big), (3, "http://b", big), (9, None, big), (None, "http://n", big), (1, "u", small), (2, "u", small), (4, "u\r\nX: y", None), (6, "u", ""), (3, "http://b", big), (7, "u", "z" * 200_000)]
-    got = sorted(tuple(r) for r in warc.read_index(spark, archived(spark, rows)).select(F.coalesce("page_id" if False else "record_id", F.lit(-1)), "payload_bytes", "record_type", F.coalesce("refers_to", F.lit(-1))).collect())
+    got = sorted(tuple(r) for r in warc.read_index(spark, archived(spark, rows)).select(F.coalesce("record_id", F.lit(-1)), "payload_bytes", "record_type", F.coalesce("refers_to", F.lit(-1))).collect())
     want = [(-1, 120, "revisit", 3), (1, 99, "response", -1), (2, 99, "response", -1), (3, 120, "response", -1), (3, 120, "response", -1), (4, 0, "response", -1), (5, 120, "revisit", 3), (6, 0, "response", -1), (7, 200_000, "response", -1), (9, 120, "revisit", 3)]
     assert got == want
 
