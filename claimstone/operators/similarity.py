@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimstone.functions.text import match_key, tokenize, tokens_sql
+from claimstone.functions.text import match_key, meaning_sql, meaningful_tokens, tokenize, tokens_sql
 from claimstone.operators.graph import connected_components
 from claimstone.session import stored
 from claimstone.sources.tables import table
@@ -66,6 +66,25 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return members.join(linked, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", alike: float = 0.90, held: float = 0.82) -> DataFrame:
+    """``id, n_prior, first_prior``: statements that an earlier one (smaller id) repeats.
+
+    Two do if their meaningful tokens have a Jaccard of ``alike``, or the smaller set has
+    LEAST_TOKENS or more and the other holds ``held`` of it.  Either way one of the smaller
+    set's n - ceil(held * n) + 1 rarest tokens is in the larger one, so those are looked up.
+    """
+    sets = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(meaningful_tokens(F.col(text_col))).alias("s")).where(F.size("s") > 0)
+    sets = stored(sets, "statements")
+    flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    rare = flat.join(stored(flat.groupBy("t").agg(F.count("*").alias("df")), "frequencies"), "t")
+    first = rare.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * held - 1e-9) + 1)
+    met = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "t").join(flat.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t"), "t").where("a <> b and nb >= na").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared, least = F.size(F.array_intersect("sa", "sb")), F.least(F.size("sa"), F.size("sb"))
+    same = (shared >= alike * (F.size("sa") + F.size("sb") - shared) - 1e-9) | ((least >= LEAST_TOKENS) & (shared >= held * least - 1e-9))
+    return both.where(same).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("prior")).groupBy("id").agg(F.count_distinct("prior").alias("n_prior"), F.min("prior").alias("first_prior"))
+
+
 # --- Queries --------------------------------------------------------------------------
 
 
@@ -109,6 +128,12 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(items, token_classes(items), least=0.3).where(F.col("jaccard") < NEAR)
 
 
+def repeated_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns of conversations that an earlier conversation's repeats."""
+    turns = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user'").select(F.col("conv_id").alias("item_id"), "text")
+    return prior_duplicates(turns)
+
+
 _SETS = f"""
     k AS (SELECT doc_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM documents),
     c AS (SELECT s, min(doc_id) AS class_id FROM k GROUP BY s),
@@ -134,6 +159,10 @@ SQL = {
         f AS (SELECT key, min(doc_id) AS first_id FROM p WHERE length(key) >= 12 GROUP BY key)
         SELECT source, count(*) AS sentences, count(*) FILTER (WHERE doc_id > first_id) AS repeated FROM p JOIN f USING (key) GROUP BY source""",
 }
+SQL["repeated_statements"] = f"""
+    WITH k AS (SELECT conv_id AS id, {meaning_sql('text')} AS s FROM conversations WHERE turn = 0 AND role = 'user'),
+    p AS (SELECT b.id, a.id AS prior, len(a.s) AS na, len(b.s) AS nb, len(list_intersect(a.s, b.s)) AS m FROM k a JOIN k b ON a.id < b.id AND len(a.s) > 0 AND len(b.s) > 0)
+    SELECT id, count(*) AS n_prior, min(prior) AS first_prior FROM p WHERE 10 * m >= 9 * (na + nb - m) OR (least(na, nb) >= 4 AND 100 * m >= 82 * least(na, nb)) GROUP BY id"""
 SQL["conflict_pairs"] = f"""
     WITH k AS (SELECT item_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM benchmark),
     c AS (SELECT s, min(item_id) AS i FROM k WHERE len(s) >= 4 GROUP BY s),
@@ -141,5 +170,5 @@ SQL["conflict_pairs"] = f"""
     SELECT * FROM p WHERE jaccard >= 0.3 AND jaccard < 0.8"""
 QUERIES = {
     "exact_dup_groups": exact_dup_groups, "near_dup_pairs": near_dup_pairs, "dup_components": dup_components, "dedup_survivors": dedup_survivors, "duplicate_statements": duplicate_statements,
-    "conflict_pairs": conflict_pairs,
+    "conflict_pairs": conflict_pairs, "repeated_statements": repeated_statements,
 }

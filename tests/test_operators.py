@@ -140,3 +140,23 @@ def test_coverage_order(spark):
     tales = spark.createDataFrame([("s2", 2, [4]), ("s1", 1, [4, 5, 3])], "story_id string, ord int, item_ids array<long>")
     got = [tuple(r) for r in jobs.coverage(reqs, tales).orderBy("item_id").collect()]
     assert got == [(1, "non_story", None), (2, "non_story", None), (3, "needs_review", None), (4, "merged_into_story", "s1"), (5, "merged_into_story", "s1"), (6, "needs_review", None)]
+
+
+def test_prior_duplicates_brute_force(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    base = [r.sample(words, r.randint(1, 14)) for _ in range(15)]
+    rows = [(i, " ".join(w for w in r.choice(base) + (r.sample(words, 2) if r.random() < 0.3 else []) if r.random() > 0.05)) for i in range(150)] + [(900, None), (901, "the of")]
+    sets = {i: set((t or "").split()) - {"the", "of"} for i, t in rows}
+
+    def same(a, b):
+        m, least = len(a & b), min(len(a), len(b))
+        return m >= 0.9 * len(a | b) - 1e-9 or least >= 4 and m >= 0.82 * least - 1e-9
+
+    want = {}
+    for i, a in sets.items():
+        prior = [j for j, b in sets.items() if j < i and a and b and same(a, b)]
+        if prior:
+            want[i] = (len(prior), min(prior))
+    got = {x.id: (x.n_prior, x.first_prior) for x in similarity.prior_duplicates(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 50
