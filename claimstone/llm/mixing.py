@@ -114,7 +114,8 @@ def mix(docs: DataFrame, *, block_words: int = 128, **options) -> DataFrame:
     span = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
     held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
     parts = placed.where("size > 0").select("*", F.explode(span).alias("block")).withColumn("held", held)
-    whole = parts.join(times, ["sid", "block"], "left").groupBy("doc_id", "sid", "start", "size", "source_size", "target").agg(F.sum(F.col("held") * F.coalesce("times", F.lit(0))).alias("taken"))
+    # Spark's estimate of ``times`` is that of the counts before their explode, far too small; a merge join keeps it from being broadcast.
+    whole = parts.join(times.hint("merge"), ["sid", "block"], "left").groupBy("doc_id", "sid", "start", "size", "source_size", "target").agg(F.sum(F.col("held") * F.coalesce("times", F.lit(0))).alias("taken"))
     empty = placed.where("size = 0").withColumn("taken", F.lit(0))
     columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return whole.select(*columns).unionByName(empty.select(*columns))
