@@ -38,6 +38,8 @@ GRAM = 16
 CROWD = 20_000
 #: Bytes whose hashes are computed at a time, strings in one segment at most, and bytes of one text in step 3 (whole groups).
 PIECE, RUN, TEXT = 1 << 19, 1024, 1 << 18
+#: Crowded anchors are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: Stands for a missing id; it is larger than all others.
 NO_ID = (1 << 63) - 1
 
@@ -354,7 +356,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     apart = F.when(F.col("n") == 0, F.col("id")).otherwise(F.lit(-1))
     total = F.sum("n").over(Window.partitionBy("anchor", apart))
     repeated = stored(rows.withColumn("total", total).where("n = 0 or total > 1").select("anchor", "id", "total"), "anchors")
-    crowded = repeated.where(F.col("total") > CROWD).select("anchor").distinct().withColumn("crowded", F.lit(True))
+    crowded = stored(repeated.where(F.col("total") > CROWD).select("anchor").distinct().withColumn("crowded", F.lit(True)), "crowded")
+    if crowded.count() <= BROADCAST_ROWS:  # one at most for every CROWD rows of ``repeated``
+        crowded = F.broadcast(crowded)
     marked = repeated.join(crowded, "anchor", "left").groupBy("id").agg(
         F.collect_list(F.when(F.col("crowded").isNull(), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("crowded"), F.col("anchor"))).alias("hot"))
     pieces = long.select("id", "mark", _packed("text").alias("packed")).join(marked, "id").mapInPandas(_pieces, "key long, id long, mark long, start int, end int, body binary")
