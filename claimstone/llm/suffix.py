@@ -156,11 +156,12 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, start, count, anchor = segments(texts)
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         seen: dict[bytes, int] = {}
-        rows: list[tuple] = []
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        keys_out, ids_out, marks_out, starts_out, ends_out, bodies_out = out
         for i, (doc, mark, text, cold, hot) in enumerate(zip(batch.id.tolist(), batch.mark.tolist(), texts, batch.cold, batch.hot, strict=True)):
             here = slice(bounds[i], bounds[i + 1])
             keys = anchor[here]
-            crowded = np.isin(keys, hot)
+            crowded = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
             use = crowded | np.isin(keys, cold)
             gone: list[list[int]] = []
             for a, c, key, single in zip(start[here][use].tolist(), count[here][use].tolist(), keys[use].tolist(), crowded[use].tolist(), strict=True):
@@ -168,17 +169,24 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bare = single and seen.setdefault(text[a : a + c + LENGTH - 1], doc) < doc
                 step = c if bare else 1 if single else RUN
                 for k in range(a, a + c, step):
-                    body = text[k : min(k + step, a + c) + LENGTH - 1]
+                    end = min(k + step, a + c) + LENGTH - 1
+                    body = text[k:end]
                     if not bare and seen.setdefault(body, doc) >= doc:
-                        where = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True) if single else key
-                        rows.append((where, doc, mark, k, k + len(body), body))
+                        keys_out.append(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True) if single else key)
+                        ids_out.append(doc)
+                        marks_out.append(mark)
+                        starts_out.append(k)
+                        ends_out.append(end)
+                        bodies_out.append(body)
                     elif gone and k <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], k + len(body))
+                        gone[-1][1] = max(gone[-1][1], end)
                     else:
-                        gone.append([k, k + len(body)])
-            rows += [(0, doc, mark, x, y, None) for x, y in gone]
-        for i in range(0, len(rows), 20_000):
-            yield pd.DataFrame(rows[i : i + 20_000], columns=["key", "id", "mark", "start", "end", "body"])
+                        gone.append([k, end])
+            for x, y in gone:
+                for column, value in zip(out, (0, doc, mark, x, y, None), strict=True):
+                    column.append(value)
+        for i in range(0, len(keys_out), 20_000):
+            yield pd.DataFrame({n: v[i : i + 20_000] for n, v in zip(("key", "id", "mark", "start", "end", "body"), out, strict=True)})
 
 
 def shared_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,41 +259,41 @@ def covered(bodies: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[
     return out
 
 
-def _settled(group: list[tuple]) -> Iterator[tuple]:
+def _settled(group: pd.DataFrame) -> pd.DataFrame:
     """What is covered in the rows (key, id, mark, start, body) of whole groups, each ordered by id."""
-    first: dict[tuple[int, bytes], int] = {}
-    kinds: dict[int, int] = {}
-    for key, doc, _, _, body in group:
-        if (key, body) not in first:
-            first[key, body] = doc
-            kinds[key] = kinds.get(key, 0) + 1
-    open_bodies = [kb for kb in first if kinds[kb[0]] > 1]
-    parts: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    if open_bodies:
-        parts = dict(zip(open_bodies, covered([b for _, b in open_bodies], np.array([first[kb] for kb in open_bodies])), strict=True))
-    for key, doc, mark, start, body in group:
-        if first[key, body] < doc:
-            yield doc, mark, start, start + len(body)
-        else:
-            for a, b in parts.get((key, body), ()):
-                yield doc, mark, start + a, start + b
+    key, ids, mark, start = (group[c].to_numpy() for c in ("key", "id", "mark", "start"))
+    bodies = group.body.tolist()
+    first: dict[bytes, int] = {}  # equal bodies have equal keys, so the first row of a body has its smallest document
+    source = np.fromiter((first.setdefault(b, i) for i, b in enumerate(bodies)), np.int64, len(bodies))
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    whole = ids[source] < ids
+    columns = [ids[whole], mark[whole], start[whole], (start + size)[whole]]
+    kinds = np.unique(source)
+    names, different = np.unique(key[kinds], return_counts=True)
+    compared = kinds[np.isin(key[kinds], names[different > 1])]
+    if len(compared):
+        parts = dict(zip(compared.tolist(), covered([bodies[i] for i in compared], ids[compared]), strict=True))
+        rows = [(ids[i], mark[i], start[i] + a, start[i] + z) for i in np.flatnonzero(~whole & np.isin(source, compared)).tolist() for a, z in parts[source[i]]]
+        if rows:
+            columns = [np.concatenate([c, np.array(r)]) for c, r in zip(columns, zip(*rows, strict=True), strict=True)]
+    return pd.DataFrame(dict(zip(("id", "mark", "start", "end"), columns, strict=True)))
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Reads rows sorted by key and id, and settles whole groups, some TEXT bytes at a time."""
-    held: list[tuple] = []
-    size, last = 0, None
-    columns = ["id", "mark", "start", "end"]
+    rest: pd.DataFrame | None = None
     for batch in batches:
-        for row in zip(batch.key.tolist(), batch.id.tolist(), batch.mark.tolist(), batch.start.tolist(), batch.body, strict=True):
-            if size >= TEXT and row[0] != last:
-                yield pd.DataFrame(list(_settled(held)), columns=columns)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-            last = row[0]
-    if held:
-        yield pd.DataFrame(list(_settled(held)), columns=columns)
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        ends = np.append(np.flatnonzero(np.diff(rows.key.to_numpy())) + 1, len(rows))
+        size = np.cumsum(np.fromiter(map(len, rows.body), np.int64, len(rows)))
+        begin, done = 0, 0
+        for end in ends[:-1].tolist():  # the last group may go on in the next batch
+            if size[end - 1] - done >= TEXT:
+                yield _settled(rows.iloc[begin:end])
+                begin, done = end, size[end - 1]
+        rest = rows.iloc[begin:]
+    if rest is not None and len(rest):
+        yield _settled(rest)
 
 
 @F.pandas_udf(BinaryType())
