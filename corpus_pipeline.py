@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimstone.llm import contamination, mixing, simhash, suffix, toxicity
+from claimstone.llm import contamination, jaccard, mixing, simhash, suffix, toxicity
 from claimstone.session import shared_dir
 from claimstone.sources.tables import table
 
@@ -19,15 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays.
+    """Of each component the document with the smallest id stays.
 
-    Of rows that repeat its id the one with the smallest text does.  Rows without an id
-    are in no component and stay.
+    Documents are linked if their SimHash values lie within op2's radius or their five-word
+    shingles have a similarity of 0.8 or more.  Of rows that repeat its id the one with the
+    smallest text does.  Rows without an id are in no component and stay.
     """
     docs = docs.select(*COLUMNS)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
+    gone = jaccard.components(docs, prints).where("node <> component").select(F.col("node").alias("doc_id"))
     row = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("doc_id", "row.*")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(row).select("doc_id", "row.*")
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 

@@ -50,3 +50,39 @@ def test_toxic_go(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     assert sum(r.doc_id in kept for r in labels if r.toxic == 0) > 0.97 * sum(r.toxic == 0 for r in labels)
     assert sum(r.doc_id in kept for r in labels if r.toxic == 1) < 0.5 * sum(r.toxic == 1 for r in labels)
+
+
+def test_near_duplicates_reach_a_similarity_of_0_8(spark):
+    import random
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    rng = random.Random(4)
+    line = "a line that very many of the documents have in common word for word".split()
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 160))]
+        texts.append(base)
+        for changes in (1, 1, 2, 4, 8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts.append(copy)
+    texts += [line + [f"y{rng.randrange(3000)}" for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    base = [f"g{i}" for i in range(60)]
+    texts += [base[:i] + ["changed"] + base[i + 1 :] for i in range(60)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    linked = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                linked += 1
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert linked > 30
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
