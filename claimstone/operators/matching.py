@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimstone.operators.retrieval import cosine_top_k
+from claimstone.operators.retrieval import cosine_pairs
 from claimstone.session import stored
 from claimstone.sources.tables import table
 
+#: The cosine from which two vectors may pair, and the places of each.
+LEAST = 0.55
+PLACES = 5
+
+
+def positions(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``df`` with ``pos``: the place of a row among those of its ``key`` by ``order``, from 1.
+
+    Rows are cut in ranges of key and order, so that a key with very many rows spreads.
+    """
+    cut = stored(df.repartitionByRange(key, order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy(key, "part").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(counts.withColumn("before", before).drop("rows"), "starts")
+    local = F.row_number().over(Window.partitionBy(key, "part").orderBy(order))
+    return cut.withColumn("local", local).join(starts, [key, "part"]).withColumn("pos", F.col("before") + F.col("local")).drop("part", "local", "before")
+
 
 def capped_matching(pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (``a, b, score``) that one pass from the best down keeps if no end may have more than ``k``.
@@ -41,12 +58,32 @@ def capped_matching(pairs: DataFrame, k: int) -> DataFrame:
     return kept if kept is not None else left
 
 
+def similar_pairs_capped(vectors: DataFrame, least: float = LEAST, k: int = PLACES) -> DataFrame:
+    """The pairs (``a, b, score``) of vectors (``vec_id, embedding``) of cosine ``least`` or more that one pass keeps with ``k`` places for each.
+
+    Equal vectors pair before all others, then the pass goes by cosine to 9 places.  Among
+    n equal vectors it makes, in order of ids, full groups of k + 1 that pair with each other
+    and with nothing else, so only the at most k vectors left over of each class meet others.
+    """
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    kept = stored(kept.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")), "vectors")
+    classes = stored(kept.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members")), "classes")
+    placed = positions(kept.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]), "class_id", "vec_id")
+    placed = stored(placed.select("vec_id", "class_id", F.expr(f"(pos - 1) div {k + 1}").alias("g"), (F.col("pos") - 1 >= F.col("members") - F.col("members") % (k + 1)).alias("rest")), "placed")
+    group = placed.join(classes.where("members > 1").select("class_id"), "class_id", "left_semi")
+    same = group.select("class_id", "g", "rest", F.col("vec_id").alias("a")).join(group.select("class_id", "g", F.col("vec_id").alias("b")), ["class_id", "g"]).where("a < b")
+    same = stored(same.select("a", "b", F.lit(2.0).alias("score"), "rest"), "same")
+    free = placed.where("rest").select("class_id", "vec_id")
+    reps = kept.join(free.select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    near = cosine_pairs(reps, least)
+    met = near.join(free.toDF("a", "x"), "a").join(free.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    best = capped_matching(met.unionByName(same.where("rest").drop("rest")), k).unionByName(same.where("not rest").drop("rest"))
+    return best.select("a", "b", F.round(F.least("score", F.lit(1.0)), 5).alias("score"))
+
+
 def similar_vectors_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every twentieth vector's ten nearest, the pairs kept with two places for each vector."""
-    v = table(spark, sf_dir, "embeddings")
-    near = cosine_top_k(v, v.where("vec_id % 20 = 0"), 10).where("score > 0")
-    pairs = near.select(F.least("query_id", "doc_id").alias("a"), F.greatest("query_id", "doc_id").alias("b"), F.round("score", 5).alias("score")).distinct()
-    return capped_matching(pairs, 2)
+    """Of all pairs of vectors of cosine 0.55 or more, those kept with five places for each vector."""
+    return similar_pairs_capped(table(spark, sf_dir, "embeddings"))
 
 
 SQL: dict[str, str] = {}

@@ -52,6 +52,14 @@ def top_k(scores: DataFrame, k: int, *, least: float = 0.0) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of norm 1 of a block's rows; those of no or another length have norm 0."""
+    size = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
+    m = np.array([r["v"] if r["v"] is not None and len(r["v"]) == size else np.zeros(size) for r in rows], float).reshape(len(rows), size)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.array([r["id"] for r in rows]), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", scope_cols: tuple[str, ...] = (), block: int = 1024) -> DataFrame:
     """``query_id, doc_id, score, rank``: the exact ``k`` nearest of ``vectors`` by cosine for each row of ``queries``.
 
@@ -75,16 +83,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
     asked = left.join(counts, "scope").select("scope", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
     pairs = asked.join(right.select("scope", "b", "c"), ["scope", "b"]).select("q", "c")
 
-    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        size = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
-        m = np.array([r["v"] if r["v"] is not None and len(r["v"]) == size else np.zeros(size) for r in rows], float).reshape(len(rows), size)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["id"] for r in rows]), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q, c in zip(batch.q, batch.c, strict=True):
-                (qi, qm), (ci, cm) = matrix(q), matrix(c)
+                (qi, qm), (ci, cm) = _matrix(q), _matrix(c)
                 s = np.round(qm @ cm.T if qm.shape[1] == cm.shape[1] else np.zeros((len(qi), len(ci))), 9)
                 s[qi[:, None] == ci[None]] = -2
                 order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
@@ -97,6 +99,29 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cosine_pairs(vectors: DataFrame, least: float, *, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """``a, b, score``: all pairs a < b of vectors of one length with a cosine of ``least`` (above 0) or more, rounded to 9 places.
+
+    Every two blocks meet once, as one matrix product.
+    """
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("scope"))
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(_small(sizes), "scope").withColumn("b", F.pmod(F.pmod(F.xxhash64("id"), F.lit(1 << 20)), F.col("blocks")))
+    packed = stored(dealt.groupBy("scope", "b", "blocks").agg(F.collect_list(F.struct("id", "v")).alias("q")), "blocks")
+    right = packed.select("scope", "b", F.col("q").alias("c"))
+    pairs = packed.select("scope", "q", F.col("b").alias("own"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("b")).join(right, ["scope", "b"]).select("q", "c", (F.col("own") == F.col("b")).alias("same"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, c, same in zip(batch.q, batch.c, batch.same, strict=True):
+                (qi, qm), (ci, cm) = _matrix(q), _matrix(c)
+                s = np.round(qm @ cm.T, 9)
+                i, j = np.nonzero((s >= least) & (qi[:, None] < ci[None] if same else True))
+                yield pd.DataFrame({"a": np.minimum(qi[i], ci[j]), "b": np.maximum(qi[i], ci[j]), "score": s[i, j]})
+
+    return pairs.mapInPandas(near, "a long, b long, score double")
+
+
 def merge_hits(lexical: DataFrame, vector: DataFrame, k: int, *, both: float = 0.1) -> DataFrame:
     """Two result lists (``query_id, doc_id, score, rank``) as one.
 

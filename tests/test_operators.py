@@ -160,3 +160,25 @@ def test_prior_duplicates_brute_force(spark):
             want[i] = (len(prior), min(prior))
     got = {x.id: (x.n_prior, x.first_prior) for x in similarity.prior_duplicates(spark.createDataFrame(rows, "item_id long, text string")).collect()}
     assert got == want and len(want) > 50
+
+
+def test_all_similar_vectors_are_matched(spark):
+    from claimstone.operators.matching import similar_pairs_capped
+
+    r = random.Random(8)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(3 * i + 1, [x + r.gauss(0, 0.4) for x in r.choice(centres)]) for i in range(60)]
+    rows += [(1000 + i, centres[0]) for i in range(15)] + [(2000 + i, centres[1]) for i in range(12)] + [(3000, [0.0] * 6), (3001, None), (3002, [1.0])]
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 9)
+
+    full = [x for x in rows if x[1] and len(x[1]) == 6 and any(x[1])]
+    pairs = [(2.0 if u == v else cosine(u, v), min(a, b), max(a, b)) for i, (a, u) in enumerate(full) for b, v in full[:i]]
+    used, want = {}, []
+    for s, a, b in sorted((p for p in pairs if p[0] >= 0.55), key=lambda p: (-p[0], p[1], p[2])):
+        if used.get(a, 0) < 5 and used.get(b, 0) < 5:
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            want.append((a, b))
+    got = [(x.a, x.b) for x in similar_pairs_capped(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
