@@ -87,8 +87,12 @@ def coverage(requirements: DataFrame, stories: DataFrame) -> DataFrame:
 def grouped_issues(issues: DataFrame) -> DataFrame:
     """Issues of one item and cause as one: the highest severity, and the distinct details in order."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    details = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "details"))), lambda d: d["details"])), "; ")
-    return issues.groupBy("item_type", "item_id", "cause").agg(F.max_by("severity", rank).alias("severity"), F.count("*").alias("issues"), details.alias("details"))
+    item = ["item_type", "item_id", "cause"]
+    # Rows meet in partial aggregates by details; only distinct details are gathered.
+    once = issues.groupBy(*item, "details").agg(F.min("ord").alias("ord"), F.count("*").alias("issues"), F.max_by("severity", rank).alias("severity"))
+    named = F.collect_list(F.when(F.col("details").isNotNull(), F.struct("ord", "details")))
+    details = F.array_join(F.transform(F.array_sort(named), lambda d: d["details"]), "; ")
+    return once.groupBy(*item).agg(F.max_by("severity", rank).alias("severity"), F.sum("issues").alias("issues"), details.alias("details"))
 
 
 # --- Queries --------------------------------------------------------------------------

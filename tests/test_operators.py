@@ -162,6 +162,16 @@ def test_prior_duplicates_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_issues_gather_distinct_details_only(spark):
+    rows = [("job", 1, "error", s, i, d) for i, (s, d) in enumerate([("low", "b"), ("high", None), ("medium", "a"), ("low", "b")] * 50)] + [("job", 2, "error", "low", 1, None)]
+    df = jobs.grouped_issues(spark.createDataFrame(rows, "item_type string, item_id long, cause string, severity string, ord long, details string"))
+    got = {r.item_id: (r.severity, r.issues, r.details) for r in df.collect()}
+    assert got == {1: ("high", 200, "b; a"), 2: ("low", 1, "")}
+    # Rows are aggregated by their details before anything is gathered.
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [("collect_list" in x) for x in plan if "Aggregate" in x] == [True, False]
+
+
 def test_all_similar_vectors_are_matched(spark):
     from claimstone.operators.matching import similar_pairs_capped
 
