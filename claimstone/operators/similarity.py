@@ -11,7 +11,7 @@ from claimstone.session import stored
 from claimstone.sources.tables import table
 
 NEAR = 0.8
-#: Sets of fewer tokens are never near duplicates, only equal ones.
+#: Sets of fewer tokens are never near duplicates, only equal ones.  Conflicts have no least size.
 LEAST_TOKENS = 4
 
 
@@ -33,8 +33,8 @@ def token_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return stored(marked.join(first, "mark").select("id", "class_id"), "members")
 
 
-def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
-    """``a, b, jaccard``: classes a < b of different token sets with a Jaccard of ``least`` or more.
+def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """``a, b, jaccard``: classes a < b of different sets of ``least_tokens`` or more with a Jaccard of ``least`` or more.
 
     Tokens are ordered from rare to frequent.  Sets this similar share one of their first
     n - ceil(least * n) + 1 tokens, and their sizes are within ``least`` of each other, so
@@ -42,7 +42,7 @@ def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", t
     hold meets, on the whole sets, which are hashes of 8 bytes a token.
     """
     heads = members.where("id = class_id").select("class_id")
-    sets = docs.join(heads, docs[id_col] == heads["class_id"]).groupBy("class_id").agg(F.first(F.array_distinct(tokenize(F.col(text_col)))).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    sets = docs.join(heads, docs[id_col] == heads["class_id"]).groupBy("class_id").agg(F.first(F.array_distinct(tokenize(F.col(text_col)))).alias("tokens")).where(F.size("tokens") >= least_tokens)
     flat = stored(sets.select("class_id", F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("t")), "tokens")
     ranks = stored(flat.groupBy("t").agg(F.count("*").alias("df")), "frequencies")
     # Tokens of one set only can't be shared; they count in sizes and verification through n.
@@ -58,6 +58,11 @@ def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", t
     return scored.where(F.col("shared") >= least * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9).select("a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 6).alias("jaccard"))
 
 
+def conflicts(statements: DataFrame) -> DataFrame:
+    """``a, b, jaccard``: classes of statements (``doc_id, text``) with a Jaccard of 0.3 up to NEAR, whatever their size."""
+    return near_pairs(statements, token_classes(statements), least=0.3, least_tokens=1).where(F.col("jaccard") < NEAR)
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id``: the smallest id that equal or near token sets lead to, for every row with an id."""
     members = token_classes(docs, id_col=id_col, text_col=text_col)
@@ -125,7 +130,13 @@ def duplicate_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark statements alike enough to conflict and too different to be duplicates."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return near_pairs(items, token_classes(items), least=0.3).where(F.col("jaccard") < NEAR)
+    return conflicts(items)
+
+
+def conflict_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the first sentences of all documents, one for each class of equal token sets."""
+    first = F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")), r"[.!?]\s+|\n", 2)[0]
+    return conflicts(_docs(spark, sf_dir).select("doc_id", first.alias("text")))
 
 
 def repeated_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +181,5 @@ SQL["conflict_pairs"] = f"""
     SELECT * FROM p WHERE jaccard >= 0.3 AND jaccard < 0.8"""
 QUERIES = {
     "exact_dup_groups": exact_dup_groups, "near_dup_pairs": near_dup_pairs, "dup_components": dup_components, "dedup_survivors": dedup_survivors, "duplicate_statements": duplicate_statements,
-    "conflict_pairs": conflict_pairs, "repeated_statements": repeated_statements,
+    "conflict_pairs": conflict_pairs, "conflict_band_pairs": conflict_band_pairs, "repeated_statements": repeated_statements,
 }

@@ -192,3 +192,14 @@ def test_all_similar_vectors_are_matched(spark):
             want.append((a, b))
     got = [(x.a, x.b) for x in similar_pairs_capped(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
     assert sorted(got) == sorted(want) and len(want) > 150
+
+
+def test_conflicts_brute_force(spark):
+    r = random.Random(12)
+    texts = {i: " ".join(r.sample([f"w{x}" for x in range(12)], r.randint(0, 7))) for i in range(60)} | {100: "alpha beta", 101: "alpha gamma"}
+    classes: dict[frozenset, int] = {}
+    for i in sorted(texts):
+        classes.setdefault(frozenset(texts[i].split()), i)
+    want = {tuple(sorted((i, j))) for a, i in classes.items() for b, j in classes.items() if i != j and a and b and 0.3 <= len(a & b) / len(a | b) < 0.8}
+    got = [(x.a, x.b) for x in similarity.conflicts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (100, 101) in want
