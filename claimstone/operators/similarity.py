@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimstone.functions.text import match_key, meaning_sql, meaningful_tokens, tokenize, tokens_sql
 from claimstone.operators.graph import connected_components
+from claimstone.operators.ranges import positions
 from claimstone.session import stored
 from claimstone.sources.tables import table
 
@@ -77,9 +78,15 @@ def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str
     Two do if their meaningful tokens have a Jaccard of ``alike``, or the smaller set has
     LEAST_TOKENS or more and the other holds ``held`` of it.  Either way one of the smaller
     set's n - ceil(held * n) + 1 rarest tokens is in the larger one, so those are looked up.
+
+    Equal sets are one class, which pairs once; a statement's prior ones are those before it
+    among its class and the classes that pair with it.
     """
-    sets = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(meaningful_tokens(F.col(text_col))).alias("s")).where(F.size("s") > 0)
-    sets = stored(sets, "statements")
+    marked = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(F.array_sort(meaningful_tokens(F.col(text_col)))).alias("s")).where(F.size("s") > 0)
+    marked = stored(marked.withColumn("mark", F.md5(F.array_join("s", " "))), "statements")
+    classes = stored(marked.groupBy("mark").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")
+    members = stored(marked.select("id", "mark").join(classes, "mark").select("id", "class_id", "members"), "members")
+    sets = stored(marked.join(classes.select("mark", F.col("class_id").alias("id")), ["mark", "id"], "left_semi").select("id", "s"), "sets")
     flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     rare = flat.join(stored(flat.groupBy("t").agg(F.count("*").alias("df")), "frequencies"), "t")
     first = rare.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * held - 1e-9) + 1)
@@ -87,7 +94,14 @@ def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str
     both = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared, least = F.size(F.array_intersect("sa", "sb")), F.least(F.size("sa"), F.size("sb"))
     same = (shared >= alike * (F.size("sa") + F.size("sb") - shared) - 1e-9) | ((least >= LEAST_TOKENS) & (shared >= held * least - 1e-9))
-    return both.where(same).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("prior")).groupBy("id").agg(F.count_distinct("prior").alias("n_prior"), F.min("prior").alias("first_prior"))
+    pairs = stored(both.where(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "alike")
+    # For each class its own members and those of its pairs, in one order.
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = members.where("members > 1").select("class_id").unionByName(sides.select(F.col("a").alias("class_id"))).distinct()
+    meet = stored(sides.select(F.col("a").alias("own"), F.col("b").alias("class_id")).unionByName(own.select(F.col("class_id").alias("own"), "class_id")), "meet")
+    row = positions(meet.join(members.select("id", "class_id"), "class_id").select("own", "id", (F.col("own") == F.col("class_id")).alias("asked")), "own", "id")
+    least_ids = meet.groupBy("own").agg(F.min("class_id").alias("first_prior"))
+    return row.where("asked and pos > 1").join(least_ids, "own").select("id", (F.col("pos") - 1).cast("long").alias("n_prior"), "first_prior")
 
 
 # --- Queries --------------------------------------------------------------------------
@@ -145,6 +159,13 @@ def repeated_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prior_duplicates(turns)
 
 
+def repeated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations that earlier ones, by conversation and turn, repeat."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("item_id"), "text")
+    repeated = prior_duplicates(turns)
+    return repeated.select("id.conv_id", "id.turn", "n_prior", F.col("first_prior.conv_id").alias("first_conv_id"), F.col("first_prior.turn").alias("first_turn"))
+
+
 _SETS = f"""
     k AS (SELECT doc_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM documents),
     c AS (SELECT s, min(doc_id) AS class_id FROM k GROUP BY s),
@@ -174,6 +195,11 @@ SQL["repeated_statements"] = f"""
     WITH k AS (SELECT conv_id AS id, {meaning_sql('text')} AS s FROM conversations WHERE turn = 0 AND role = 'user'),
     p AS (SELECT b.id, a.id AS prior, len(a.s) AS na, len(b.s) AS nb, len(list_intersect(a.s, b.s)) AS m FROM k a JOIN k b ON a.id < b.id AND len(a.s) > 0 AND len(b.s) > 0)
     SELECT id, count(*) AS n_prior, min(prior) AS first_prior FROM p WHERE 10 * m >= 9 * (na + nb - m) OR (least(na, nb) >= 4 AND 100 * m >= 82 * least(na, nb)) GROUP BY id"""
+SQL["repeated_turns"] = f"""
+    WITH k AS (SELECT conv_id, turn, (conv_id, turn) AS id, {meaning_sql('text')} AS s FROM conversations),
+    p AS (SELECT b.conv_id, b.turn, a.id AS prior, len(a.s) AS na, len(b.s) AS nb, len(list_intersect(a.s, b.s)) AS m FROM k a JOIN k b ON a.id < b.id AND len(a.s) > 0 AND len(b.s) > 0),
+    f AS (SELECT * FROM p WHERE 10 * m >= 9 * (na + nb - m) OR (least(na, nb) >= 4 AND 100 * m >= 82 * least(na, nb)))
+    SELECT conv_id, turn, count(*) AS n_prior, min(prior)[1] AS first_conv_id, min(prior)[2] AS first_turn FROM f GROUP BY conv_id, turn"""
 SQL["conflict_pairs"] = f"""
     WITH k AS (SELECT item_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM benchmark),
     c AS (SELECT s, min(item_id) AS i FROM k WHERE len(s) >= 4 GROUP BY s),
@@ -181,5 +207,5 @@ SQL["conflict_pairs"] = f"""
     SELECT * FROM p WHERE jaccard >= 0.3 AND jaccard < 0.8"""
 QUERIES = {
     "exact_dup_groups": exact_dup_groups, "near_dup_pairs": near_dup_pairs, "dup_components": dup_components, "dedup_survivors": dedup_survivors, "duplicate_statements": duplicate_statements,
-    "conflict_pairs": conflict_pairs, "conflict_band_pairs": conflict_band_pairs, "repeated_statements": repeated_statements,
+    "conflict_pairs": conflict_pairs, "conflict_band_pairs": conflict_band_pairs, "repeated_statements": repeated_statements, "repeated_turns": repeated_turns,
 }

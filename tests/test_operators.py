@@ -203,3 +203,18 @@ def test_conflicts_brute_force(spark):
     want = {tuple(sorted((i, j))) for a, i in classes.items() for b, j in classes.items() if i != j and a and b and 0.3 <= len(a & b) / len(a | b) < 0.8}
     got = [(x.a, x.b) for x in similarity.conflicts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want and (100, 101) in want
+
+
+def test_all_turns_count_for_repeats(spark, tmp_path):
+    said = "export weekly figures quickly whenever managers ask"
+    rows = [(2, 0, "system", "some opening words nobody repeats"), (2, 1, "user", said), (1, 0, "user", "hello"), (2, 2, "assistant", said + " again"), (3, 4, "user", said.upper()), (3, 5, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert similarity.repeated_statements(spark, str(tmp_path)).count() == 0
+    got = [tuple(r) for r in similarity.repeated_turns(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
+    assert got == [(2, 2, 1, 2, 1), (3, 4, 2, 2, 1)]
+
+
+def test_copies_are_not_paired_with_each_other(spark):
+    rows = [(i, "needs seven quite different meaningful words") for i in range(3000)]
+    got = {r.id: (r.n_prior, r.first_prior) for r in similarity.prior_duplicates(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == {i: (i, 0) for i in range(1, 3000)}
