@@ -101,22 +101,30 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    """PDF: a version, an object, a cross-reference start and the end mark after it."""
+    """PDF: a version, an object, a cross-reference start and the last end mark before another PDF's header.
+
+    Linearised files and saved changes have several end marks.  A header before the first
+    end mark, as of an attachment, doesn't end the file.
+    """
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
     start = b.find(b"startxref", at)
     end = b.find(b"%%EOF", start) if start >= 0 and b" obj" in b[at:start] else -1
-    return ("application/pdf", end + 5) if end >= 0 else None
+    if end < 0:
+        return None
+    following = b.find(b"%PDF-", end)
+    return "application/pdf", b.rfind(b"%%EOF", end, following if following >= 0 else len(b)) + 5
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    """ZIP: an end record whose directory lies where it says."""
+    """ZIP: the first end record whose directory lies where it says; those of stored archives inside don't fit."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-    whole = at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b)
-    return ("application/zip", end + 22 + comment) if whole else None
+    while end >= 0 and end + 22 <= len(b):
+        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+        if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b):
+            return "application/zip", end + 22 + comment
+        end = b.find(b"PK\x05\x06", end + 4)
+    return None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
@@ -172,11 +180,15 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
-    """MP4: boxes by length, with moov among them."""
+    """MP4: boxes by length, of 64 bits where it is 1 and to the end where it is 0, with moov among them."""
     p, names = at, set()
     while p + 8 <= len(b):
-        size, name = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if size < 8 or p + size > len(b) or not name.isalnum():
+        size, name, head = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8], 8
+        if size == 1 and p + 16 <= len(b):
+            size, head = int.from_bytes(b[p + 8 : p + 16], "big"), 16
+        elif size == 0 and names:
+            size = len(b) - p
+        if size < head or p + size > len(b) or not name.isalnum():
             break
         names.add(name)
         p += size

@@ -82,3 +82,30 @@ def test_texts_as_samples(spark, sf_dir):
 def test_round_trip(text):
     data = media.samples_of(media.wav_of(text.encode()))
     assert len(data) % 64 == 0 and len(data) >= 64 and data.rstrip(b"\0") == text.encode()
+
+
+def test_zip_that_stores_a_zip():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("inner.zip", zipped())
+        z.writestr("b.txt", "more")
+    data = out.getvalue()
+    inner = data.index(b"PK\x03\x04", 4)
+    assert media.media_in(b"lead" + data + b"tail")[0] == ("application/zip", 4, 4 + len(data))
+    assert ("application/zip", inner, inner + len(zipped())) in media.media_in(data)
+
+
+def test_pdf_goes_on_to_its_last_end_mark():
+    saved = PDF + b"\n2 0 obj\nendobj\nstartxref\n50\n%%EOF"
+    assert media.media_in(saved + b"tail") == [("application/pdf", 0, len(saved))]
+    assert media.media_in(saved + PDF) == [("application/pdf", 0, len(saved)), ("application/pdf", len(saved), len(saved) + len(PDF))]
+
+
+def test_mp4_boxes_of_size_0_and_1():
+    box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+    ftyp, moov = box(b"ftyp", b"isom\0\0\0\0"), box(b"moov", b"")
+    wide = struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 16 + 5) + b"media"
+    assert media.media_in(ftyp + wide + moov + b"tail") == [("video/mp4", 0, len(ftyp + wide + moov))]
+    last = ftyp + moov + struct.pack(">I", 0) + b"mdatmedia to the end"
+    assert media.media_in(last) == [("video/mp4", 0, len(last))]
+    assert media.media_in(ftyp + struct.pack(">I", 0) + b"mdat" + moov) == []
