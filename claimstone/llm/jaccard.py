@@ -29,6 +29,8 @@ LEAST = 0.8
 SAMPLE = 16
 FREQUENT = 3
 FREQUENT_MOST = 200_000
+#: Counts that rule out pairs before their whole sets move.
+BUCKETS = 256
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,6 +49,11 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def _counts(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each of BUCKETS; the sum of two sets' lesser counts is at least what they share."""
+    return np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+
+
 def _mark(s: np.ndarray) -> int:
     """A set's 64 bits, signed."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
@@ -68,7 +75,7 @@ def _prefixes(frequent: pd.DataFrame) -> Callable:
     frequent = frequent.sort_values("t")
     known = (frequent.t.to_numpy(np.int64), frequent.n.to_numpy(np.int64))
 
-    @F.pandas_udf(StructType([StructField("mark", LongType()), StructField("n", IntegerType()), StructField("prefix", ArrayType(LongType()))]))
+    @F.pandas_udf(StructType([StructField("mark", LongType()), StructField("n", IntegerType()), StructField("prefix", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType()))]))
     def described(texts: pd.Series) -> pd.DataFrame:
         t, n = known
         rows = []
@@ -80,8 +87,8 @@ def _prefixes(frequent: pd.DataFrame) -> Callable:
                 first = np.lexsort((h, np.where(t[at] == h, n[at], 0)))[:p]
             else:
                 first = np.argsort(h)[:p]
-            rows.append((_mark(s), len(h), h[first]))
-        return pd.DataFrame(rows, columns=["mark", "n", "prefix"])
+            rows.append((_mark(s), len(h), h[first], _counts(s)))
+        return pd.DataFrame(rows, columns=["mark", "n", "prefix", "counts"])
 
     return described
 
@@ -108,6 +115,11 @@ def components(docs: DataFrame, links: DataFrame, *, id_col: str = "doc_id", tex
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs of marks (``a, b``) the similar ones, as links of ids."""
+        tallied = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(sets.join(classes, "mark").where("doc_id = rep"), "mark").select("mark", "n", "counts")
+        tallied = stored(tallied.dropDuplicates(["mark"]), "tallied")
+        most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        pairs = pairs.join(tallied.toDF("a", "na", "ca"), "a").join(tallied.toDF("b", "nb", "cb"), "b").where(most >= LEAST * (F.col("na") + F.col("nb") - most) - 1e-9)
+        pairs = stored(pairs.select("a", "b"), "likely")
         asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "mark")
         asked = stored(asked, "asked")
         read = texts.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(_marked("text").alias("d")).select("d.*")
