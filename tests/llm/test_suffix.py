@@ -32,8 +32,8 @@ def found(df):
 
 
 def spans_of(spark, rows):
-    df = suffix.repeated_spans(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, spans int"))
-    return found(df.select("row.doc_id", suffix._digests("packed", "spans").alias("d")).select("doc_id", "d.*"))
+    df = suffix.removals(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, copy int"))
+    return found(df.select("row.doc_id", "removal.*"))
 
 
 def odd_rows():
@@ -48,9 +48,9 @@ def odd_rows():
     return rows + [(200, None), (201, ""), (202, "x" * 49), (203, "x" * 50), (204, "x" * 51), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize(("crowd", "piece", "run"), [(20_000, 1 << 19, 1024), (2, 1 << 19, 1024), (2, 100, 7), (20_000, 64, 5)])
+@pytest.mark.parametrize(("crowd", "piece", "run"), [(20_000, 1 << 16, 1024), (2, 1 << 16, 1024), (2, 100, 7), (20_000, 64, 5)])
 def test_brute_force(spark, monkeypatch, crowd, piece, run):
-    for name, value in (("CROWD", crowd), ("PIECE", piece), ("RUN", run), ("TEXT", 2000)):
+    for name, value in (("CROWD", crowd), ("PIECE", piece), ("RUN", run), ("TEXT", 2000), ("PACK", 5000)):
         monkeypatch.setattr(suffix, name, value)
     rows = odd_rows()
     assert spans_of(spark, rows) == brute(rows)
@@ -90,10 +90,16 @@ def test_segments_say_the_same_of_equal_strings():
 
 
 def test_text_stays_text(spark):
-    rows = [(1, "é" * 60, 5, "r"), (2, "x" + "é" * 60 + "y", 6, "s"), (3, None, 7, "t")]
-    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, packed int, row string")).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == [(1, "é" * 60, 5, "r"), (2, "xy", 6, "s"), (3, None, 7, "t")]
+    rows = [(1, "é" * 60, 5, "r"), (2, "x" + "é" * 60 + "y", 6, "s"), (3, None, 7, "t"), (4, "é" * 60, 8, "u"), (5, "short", 9, "v")]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, found int, row string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "é" * 60, 5, "r"), (2, "xy", 6, "s"), (3, None, 7, "t"), (4, "", 8, "u"), (5, "short", 9, "v")]
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        suffix.removals(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_empty(spark):
-    assert suffix.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert suffix.removals(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
