@@ -44,6 +44,12 @@ def test_every_block_as_often_as_planned(spark):
         assert min(blocks) == 0 and (len(blocks) < n or set(blocks) == set(range(n)))
     assert len({s.shard for s in slots}) > 3
     mixed = mixing.mix(docs, block_words=16, shard_slots=64, buckets=4).collect()
+    times: dict = {}
+    for s in slots:
+        times[s.sid, s.block] = times.get((s.sid, s.block), 0) + 1
+    placed, _ = mixing.plan(docs, block_words=16, shard_slots=64, buckets=4)
+    want = sorted((str(d.doc_id), d.size, sum(times.get((d.sid, w // 16), 0) for w in range(d.start, d.start + d.size))) for d in placed.collect())
+    assert sorted((str(m.doc_id), m.size, m.taken) for m in mixed) == want
     assert len(mixed) == len(rows) and all(0 <= m.taken <= 2 * m.size for m in mixed)
     again = mixing.mix(docs.repartition(7), block_words=16, shard_slots=64, buckets=4).collect()
     assert sorted(map(str, mixed)) == sorted(map(str, again))
@@ -72,14 +78,33 @@ def test_permutations(spark):
         assert sorted(r.p for r in df.collect()) == list(range(n))
 
 
-def test_multipliers_are_prime():
-    def prime(n):
-        d, s = n - 1, 0
-        while d % 2 == 0:
-            d, s = d // 2, s + 1
-        return all(pow(a, d, n) in (1, n - 1) or any(pow(a, d << k, n) == n - 1 for k in range(s)) for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37))
+@pytest.mark.parametrize("n", [1024, 65536, 15015])
+def test_neighbours_do_not_stay_neighbours(spark, n):
+    from pyspark.sql import functions as F
+
+    df = spark.range(n).select("id", mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long"), 42).alias("p"))
+    p = [r.p for r in df.orderBy("id").collect()]
+    assert sorted(p) == list(range(n))
+    strides = {}
+    for a, b in zip(p, p[1:], strict=False):
+        strides[(b - a) % n] = strides.get((b - a) % n, 0) + 1
+    assert max(strides.values()) < 20 + n / 100 and len(strides) > n / 3
 
-    assert all(map(prime, mixing.MULTIPLIERS))
+
+def test_shards_are_multinomial_and_totals_exact(spark):
+    sources = spark.createDataFrame([(1, 5000), (2, 20_000), (3, 1), (4, 0), (5, 15_000)], "sid long, m long")
+    rows = mixing._drawn(sources, 512, 42).collect()
+    held, shards = {}, {}
+    for r in rows:
+        held.setdefault(r.sid, []).extend(range(r.first, r.first + r.k))
+        shards.setdefault(r.shard, {}).setdefault(r.sid, 0)
+        shards[r.shard][r.sid] += r.k
+    assert {s: sorted(v) for s, v in held.items()} == {1: list(range(5000)), 2: list(range(20_000)), 3: [0], 5: list(range(15_000))}
+    sizes = [sum(v.values()) for _, v in sorted(shards.items())]
+    assert sizes[:-1] == [512] * (len(sizes) - 1) and sum(sizes) == 40_001
+    share = [v.get(2, 0) / 512 for _, v in sorted(shards.items())[:-1]]
+    spread = sum((x - 0.5) ** 2 for x in share) / len(share)
+    assert 0.3 < spread / (0.25 / 512) < 3  # the variance of draws, not of fixed shares
 
 
 def test_empty(spark):
