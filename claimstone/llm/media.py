@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -30,148 +32,235 @@ MAGIC = (
 )
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+class Scan:
+    """A value under scan.  What validators look for is found once for the whole value, however many hits ask for it."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.places: dict[bytes, list[int]] = {}
+        self.chains: dict[str, dict[int, tuple]] = {}
+        self._archives: dict[int, int] | None = None
+
+    def find(self, mark: bytes, start: int) -> int:
+        """The first place of ``mark`` from ``start`` on; -1 if there is none."""
+        at = self._places(mark)
+        i = bisect_left(at, start)
+        return at[i] if i < len(at) else -1
+
+    def last(self, mark: bytes, start: int, end: int) -> int:
+        """The last place of ``mark`` from ``start`` on that ends by ``end``; -1 if there is none."""
+        at = self._places(mark)
+        i = bisect_right(at, end - len(mark)) - 1
+        return at[i] if i >= 0 and at[i] >= start else -1
+
+    def _places(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            found, p = [], self.b.find(mark)
+            while p >= 0:
+                found.append(p)
+                p = self.b.find(mark, p + 1)
+            self.places[mark] = found
+        return self.places[mark]
+
+    def archives(self) -> dict[int, int]:
+        """Where ZIP archives start and end: each end record says where its directory and so its archive starts."""
+        if self._archives is None:
+            self._archives = {}
+            for end in self._places(b"PK\x05\x06"):
+                if end + 22 > len(self.b):
+                    continue
+                size, offset, comment = struct.unpack_from("<IIH", self.b, end + 12)
+                start = end - size - offset
+                if start >= 0 and self.b[start + offset : start + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(self.b):
+                    self._archives.setdefault(start, end + 22 + comment)
+        return self._archives
+
+    def walk(self, kind: str, at: int, step: Callable[[int], tuple[int | None, object]], fold: Callable[[object, object], object]) -> object:
+        """Follows a chain of parts: ``step`` says where the next part starts (None at the end) and what this one adds; what ``fold`` makes of a chain's rest is kept for each of its parts."""
+        known = self.chains.setdefault(kind, {})
+        path: list[tuple[int, object]] = []
+        p: int | None = at
+        rest: object = None
+        while p is not None:
+            if p in known:
+                rest = known[p][0]
+                break
+            p_next, own = step(p)
+            path.append((p, own))
+            p = p_next
+        for q, own in reversed(path):
+            rest = fold(own, rest)
+            known[q] = (rest,)
+        return rest
+
+
+def _riff(v: Scan, at: int) -> tuple[str, int] | None:
     """RIFF: chunks that fill the stated length; WAVE needs fmt and data, WEBP a VP8 chunk."""
+    b = v.b
     if at + 12 > len(b):
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if end > len(b):
         return None
-    names, p = [], at + 12
+    names, p = set(), at + 12
     while p + 8 <= end:
-        names.append(b[p : p + 4])
+        names.add(b[p : p + 4])
         size = int.from_bytes(b[p + 4 : p + 8], "little")
         p += 8 + size + size % 2
     if p != end:
         return None
     form = b[at + 8 : at + 12]
-    if form == b"WAVE" and {b"fmt ", b"data"} <= set(names):
+    if form == b"WAVE" and {b"fmt ", b"data"} <= names:
         return "audio/wav", end
     if form == b"WEBP" and any(n.startswith(b"VP8") for n in names):
         return "image/webp", end
     return None
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(v: Scan, at: int) -> tuple[str, int] | None:
     """PNG: IHDR first, then chunks of sound checksums to IEND."""
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+    b = v.b
+    if b[at + 12 : at + 16] != b"IHDR":
+        return None
+
+    def step(p: int) -> tuple[int | None, int | None]:
         size, name = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if p + 12 + size > len(b) or first and name != b"IHDR" or zlib.crc32(b[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
-            return None
-        p, first = p + 12 + size, False
-        if name == b"IEND":
-            return "image/png", p
-    return None
+        end = p + 12 + size
+        if p + 12 > len(b) or end > len(b) or zlib.crc32(memoryview(b)[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+            return None, None
+        return (None, end) if name == b"IEND" else (end, None)
+
+    end = v.walk("png", at + 8, step, lambda own, rest: own if own is not None else rest)
+    return ("image/png", end) if end else None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(v: Scan, at: int) -> tuple[str, int] | None:
     """JPEG: segments by length up to the scan, then data to the end mark."""
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    b = v.b
+
+    def step(p: int) -> tuple[int | None, int | None]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, None
         size = int.from_bytes(b[p + 2 : p + 4], "big")
         if size < 2:
-            return None
-        scan, p = b[p + 1] == 0xDA, p + 2 + size
-        if scan:
-            end = b.find(b"\xff\xd9", p)
-            return ("image/jpeg", end + 2) if end >= 0 else None
-    return None
+            return None, None
+        if b[p + 1] != 0xDA:
+            return p + 2 + size, None
+        end = v.find(b"\xff\xd9", p + 2 + size)
+        return None, end + 2 if end >= 0 else None
+
+    end = v.walk("jpeg", at + 2, step, lambda own, rest: own if own is not None else rest)
+    return ("image/jpeg", end) if end else None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(v: Scan, at: int) -> tuple[str, int] | None:
     """GIF: the screen descriptor, then blocks of sub-blocks to the trailer."""
+    b = v.b
     if at + 13 > len(b):
         return None
-    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p < len(b):
+
+    def step(p: int) -> tuple[int | None, int | None]:
+        if p >= len(b):
+            return None, None
         kind = b[p]
         if kind == 0x3B:
-            return "image/gif", p + 1
+            return None, p + 1
         if kind == 0x21:
-            p += 2
-        elif kind == 0x2C and p + 10 <= len(b):
-            p += 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)
-        else:
-            return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return None
+            return blocks(p + 2), None
+        if kind == 0x2C and p + 10 <= len(b):
+            return blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)), None
+        return None, None
+
+    def blocks(p: int) -> int:
+        return v.walk("gif blocks", p, lambda q: (q + 1 + b[q], None) if q < len(b) and b[q] else (None, q + 1), lambda own, rest: own if own is not None else rest)
+
+    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
+    end = v.walk("gif", p, step, lambda own, rest: own if own is not None else rest)
+    return ("image/gif", end) if end else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+def _pdf(v: Scan, at: int) -> tuple[str, int] | None:
     """PDF: a version, an object, a cross-reference start and the last end mark before another PDF's header.
 
     Linearised files and saved changes have several end marks.  A header before the first
     end mark, as of an attachment, doesn't end the file.
     """
+    b = v.b
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 and b" obj" in b[at:start] else -1
+    start = v.find(b"startxref", at)
+    thing = v.find(b" obj", at)
+    end = v.find(b"%%EOF", start) if start >= 0 and 0 <= thing <= start - 4 else -1
     if end < 0:
         return None
-    following = b.find(b"%PDF-", end)
-    return "application/pdf", b.rfind(b"%%EOF", end, following if following >= 0 else len(b)) + 5
+    following = v.find(b"%PDF-", end)
+    return "application/pdf", v.last(b"%%EOF", end, following if following >= 0 else len(b)) + 5
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
+def _zip(v: Scan, at: int) -> tuple[str, int] | None:
     """ZIP: the first end record whose directory lies where it says; those of stored archives inside don't fit."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b):
-            return "application/zip", end + 22 + comment
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    end = v.archives().get(at)
+    return ("application/zip", end) if end else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
-    """GZIP: a stream that inflates to its checksum; the output is dropped piece by piece."""
+def _gzip(v: Scan, at: int) -> tuple[str, int] | None:
+    """GZIP: a stream that inflates to its checksum; it is read, and the output dropped, piece by piece."""
+    b = v.b
     if at + 10 > len(b) or b[at + 3] & 0xE0:
         return None
-    d, left = zlib.decompressobj(31), b[at:]
+    d, p, view = zlib.decompressobj(31), at, memoryview(b)
     try:
-        while left and not d.eof:
-            d.decompress(left, 1 << 20)
-            left = d.unconsumed_tail
+        while p < len(b) and not d.eof:
+            piece = view[p : p + (1 << 14)]
+            p += len(piece)
+            d.decompress(piece, 1 << 20)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, 1 << 20)
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - len(d.unused_data)) if d.eof else None
+    return ("application/gzip", p - len(d.unused_data)) if d.eof else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(v: Scan, at: int) -> tuple[str, int] | None:
     """OGG: pages that follow on each other, from a first page to a last one."""
-    p = at
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
+    b = v.b
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return None
+
+    def step(p: int) -> tuple[int | None, int | None]:
+        if b[p : p + 5] != b"OggS\0" or p + 27 > len(b):
+            return None, None
         table_end = p + 27 + b[p + 26]
-        if p == at and not b[p + 5] & 2 or table_end > len(b):
-            break
-        size = table_end + sum(b[p + 27 : table_end])
-        if size > len(b):
-            break
-        last, p = b[p + 5] & 4, size
-        if last:
-            return "audio/ogg", p
-    return None
+        end = table_end + sum(b[p + 27 : table_end])
+        if table_end > len(b) or end > len(b):
+            return None, None
+        return (None, end) if b[p + 5] & 4 else (end, None)
 
+    end = v.walk("ogg", at, step, lambda own, rest: own if own is not None else rest)
+    return ("audio/ogg", end) if end else None
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
+
+def _flac(v: Scan, at: int) -> tuple[str, int] | None:
     """FLAC: metadata blocks, the stream info first; its frames have no stated length and run to the end."""
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind & 0x7F or size != 34) or p + 4 + size > len(b):
-            return None
-        p, first = p + 4 + size, False
-        if kind & 0x80:
-            return ("audio/flac", len(b)) if b[p : p + 1] == b"\xff" else None
-    return None
+    b = v.b
+    if at + 8 > len(b) or b[at + 4] & 0x7F or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
+        return None
 
+    def step(p: int) -> tuple[int | None, int | None]:
+        end = p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+        if p + 4 > len(b) or end > len(b):
+            return None, None
+        if b[p] & 0x80:
+            return None, len(b) if b[end : end + 1] == b"\xff" else None
+        return end, None
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+    end = v.walk("flac", at + 4, step, lambda own, rest: own if own is not None else rest)
+    return ("audio/flac", end) if end else None
+
+
+def _bmp(v: Scan, at: int) -> tuple[str, int] | None:
     """BMP: a file size that fits, zero reserved bytes, a known header and one plane."""
+    b = v.b
     if at + 30 > len(b):
         return None
     size, reserved, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -179,20 +268,25 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", at + size) if sound else None
 
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
+def _mp4(v: Scan, at: int) -> tuple[str, int] | None:
     """MP4: boxes by length, of 64 bits where it is 1 and to the end where it is 0, with moov among them."""
-    p, names = at, set()
-    while p + 8 <= len(b):
+    b = v.b
+
+    def step(p: int) -> tuple[int | None, tuple[int, bool] | None]:
+        if p + 8 > len(b):
+            return None, None
         size, name, head = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8], 8
         if size == 1 and p + 16 <= len(b):
             size, head = int.from_bytes(b[p + 8 : p + 16], "big"), 16
-        elif size == 0 and names:
+        elif size == 0 and name != b"ftyp":
             size = len(b) - p
         if size < head or p + size > len(b) or not name.isalnum():
-            break
-        names.add(name)
-        p += size
-    return ("video/mp4", p) if {b"ftyp", b"moov"} <= names else None
+            return None, None
+        return p + size, (p + size, name == b"moov")
+
+    # Of a chain: where its last box ends, and whether one is moov.
+    found = v.walk("mp4", at, step, lambda own, rest: rest if own is None else own if rest is None else (rest[0], own[1] or rest[1]))
+    return ("video/mp4", found[0]) if found and found[1] else None
 
 
 VALIDATORS = {
@@ -212,10 +306,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 def media_in(value: bytes) -> list[tuple[str, int, int]]:
     """The confirmed media as (type, start, end), by start; those inside a medium follow it."""
-    found = []
+    found, scan = [], Scan(value)
     for last, (kind, back) in _automaton().iter(value.decode("latin-1")):
         start = last - back
-        if start >= 0 and (hit := VALIDATORS[kind](value, start)):
+        if start >= 0 and (hit := VALIDATORS[kind](scan, start)):
             found.append((hit[0], start, hit[1]))
     return sorted(set(found), key=lambda m: (m[1], -m[2]))
 
@@ -237,20 +331,22 @@ def sniff(df: DataFrame, *, content_col: str, declared_col: str | None = None, o
     the declared type.  Media that start later are ``embedded``, nested ones included.
     Null content is empty content.
     """
-    media = F.col(f"{out}_all")
     declared = F.lower(F.trim(F.col(declared_col))) if declared_col else F.lit(None).cast("string")
     known = declared.isin("audio/wav", "image/webp", *[k for k in VALIDATORS if k != "riff"])
-    first = F.get(F.filter(media, lambda m: m["start"] == 0), F.lit(0))["type"]
-    detected = F.coalesce(first, F.when(~known, declared), F.lit("application/octet-stream"))
-    held = F.filter(media, lambda m: m["start"] > 0)
-    return df.withColumn(f"{out}_all", _media(F.coalesce(F.col(content_col), F.lit(b"")))).withColumn(
-        out, F.struct(detected.alias("detected"), (~detected.eqNullSafe(declared)).alias("corrected"), held.alias("embedded"))).drop(f"{out}_all")
+
+    def judged(media: Column) -> Column:
+        first = F.get(F.filter(media, lambda m: m["start"] == 0), F.lit(0))["type"]
+        detected = F.coalesce(first, F.when(~known, declared), F.lit("application/octet-stream"))
+        return F.struct(detected.alias("detected"), (~detected.eqNullSafe(declared)).alias("corrected"), F.filter(media, lambda m: m["start"] > 0).alias("embedded"))
+
+    # An array of one, so that the media are found once and need no column of their own.
+    return df.withColumn(out, F.transform(F.array(_media(F.coalesce(F.col(content_col), F.lit(b"")))), judged)[0])
 
 
-def carve(df: DataFrame, *, content_col: str, media_col: str = "media") -> DataFrame:
-    """A row for each embedded medium: the columns of ``df``, ``type``, ``start``, ``end`` and its ``bytes``."""
-    rows = df.select("*", F.explode(f"{media_col}.embedded").alias("m"))
-    return rows.select(*df.columns, "m.type", "m.start", "m.end", F.substring(F.col(content_col), F.col("m.start").cast("int") + 1, (F.col("m.end") - F.col("m.start")).cast("int")).alias("bytes"))
+def carve(df: DataFrame, *, content_col: str, media_col: str = "media", out: str = "carved") -> DataFrame:
+    """A row for each embedded medium: the columns of ``df`` and a struct ``out`` (replaced if it is there) of ``type, start, end, bytes``."""
+    cut = lambda m: F.struct(m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), F.substring(F.col(content_col), m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")).alias("bytes"))
+    return df.select(*[c for c in df.columns if c != out], F.explode(F.transform(f"{media_col}.embedded", cut)).alias(out))
 
 
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")

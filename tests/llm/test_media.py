@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -63,7 +64,7 @@ def test_sniff_corrects_and_carves(spark):
     assert got == {
         1: ("image/png", True), 2: ("image/png", False), 3: ("text/plain", False), 4: ("application/octet-stream", True), 5: ("application/octet-stream", True), 6: ("text/plain", False),
     }
-    carved = [(r.id, r.type, bytes(r.bytes)) for r in media.carve(df, content_col="content").orderBy("start").collect()]
+    carved = [(r.id, r.carved.type, bytes(r.carved.bytes)) for r in media.carve(df, content_col="content").orderBy("carved.start").collect()]
     assert carved == [(3, "image/gif", GIF), (3, "image/png", png())]
 
 
@@ -109,3 +110,26 @@ def test_mp4_boxes_of_size_0_and_1():
     last = ftyp + moov + struct.pack(">I", 0) + b"mdatmedia to the end"
     assert media.media_in(last) == [("video/mp4", 0, len(last))]
     assert media.media_in(ftyp + struct.pack(">I", 0) + b"mdat" + moov) == []
+
+
+def test_columns_keep_their_names(spark):
+    rows = [(1, b"text " + GIF, "a", "b", "c", "d")]
+    df = media.sniff(spark.createDataFrame(rows, "start int, content binary, media_all string, type string, m string, bytes string"), content_col="content")
+    assert df.columns == ["start", "content", "media_all", "type", "m", "bytes", "media"]
+    row = media.carve(df, content_col="content").first()
+    assert (row.start, row.media_all, row.type, row.m, row.bytes) == (1, "a", "b", "c", "d") and row.carved.start == 5
+
+
+def test_empty_tables(spark):
+    df = media.sniff(spark.createDataFrame([], "content binary"), content_col="content")
+    assert df.count() == 0 and media.carve(df, content_col="content").count() == 0
+
+
+@pytest.mark.parametrize("part", [
+    b"PK\x03\x04abc", b"%PDF-1.", b"%PDF-1. obj startxref", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02", b"\x1f\x8b\x08\0\0\0\0\0\0\3", b"GIF89a\1\0\1\0\0\0\0",
+    b"OggS\0\2" + bytes(20) + b"\0", b"\0\0\0\x08ftyp", b"fLaC\0\0\0\x22" + bytes(34), b"RIFF\xff\0\0\0WAVE",
+])
+def test_hostile_repeats_take_linear_time(part):
+    began = time.process_time()
+    media.media_in(part * (560_000 // len(part)))
+    assert time.process_time() - began < 4
