@@ -4,10 +4,15 @@ Pre-tokens are held as ragged numpy arrays of symbol ids.  Each round looks up t
 all neighbouring pairs, applies to each sequence its lowest-ranked pair (every occurrence
 of it, left to right without overlap) at the same time for all sequences, and drops the
 sequences that have none left; the surviving symbols are the tokens.
+
+A long pre-token (base64, DNA, a line without a blank) takes many rounds.  Its rounds are
+the same, but the places of each pair are kept by rank, so a round costs as much as it
+changes and not the length of the pre-token.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -24,6 +29,8 @@ from claimstone.sources.tables import table
 REMEMBERED = 300_000
 #: Symbols merged at a time.
 CHUNK = 1 << 20
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 512
 
 
 class Vocabulary:
@@ -39,6 +46,7 @@ class Vocabulary:
         keys = left * self.wide + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.into = keys[order], order.astype(np.int64), into[order]
+        self.of_rank = (left, right, into)
         # A byte shows as itself where it prints, and the others as the characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -81,9 +89,63 @@ class Vocabulary:
             symbols, owner = symbols[keep], owner[keep]
         return totals
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; the number of merges for those that don't merge."""
+        pair = left * self.wide + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], len(self.keys))
+
+    def merged_long(self, piece: bytes) -> int:
+        """The number of tokens of one long piece."""
+        symbol = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        n, none = len(symbol), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: no neighbour
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Keeps the pairs that start at some places."""
+            rank = self._ranks(symbol[at], symbol[after[at]])
+            at, rank = at[rank < none], rank[rank < none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1, [len(rank)])) if len(rank) else [0]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                r = int(rank[a])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(at[a:z])
+
+        note(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            left, right, into = (int(x[rank]) for x in self.of_rank)
+            at = at[alive[at] & (symbol[at] == left) & (after[at] < n)]
+            at = at[symbol[after[at]] == right]
+            if not len(at):
+                continue
+            if left == right:  # in a run of overlapping occurrences every other one holds
+                new = np.concatenate(([True], after[at[:-1]] != at[1:]))
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(new, k, 0))) % 2 == 0]
+            gone = after[at]
+            symbol[at], alive[gone], after[at] = into, False, after[gone]
+            follow = after[at]
+            inside = follow < n
+            before[follow[inside]] = at[inside]
+            lead = before[at]
+            changed = np.unique(np.concatenate((lead[lead >= 0], at[inside])))
+            note(changed[after[changed] < n])
+        return int(alive.sum())
+
     def learn(self, words: set[str]) -> None:
         """Counts the tokens of pre-tokens that aren't known."""
-        new = sorted(words)
+        long = [w for w in words if len(w) >= LONG]
+        self.known.update((w, self.merged_long(w.encode())) for w in long)
+        new = sorted(words.difference(long))
         while new:
             size, n = 0, 0
             while n < len(new) and (n == 0 or size + len(new[n]) * 4 <= CHUNK):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -41,6 +42,22 @@ def test_all_documents(spark, sf_dir):
 
 
 def test_null_and_repeated_rows(spark):
-    df = spark.createDataFrame([(None, None, 1), (1, "two words", 1), (1, "two words", 1)], "doc_id long, text string, n_tokens int")
-    assert sorted((r.n_bytes, r.n_tokens) for r in tokens.count_tokens(df).collect()) == [(0, 0), (9, 2), (9, 2)]
+    df = spark.createDataFrame([(None, None, 1), (1, "two words", 1), (1, "two words", 1), (2, "", 1)], "doc_id long, text string, n_tokens int")
+    assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(df, limit=1).collect()) == [(0, 0, False), (0, 0, False), (9, 2, True), (9, 2, True)]
     assert tokens.count_tokens(df.limit(0)).count() == 0
+
+
+def test_long_pre_tokens():
+    r = random.Random(4)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 30_000), ("ACGT", 40_000), ("a", 5000), ("ab", 5001), ("é日", 3000), ("-=", 9001))]
+    assert tokens.vocabulary().counts(texts) == want(texts)
+    for t in texts:
+        assert tokens.vocabulary().merged([t[:2000].encode()])[0] == tokens.vocabulary().merged_long(t[:2000].encode())
+
+
+def test_a_megabyte_without_a_blank_takes_seconds():
+    r = random.Random(5)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.process_time()
+    assert tokens.vocabulary().counts([text]) == want([text])
+    assert time.process_time() - began < 20
