@@ -47,7 +47,7 @@ CROWD = 20_000
 #: Bytes whose hashes are computed at a time, strings in one segment at most, and bytes of one text in step 4 (whole groups).
 PIECE, RUN, TEXT = 1 << 16, 1024, 1 << 19
 #: Bytes of texts in a pack, and for each bucket.
-PACK, BUCKET = 1 << 22, 1 << 24
+PACK, BUCKET = 1 << 23, 1 << 23
 #: Stands for a missing id; it is larger than all others, and an id of this value counts as missing.
 NO_ID = (1 << 63) - 1
 
@@ -522,8 +522,8 @@ def _judged(docs: DataFrame, finish: Callable, schema: StructType, *, id_col: st
     single = long.repartition("id", "m1", "m2").join(firsts, ["id", "m1", "m2"], "left_semi")
     packs = stored(single.mapInArrow(_packs, "pack long, ids binary, m1 binary, m2 binary, sizes binary, data binary"), "packs")
     size = packs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    bits = max(6, int(np.ceil(np.log2(max(1, 3 * size / BUCKET)))))
-    tasks = 1 << (bits - 1)  # named, so that small blobs, which mean much work, aren't coalesced to few tasks
+    bits = max(4, int(np.ceil(np.log2(max(1, 3 * size / BUCKET)))))
+    tasks = 1 << bits  # named, so that small blobs, which mean much work, aren't coalesced to few tasks
     opened = packs.select("pack", "ids", "sizes", "data").repartition(tasks, "pack")
     told = opened.mapInArrow(_anchors(bits), BLOB_SQL).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_repeated, "pack long, blob binary")
     repeated = stored(told.repartition(tasks, "pack").groupBy("pack").agg(F.collect_list("blob").alias("blobs")), "anchors")
