@@ -17,15 +17,19 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, rows: int, folds: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """At most ``rows`` labelled documents outside fold ``held``: ``doc_id, text, label``.
 
-    The ids with the smallest hashes are taken, the same ones on every run.  A document
-    that has several labels counts with the largest; null labels and ids don't count.
-    The chosen ids are at most ``rows``, so they may be broadcast.
+    The ids with the smallest hashes that are in ``docs`` are taken, the same ones on every
+    run.  An id that several rows have counts once, with the text of the smallest hash; one
+    that has several labels with the largest.  Null labels and ids don't count.  The chosen
+    ids are at most ``rows``, so they may be broadcast.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != held))
-    chosen = chosen.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(texts.join(F.broadcast(chosen), "doc_id"), "sample")
+    judged = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != held))
+    judged = judged.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held_ids = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.xxhash64(text), F.md5(text)).alias("mark"))
+    chosen = held_ids.join(judged, "doc_id").groupBy("doc_id", "label").agg(F.min("mark").alias("mark")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text), F.md5(text)).alias("mark"))
+    found = texts.join(F.broadcast(chosen), ["doc_id", "mark"]).groupBy("doc_id", "label").agg(F.first("text").alias("text"))
+    return stored(found.select("doc_id", "text", "label"), "sample")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

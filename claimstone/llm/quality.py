@@ -8,8 +8,6 @@ one probability.  Every parameter, the embeddings included, is trained by gradie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +18,12 @@ from claimstone.llm.learning import fold_of, labelled_sample, sigmoid
 from claimstone.sources.tables import table
 
 CHUNK, OVERLAP = 256, 32
-WIDTH, STRIDE, DIMENSIONS, FILTERS = 6, 2, 6, 32
-#: Bounds of training: labelled documents, and chunks of one document, evenly spaced.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 2500, 24
+WIDTH, DIMENSIONS, FILTERS = 6, 6, 32
+#: Bound of training: labelled documents, each with its whole text.
+SAMPLE_ROWS = 2500
 EPOCHS, BATCH, RATE, DECAY, SEED = 14, 48, 0.01, 1e-4, 7
 FOLDS, THRESHOLD = 5, 0.3
-#: Chunks scored at a time.
+#: Chunks whose windows are held at a time.
 AT_ONCE = 128
 
 
@@ -51,13 +49,18 @@ class Network:
 
     def windows(self, chunks: np.ndarray) -> np.ndarray:
         """The embedded windows: (chunks, places, WIDTH * DIMENSIONS)."""
-        places = np.lib.stride_tricks.sliding_window_view(chunks, WIDTH, axis=1)[:, ::STRIDE]
-        return self.p["embed"][places].reshape(len(chunks), places.shape[1], -1)
+        e = self.p["embed"][chunks].reshape(len(chunks), -1)
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(e, WIDTH * DIMENSIONS, axis=1)[:, ::DIMENSIONS])
+
+    def responses(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows and what each filter says of them."""
+        x = self.windows(chunks)
+        return x, (x.reshape(-1, WIDTH * DIMENSIONS) @ self.p["filters"]).reshape(len(chunks), -1, FILTERS)
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """The value of each filter in each chunk."""
-        z = (self.windows(chunks).reshape(-1, WIDTH * DIMENSIONS) @ self.p["filters"]).reshape(len(chunks), -1, FILTERS)
-        return np.tanh(z.max(axis=1) + self.p["shift"])
+        most = [self.responses(chunks[k : k + AT_ONCE])[1].max(axis=1) for k in range(0, len(chunks), AT_ONCE)]
+        return np.tanh(np.concatenate(most) + self.p["shift"])
 
     @staticmethod
     def combined(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -67,35 +70,44 @@ class Network:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The probability of label 1 of each whole text."""
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            chunks = chunks_of(text)
-            h = np.concatenate([self.pooled(chunks[k : k + AT_ONCE]) for k in range(0, len(chunks), AT_ONCE)])
-            out[i] = sigmoid(self.combined(h, np.zeros(1, np.int64)) @ self.p["out"] + self.p["bias"])[0]
-        return out
+        if not texts:
+            return np.empty(0)
+        values, sizes, held = [], [], []
+        for text in texts:  # documents share passes over some AT_ONCE chunks
+            held.append(chunks_of(text))
+            sizes.append(len(held[-1]))
+            if sum(map(len, held)) >= AT_ONCE:
+                values.append(self.pooled(np.concatenate(held)))
+                held = []
+        if held:
+            values.append(self.pooled(np.concatenate(held)))
+        starts = np.cumsum([0, *sizes[:-1]])
+        return sigmoid((self.combined(np.concatenate(values), starts) @ self.p["out"] + self.p["bias"]).astype(np.float64))
 
     def gradients(self, chunks: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss of some documents."""
         p = self.p
-        x = self.windows(chunks)
-        z = (x.reshape(-1, x.shape[2]) @ p["filters"]).reshape(len(chunks), -1, FILTERS)
-        best = z.argmax(axis=1)
-        h = np.tanh(np.take_along_axis(z, best[:, None], 1)[:, 0] + p["shift"])
+        parts = []
+        for k in range(0, len(chunks), AT_ONCE):  # of all windows only each filter's best are kept
+            x, z = self.responses(chunks[k : k + AT_ONCE])
+            at = z.argmax(axis=1)
+            parts.append((at, np.take_along_axis(z, at[:, None], 1)[:, 0], x[np.arange(len(x))[:, None], at]))
+        best, most, picked = (np.concatenate(c) for c in zip(*parts, strict=True))  # picked: (chunks, filters, window)
+        h = np.tanh(most + p["shift"])
         d = self.combined(h, starts)
         wrong = ((sigmoid(d @ p["out"] + p["bias"]) - y) / len(y)).astype(np.float32)
         sizes = np.diff(np.append(starts, len(h)))
         doc = np.repeat(np.arange(len(starts)), sizes)
         back = (wrong[:, None] * p["out"])[doc]
-        mean, most, least = (back[:, k * FILTERS : (k + 1) * FILTERS] for k in range(3))
+        mean, largest, least = (back[:, k * FILTERS : (k + 1) * FILTERS] for k in range(3))
         dh = mean / sizes[doc][:, None]
-        for part, k in ((most, 1), (least, 2)):  # chunks that share an extreme share its gradient
+        for part, k in ((largest, 1), (least, 2)):  # chunks that share an extreme share its gradient
             holds = h == d[doc, k * FILTERS : (k + 1) * FILTERS]
             dh = dh + part * holds / np.add.reduceat(holds.astype(np.float32), starts)[doc]
         dz = dh * (1 - h * h)
         rows = np.arange(len(chunks))[:, None]
-        picked = x[rows, best]  # (chunks, filters, window)
         dx = dz[:, :, None] * p["filters"].T[None]
-        at = chunks[rows[:, :, None], (best * STRIDE)[:, :, None] + np.arange(WIDTH)].ravel()
+        at = chunks[rows[:, :, None], best[:, :, None] + np.arange(WIDTH)].ravel()
         flat = dx.reshape(-1, DIMENSIONS)
         return {
             "embed": np.column_stack([np.bincount(at, flat[:, k], 256) for k in range(DIMENSIONS)]), "filters": np.einsum("cfw,cf->wf", picked, dz),
@@ -123,25 +135,15 @@ class Network:
         return self
 
 
-def _spaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, text, label in zip(batch.doc_id, batch.text, batch.label, strict=True):
-            chunks = chunks_of(text)
-            pick = np.unique(np.linspace(0, len(chunks) - 1, SAMPLE_CHUNKS).astype(int))
-            rows.append((doc, label, chunks[pick].tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "label", "chunks"])
-
-
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held: int = 0) -> Network:
-    """Fit on at most ``rows`` labelled documents outside fold ``held``, and SAMPLE_CHUNKS chunks of each.
+    """Fit on at most ``rows`` labelled documents outside fold ``held``, on all chunks of each.
 
-    The driver gets at most rows * SAMPLE_CHUNKS * CHUNK bytes.  Without labels the network
-    is as initialised, and scores are near one half.
+    The driver gets the texts of these documents.  Without labels the network is as
+    initialised, and scores are near one half.
     """
     sample = labelled_sample(docs, labels, label="quality", rows=rows, folds=FOLDS, held=held)
-    got = sample.mapInPandas(_spaced, "doc_id long, label int, chunks binary").orderBy("doc_id", "chunks").toPandas()
-    documents = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in got.chunks]
+    got = sample.orderBy("doc_id", "text").toPandas()
+    documents = [chunks_of(t) for t in got.text]
     return Network().fit(documents, (got.label.to_numpy() > 0).astype(np.float32))
 
 

@@ -125,3 +125,76 @@ def test_linear_model():
     w = learning.fit_linear(x, y)
     assert np.mean((x @ w[:-1] + w[-1] > 0) == y) > 0.75 and abs(w[2]) < 0.4
     assert learning.sigmoid(learning.fit_linear(x, np.zeros(400))[-1]) < 0.01
+
+
+def brute_score(p, text):
+    """The network of one text, window by window."""
+    data = text.encode()
+    step = quality.CHUNK - quality.OVERLAP
+    n = max(1, -(-(len(data) - quality.OVERLAP) // step))
+    values = []
+    for k in range(n):
+        chunk = data[k * step : k * step + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        rows = [np.concatenate([p["embed"][b] for b in chunk[i : i + quality.WIDTH]]) @ p["filters"] for i in range(quality.CHUNK - quality.WIDTH + 1)]
+        values.append(np.tanh(np.max(rows, axis=0) + p["shift"]))
+    d = np.concatenate([np.mean(values, axis=0), np.max(values, axis=0), np.min(values, axis=0)])
+    return 1 / (1 + np.exp(-(d @ p["out"] + p["bias"][0])))
+
+
+def test_scores_against_every_window():
+    net = quality.Network(5)
+    texts = ["", "a", "word " * 300, "é" * 1000, "x" * 256, "y z" * 90]
+    assert net.score(texts) == pytest.approx([brute_score(net.p, t) for t in texts], abs=1e-5)
+
+
+def test_one_row_for_each_labelled_id(spark):
+    docs = frame(spark, [(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = frame(spark, [(1, 0), (1, 1), (2, None), (3, 0), (4, 1), (None, 1)], "doc_id long, quality int")
+    got = learning.labelled_sample(docs, labels, label="quality", rows=10, folds=1, held=1).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1), (3, 0)] and len(got) == 2
+    assert learning.labelled_sample(docs, labels, label="quality", rows=1, folds=1, held=1).count() == 1
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, [], "doc_id long, text string, lang string")
+    assert quality.score(docs, quality.Network()).count() == 0
+    assert language.identify(docs, language.train(docs)).count() == 0
+    none = frame(spark, [], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, none)).count() == 0
+
+
+def test_languages_learn_from_the_smallest_hashes(spark, monkeypatch):
+    rows = [(i, f"{lang} text {i}", lang) for lang, n in (("x", 400), ("y", 30), ("z", 3)) for i in range(1000 * n, 1000 * n + n)] + [(1, "again", "x")] * 50
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "stored", lambda d, label: seen.append(d.collect()) or d)
+    language.train(df, rows=20)
+    got = {lang: sum(r.lang == lang for r in seen[0]) for lang in "xyz"}
+    assert got["x"] == 20 and got["y"] == 20 and 1 <= got["z"] <= 3 and len(set(seen[0])) == len(seen[0])
+
+
+def brute_language(profiles, text):
+    """Out-of-place distances from lists of n-grams as strings."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    counts: dict[str, int] = {}
+    for i, w in enumerate(words):
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            for k in range(len(padded) - n + 1):
+                g = padded[k : k + n]
+                if " " in g.strip(" ") or g.strip(" ") == "" or (n == 3 and g[1] == " "):
+                    continue
+                if n < 3 or g.strip():
+                    counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def test_profiles_count_every_gram():
+    for text in ("the then them", "a bb a", "Ünï code é", "x"):
+        codes = language.letters(text)
+        values, counts = language.grams(codes)
+        got = {}
+        for v, n in zip(values.tolist(), counts.tolist(), strict=True):
+            kind, v = (3, v ^ 1 << 61) if v >> 61 else (2, v ^ 1 << 60) if v >> 60 else (1, v)
+            got["".join(chr(v >> 16 * k & 0xFFFF) for k in reversed(range(kind))).replace("\0", " ")] = n
+        assert got == brute_language(None, text)
