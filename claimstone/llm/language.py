@@ -111,10 +111,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, *, rows: int = SAMPLE_ROWS, folds: int = 4, held: int = 2) -> Profiles:
-    """Profiles from at most ``rows`` documents a language, outside fold ``held``; null languages, texts and ids don't count."""
+    """Profiles from at most ``rows`` documents a language, outside fold ``held``; null languages, texts and ids don't count.
+
+    Documents are taken by the smallest hashes of their ids.  A language's count says below
+    which hash about twice as many lie as are wanted; only these are ranked, so that no task
+    gets more of a language, however many documents have it.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = stored(known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang").distinct(), "ids")
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 100) / F.col("n"))
+    below = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 40)).cast("long").alias("below"))
+    place = F.xxhash64("doc_id")
+    near = known.select("doc_id", "lang", place.alias("place")).join(below, "lang").where(F.pmod("place", F.lit(1 << 40)) < F.col("below")).select("doc_id", "lang", "place").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 40)), "place", "doc_id")
+    ids = stored(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang"), "ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sample = known.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
