@@ -1,28 +1,28 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear models over term features; each
-model also gets the probabilities of the categories before it, in training those that
-models fitted without the document's fold gave (out of fold), so that they are as
-uncertain as they will be for new documents.
-
-The label table has one judgement, ``toxic``.  The earlier categories are read off the
-labelled documents with it: ``abusive`` (labelled toxic and holding a term that marks the
-toxic ones), ``repeated`` (three such terms or more) and ``dense`` (one in 100 words or
-more).  ``toxic``, the label itself, ends the chain.
-
-A term is a lower-case word of letters, or the first 3 to 7 letters of longer words, which
-catches the inflected and compounded forms of languages other than English.
+Categories are predicted one after the other by linear models; each also gets the
+probabilities of the categories before it, in training those of models that were fitted
+without the document's fold (out of fold), so that they are as uncertain as they will be
+for new documents.  What a fold's models look for is chosen without the fold too.
+
+The label table has one judgement, ``toxic``, which ends the chain.  The earlier categories
+are read off the labelled documents with it: ``abusive`` (labelled toxic and holding a word
+that marks the toxic ones), ``repeated`` (three such words or more) and ``dense`` (one in
+100 words or more).  Each link has its own view of a text, so that what it hands on is news
+to the next: which words are there, how often, their rates, and for ``toxic`` the stems,
+the first 3 to 7 letters of words, which catch inflected and compounded forms.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -32,10 +32,10 @@ from claimstone.sources.tables import table
 CATEGORIES = ("abusive", "repeated", "dense", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(3, 8)
-#: Bound of the labelled sample, terms in the models (of so many of the best, which hold some twice), and folds of the chain.
-SAMPLE_ROWS, TERMS, BEST, FOLDS = 6000, 128, 2000, 5
-#: Labelled documents that must hold a term, and how much likelier a toxic one is to hold a marking term.
-MIN_DOCS, MARKING = 5, 20.0
+#: Bound of the labelled sample, and folds of the chain.
+SAMPLE_ROWS, FOLDS = 6000, 5
+#: From which log-likelihood ratio on a term tells toxic documents from others, and how much likelier a toxic one is to hold a marking word.
+EVIDENCE, MARKING = 15.0, 20.0
 THRESHOLD = 0.5
 
 
@@ -44,90 +44,170 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if k < len(word))]
 
 
+def evidence(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """The log-likelihood ratio of terms that so many clean and toxic documents hold."""
+    def part(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            held = np.where(k > 0, k * np.log(k / np.maximum(n * rate, 1e-300)), 0)
+            not_held = np.where(n - k > 0, (n - k) * np.log((n - k) / np.maximum(n * (1 - rate), 1e-300)), 0)
+        return held + not_held
+
+    rate = (clean + toxic) / max(n_clean + n_toxic, 1)
+    return 2 * (part(clean, n_clean, rate) + part(toxic, n_toxic, rate))
+
+
+@dataclass
+class View:
+    """What models look for: columns of the words, of the marking ones among them, and of the stems."""
+
+    words: np.ndarray
+    marking: np.ndarray
+    stems: np.ndarray
+
+    def of(self, counts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The views of the links, from counts of all terms and the number of words."""
+        words = counts[:, self.words]
+        hits, rate = self.hits(counts, size)
+        some = np.column_stack([hits > 0, np.minimum(hits, 10) / 3, np.minimum(rate, 10)])
+        return [words > 0, np.log1p(words), np.minimum(100 * words / np.maximum(size, 1)[:, None], 10), np.column_stack([counts[:, self.stems] > 0, some])]
+
+    def hits(self, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many marking words texts have, and how many in 100."""
+        hits = counts[:, self.marking].sum(axis=1)
+        return hits, 100 * hits / np.maximum(size, 1)
+
+
 @dataclass
 class Chain:
-    """Terms and, for each category, weights over features and earlier probabilities."""
+    """Terms, a view of them and, for each category, weights over its view and earlier probabilities."""
 
-    terms: dict[str, int]
-    marking: set[str]
+    terms: list[str]
+    view: View
     weights: list[np.ndarray]
 
     def __post_init__(self) -> None:
+        self.number = {t: i for i, t in enumerate(self.terms)}
         self.heads = {t.rstrip("*")[:3] for t in self.terms}
 
-    def features(self, text: str) -> np.ndarray:
-        """For each term whether and how often the whole text has it, then marking terms: some, several, their rate."""
-        counts = np.zeros(len(self.terms))
-        words, marks = 0, 0
-        heads = self.heads
-        for w in WORD.findall(text.lower()):
-            words += 1
-            if w[:3] in heads:
-                held = [t for t in terms_of(w) if t in self.terms]
-                counts[[self.terms[t] for t in held]] += 1
-                marks += not self.marking.isdisjoint(held)
-        return np.concatenate([counts > 0, np.log1p(counts), [marks > 0, min(marks, 10) / 3, 100 * min(marks / max(words, 1), 0.1)]])
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """The probabilities of all categories for rows of features."""
-        for w in self.weights:
-            x = np.column_stack([x, sigmoid(x @ w[:-1] + w[-1])])
-        return x[:, -len(self.weights) :]
+    def counts(self, text: str) -> np.ndarray:
+        """How often the whole text has each term, and last its number of words."""
+        out = np.zeros(len(self.terms) + 1)
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            out[-1] += n
+            if word[:3] in self.heads:
+                for t in terms_of(word):
+                    if t in self.number:
+                        out[self.number[t]] += n
+        return out
+
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        """The probabilities of all categories for rows of counts."""
+        known = np.zeros((len(counts), 0))
+        for x, w in zip(self.view.of(counts[:, :-1], counts[:, -1]), self.weights, strict=True):
+            known = np.column_stack([known, sigmoid(np.column_stack([x, known]) @ w[:-1] + w[-1])])
+        return known
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        held: dict[str, list[int]] = {}
-        for text, label in zip(batch.text, batch.label, strict=True):
+        held: dict[tuple[str, int], list[int]] = {}
+        for text, fold, label in zip(batch.text, batch.fold, batch.label, strict=True):
             for t in {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)}:
-                held.setdefault(t, [0, 0])[label] += 1
-        yield pd.DataFrame([(w, a, b) for w, (a, b) in held.items()], columns=["term", "clean", "toxic"])
+                held.setdefault((t, fold), [0, 0])[label] += 1
+        yield pd.DataFrame([(w, f, a, b) for (w, f), (a, b) in held.items()], columns=["term", "fold", "clean", "toxic"])
+
+
+def _view(terms: list[str], clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> View:
+    """The terms that tell, by their counts in documents; of stems that say the same one stays."""
+    tells = evidence(clean, toxic, n_clean, n_toxic) >= EVIDENCE
+    rate = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
+    words, marking, stems, seen = [], [], [], set()
+    for i, t in enumerate(terms):
+        if not tells[i]:
+            continue
+        if not t.endswith("*"):
+            words.append(i)
+            if rate[i] >= MARKING:
+                marking.append(i)
+        elif (key := (t[:3], clean[i], toxic[i])) not in seen:
+            seen.add(key)
+            stems.append(i)
+    return View(*(np.array(x, np.int64) for x in (words, marking, stems)))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held: int = 0) -> Chain:
     """Fit a chain on at most ``rows`` labelled documents outside fold ``held``.
 
-    Terms are counted, and features made, on the executors; the driver gets the table of
-    the ``TERMS`` best terms and a matrix of at most ``rows`` rows.
+    Terms are counted on the executors; the driver gets those that tell toxic documents from
+    others in the sample, however many, and a row of their counts for each sampled document.
     """
-    sample = labelled_sample(docs, labels, label="toxic", rows=rows, folds=FOLDS, held=held)
-    size = {bool(r.label): r.n for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
-    toxic, clean = size.get(True, 0), size.get(False, 0)
-    counted = sample.select("text", (F.col("label") > 0).cast("int").alias("label")).mapInPandas(_term_counts, "term string, clean long, toxic long")
-    rate = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    best = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= MIN_DOCS)
-    gain = F.abs(F.log(rate)) * F.sqrt(F.abs(F.col("toxic") / max(toxic, 1) - F.col("clean") / max(clean, 1)))
-    ranked = best.select("term", "clean", "toxic", rate.alias("rate"), gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(BEST).collect()
-    best, seen = [], set()
-    for r in ranked:  # stems of one word that are in the same number of documents say the same
-        key = (r.term[:3], r.clean, r.toxic)
-        if key not in seen and len(best) < TERMS:
-            seen.add(key)
-            best.append(r)
-    chain = Chain({r.term: i for i, r in enumerate(best)}, {r.term for r in best if r.rate >= MARKING}, [])
+    fold = (F.floor(fold_of(F.col("doc_id"), 2**31) / FOLDS) % FOLDS).cast("int")
+    sample = labelled_sample(docs, labels, label="toxic", rows=rows, folds=FOLDS, held=held).select("doc_id", "text", (F.col("label") > 0).cast("int").alias("label"), fold.alias("fold"))
+    size = np.zeros((FOLDS, 2))
+    for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
+        size[r.fold, r.label] = r.n
+    counted = sample.select("text", "fold", "label").mapInPandas(_term_counts, "term string, fold int, clean long, toxic long")
+    in_fold = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    table_of = counted.groupBy("term").agg(*[in_fold(c, k) for c in ("clean", "toxic") for k in range(FOLDS)])
+    got = table_of.where(_may_tell(size)).orderBy("term").toPandas()
+    clean, toxic = (got[[f"{c}{k}" for k in range(FOLDS)]].to_numpy(float) for c in ("clean", "toxic"))
+    terms = got.term.tolist()
+
+    def view(without: int | None) -> View:
+        use = [k for k in range(FOLDS) if k != without]
+        return _view(terms, clean[:, use].sum(axis=1), toxic[:, use].sum(axis=1), size[use, 0].sum(), size[use, 1].sum())
+
+    chain = Chain(terms, view(None), [])
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def featured(texts: pd.Series) -> pd.Series:
-        return pd.Series([chain.features(t) for t in texts])
-
-    got = sample.select("doc_id", "label", fold_of(F.col("doc_id"), 2**31).alias("crc"), featured("text").alias("x")).orderBy("doc_id").toPandas()
-    x = np.array(got.x.tolist()).reshape(len(got), 2 * len(best) + 3)
-    label = got.label.to_numpy() > 0
-    targets = [label & (x[:, -3] > 0), label & (x[:, -2] >= 1), label & (x[:, -1] >= 1), label]
-    fold = (got.crc.to_numpy() // FOLDS) % FOLDS
-    for y in targets:
-        y = y.astype(float)
-        chain.weights.append(fit_linear(x, y))
+    def counts(texts: pd.Series) -> pd.Series:
+        return pd.Series([chain.counts(t) for t in texts])
+
+    rows_ = sample.select("doc_id", "label", "fold", counts("text").alias("x")).orderBy("doc_id").toPandas()
+    x = np.array(rows_.x.tolist()).reshape(len(rows_), len(terms) + 1)
+    label, fold_no = rows_.label.to_numpy() > 0, rows_.fold.to_numpy()
+
+    def targets(v: View) -> list[np.ndarray]:
+        hits, rate = v.hits(x[:, :-1], x[:, -1])
+        return [(label & (hits > 0)).astype(float), (label & (hits >= 3)).astype(float), (label & (rate >= 1)).astype(float), label.astype(float)]
+
+    views = [view(k) for k in range(FOLDS)]
+    seen, aims = [v.of(x[:, :-1], x[:, -1]) for v in views], [targets(v) for v in views]
+    final, final_aims = chain.view.of(x[:, :-1], x[:, -1]), targets(chain.view)
+    known = np.zeros((len(x), 0))
+    for link in range(len(CATEGORIES)):
+        chain.weights.append(fit_linear(np.column_stack([final[link], known]), final_aims[link]))
         out = np.zeros(len(x))
         for k in range(FOLDS):
-            test = fold == k
-            if test.any():
-                w = fit_linear(x[~test], y[~test])
-                out[test] = sigmoid(x[test] @ w[:-1] + w[-1])
-        x = np.column_stack([x, out])
+            test = fold_no == k
+            if test.any() and link + 1 < len(CATEGORIES):
+                own = np.column_stack([seen[k][link], known])
+                w = fit_linear(own[~test], aims[k][link][~test])
+                out[test] = sigmoid(own[test] @ w[:-1] + w[-1])
+        known = np.column_stack([known, out])
     return chain
 
 
+def _may_tell(size: np.ndarray) -> Column:
+    """Whether a term's evidence reaches EVIDENCE over all folds, or without one of them."""
+    def term(k: Column, n: float, rate: Column) -> Column:
+        n = F.lit(float(n))
+        held = F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
+        return held + F.when(n - k > 0, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0)
+
+    def ratio(use: list[int]) -> Column:
+        n_clean, n_toxic = size[use, 0].sum(), size[use, 1].sum()
+        clean, toxic = (sum((F.col(f"{c}{k}") for k in use[1:]), F.col(f"{c}{use[0]}")).cast("double") for c in ("clean", "toxic"))
+        rate = (clean + toxic) / F.lit(float(max(n_clean + n_toxic, 1)))
+        return F.coalesce(2 * (term(clean, n_clean, rate) + term(toxic, n_toxic, rate)), F.lit(0.0)) >= EVIDENCE - 1e-6
+
+    folds = list(range(FOLDS))
+    out = ratio(folds)
+    for k in folds:
+        out = out | ratio([j for j in folds if j != k])
+    return out
+
+
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (the probabilities of CATEGORIES; replaced if it is there) for every row; a null text is empty."""
 
@@ -135,7 +215,7 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
     def scored(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype=object)
-        return pd.Series(list(chain.scores(np.array([chain.features(t) for t in texts]))))
+        return pd.Series(list(chain.scores(np.array([chain.counts(t) for t in texts]))))
 
     return docs.withColumn("toxicity", scored(F.coalesce(F.col(text_col), F.lit(""))))
 

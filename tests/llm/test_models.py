@@ -71,7 +71,7 @@ def test_profile_order():
 
 def test_odd_rows_are_scored(spark):
     docs = frame(spark, ODD, SCHEMA)
-    network, chain = quality.Network(), toxicity.Chain({}, set(), [np.array([0, 0, 0, -1.0])])
+    network, chain = quality.Network(), toxicity.Chain([], toxicity.View(*(np.zeros(0, np.int64) for _ in range(3))), [np.array([*[0] * i, -1.0]) for i in (0, 1, 2, 6)])
     assert all(0 <= r.score <= 1 for r in quality.score(docs, network).collect()) and quality.score(docs, network).count() == len(ODD)
     assert toxicity.score(docs, chain).count() == len(ODD)
     assert [r.guess.lang_pred for r in language.identify(docs.where("doc_id < 3"), language.Profiles([("x", 97, 0)])).collect()] == ["und", "und"]
@@ -198,3 +198,26 @@ def test_profiles_count_every_gram():
             kind, v = (3, v ^ 1 << 61) if v >> 61 else (2, v ^ 1 << 60) if v >> 60 else (1, v)
             got["".join(chr(v >> 16 * k & 0xFFFF) for k in reversed(range(kind))).replace("\0", " ")] = n
         assert got == brute_language(None, text)
+
+
+def test_terms_are_counted_as_by_hand():
+    chain = toxicity.Chain(["bad", "bad*", "worse*", "é"], toxicity.View(np.array([0, 3]), np.array([0]), np.array([1, 2])), [])
+    assert chain.counts("Bad badly, BADLY worsened é; a worse bad1x").tolist() == [2, 2, 1, 1, 9]
+    views = chain.view.of(np.array([[2, 2, 1, 1.0], [0, 0, 0, 0]]), np.array([10, 0.0]))
+    assert views[0].tolist() == [[1, 1], [0, 0]] and views[2].tolist() == [[10, 10], [0, 0]] and views[3][0].tolist() == [1, 1, 1, 2 / 3, 10]
+
+
+def test_evidence_by_hand():
+    got = toxicity.evidence(np.array([0.0, 5, 50]), np.array([10.0, 5, 0]), 100, 10)
+    assert got[0] == pytest.approx(2 * (10 * np.log(11) + 100 * np.log(11 / 10)), rel=1e-9) and got[1] < got[0] and got[2] > 0
+
+
+def test_folds_choose_their_terms_without_themselves(spark):
+    """A word that only one fold's toxic documents hold is no term of that fold's models."""
+    rows = [(i, f"calm text {i}" + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    docs = frame(spark, [r[:2] for r in rows], "doc_id long, text string")
+    labels = frame(spark, [(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert [chain.terms[i] for i in chain.view.marking] == ["vile"]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, chain).collect()}
+    assert all((got[i][3] > 0.5) == bool(t) and (got[i][0] > 0.5) == bool(t) for i, _, t in rows)
