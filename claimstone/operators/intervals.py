@@ -30,7 +30,10 @@ def overlap_join(left: DataFrame, right: DataFrame, *, on: list[str], width: flo
     pairs = a.join(b, [*on, "_bin"]).where(overlap & first).drop("_bin")
     if how == "inner":
         return pairs
-    return left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
+    # Rows are known by all their columns; nulls are equal here.
+    met = pairs.select(*[F.col(c).alias(f"_met_{i}") for i, c in enumerate(left.columns)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_met_{i}")) for i, c in enumerate(left.columns)]
+    return left.join(met, same, "left_anti")
 
 
 # --- Queries: views and clicks as utterances in two languages; a value is a length in seconds ---------

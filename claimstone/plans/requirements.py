@@ -29,9 +29,10 @@ MOST_PENALTY = 0.70
 CAPS = {"high": 0.59, "medium": 0.79, "reported": 0.89}
 
 
-def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statements of documents: their first sentences that hold a cue word, MAX_STATEMENTS at most, numbered from 1, with a label."""
-    s = docs.select(F.col(id_col).alias("doc_id"), F.slice(F.filter(sentences(F.col(text_col)), lambda x: has_cue(x, V.CUES)), 1, V.MAX_STATEMENTS).alias("s"))
+def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+    """Statements of documents: their sentences that hold a cue word, numbered from 1, with a label; only the first ``most`` if that is given."""
+    found = F.filter(sentences(F.col(text_col)), lambda x: has_cue(x, V.CUES))
+    s = docs.select(F.col(id_col).alias("doc_id"), (found if most is None else F.slice(found, 1, most)).alias("s"))
     rows = s.select("doc_id", F.posexplode("s").alias("i", "statement"))
     return rows.select("doc_id", (F.col("i") + 1).alias("number"), "statement", label(F.col("statement")).alias("label"), F.lit(0.9).alias("confidence"))
 
@@ -212,7 +213,7 @@ _REQUIREMENTS = f"""
         UNION ALL SELECT 'story', item_id, 'story_missing_acceptance', 'medium' FROM sto WHERE len(criteria) = 0
         UNION ALL SELECT 'story', item_id, 'story_too_large', 'low' FROM sto WHERE points = 8)"""
 SQL = {
-    "extracted_statements": f"""WITH s AS (SELECT doc_id, list_filter({sentences_sql('text')}, lambda x: {_cue_sql('x', V.CUES)})[1:{V.MAX_STATEMENTS}] AS s FROM documents),
+    "extracted_statements": f"""WITH s AS (SELECT doc_id, list_filter({sentences_sql('text')}, lambda x: {_cue_sql('x', V.CUES)}) AS s FROM documents),
         x AS (SELECT doc_id, generate_subscripts(s, 1)::INT AS number, unnest(s) AS statement FROM s) SELECT doc_id, number, statement, {_label_sql('statement')} AS label, 0.9::DOUBLE AS confidence FROM x""",
     "best_evidence": f"WITH {_EVIDENCE} SELECT item_id, doc_id, md5(quote) AS quote_md5, support, grade FROM ev",
     "requirement_rows": f"WITH {_REQUIREMENTS} SELECT * EXCLUDE (text) FROM rq",
