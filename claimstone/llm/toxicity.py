@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from claimstone.llm.learning import fit_linear, fold_of, labelled_sample, sigmoid
+from claimstone.session import stored
 from claimstone.sources.tables import table
 
 CATEGORIES = ("abusive", "repeated", "dense", "toxic")
@@ -34,8 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(3, 8)
 #: Bound of the labelled sample, and folds of the chain.
 SAMPLE_ROWS, FOLDS = 6000, 5
-#: From which log-likelihood ratio on a term tells toxic documents from others, and how much likelier a toxic one is to hold a marking word.
-EVIDENCE, MARKING = 15.0, 20.0
+#: From which log-likelihood ratio on a term tells toxic documents from others (chance gives it to one term in 100,000), and how much likelier a toxic one is to hold a marking word.
+EVIDENCE, MARKING = 20.0, 20.0
 THRESHOLD = 0.5
 
 
@@ -64,12 +65,13 @@ class View:
     marking: np.ndarray
     stems: np.ndarray
 
-    def of(self, counts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        """The views of the links, from counts of all terms and the number of words."""
-        words = counts[:, self.words]
+    def of(self, link: int, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What a link sees, from counts of all terms and the number of words."""
+        if link < 3:
+            words = counts[:, self.words]
+            return words > 0 if link == 0 else np.log1p(words) if link == 1 else np.minimum(100 * words / np.maximum(size, 1)[:, None], 10)
         hits, rate = self.hits(counts, size)
-        some = np.column_stack([hits > 0, np.minimum(hits, 10) / 3, np.minimum(rate, 10)])
-        return [words > 0, np.log1p(words), np.minimum(100 * words / np.maximum(size, 1)[:, None], 10), np.column_stack([counts[:, self.stems] > 0, some])]
+        return np.column_stack([counts[:, self.stems] > 0, hits > 0, np.minimum(hits, 10) / 3, np.minimum(rate, 10)])
 
     def hits(self, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many marking words texts have, and how many in 100."""
@@ -103,8 +105,9 @@ class Chain:
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """The probabilities of all categories for rows of counts."""
         known = np.zeros((len(counts), 0))
-        for x, w in zip(self.view.of(counts[:, :-1], counts[:, -1]), self.weights, strict=True):
-            known = np.column_stack([known, sigmoid(np.column_stack([x, known]) @ w[:-1] + w[-1])])
+        for link, w in enumerate(self.weights):
+            x = np.column_stack([self.view.of(link, counts[:, :-1], counts[:, -1]), known])
+            known = np.column_stack([known, sigmoid(x @ w[:-1] + w[-1])])
         return known
 
 
@@ -140,16 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held:
 
     Terms are counted on the executors; the driver gets those that tell toxic documents from
     others in the sample, however many, and a row of their counts for each sampled document.
+    Documents of equal texts and labels count once, so that copies make no evidence.
     """
     fold = (F.floor(fold_of(F.col("doc_id"), 2**31) / FOLDS) % FOLDS).cast("int")
     sample = labelled_sample(docs, labels, label="toxic", rows=rows, folds=FOLDS, held=held).select("doc_id", "text", (F.col("label") > 0).cast("int").alias("label"), fold.alias("fold"))
+    sample = stored(sample.groupBy("text", "label").agg(F.min(F.struct("doc_id", "fold")).alias("d")).select("d.*", "text", "label"), "texts")
     size = np.zeros((FOLDS, 2))
     for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
         size[r.fold, r.label] = r.n
     counted = sample.select("text", "fold", "label").mapInPandas(_term_counts, "term string, fold int, clean long, toxic long")
     in_fold = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
     table_of = counted.groupBy("term").agg(*[in_fold(c, k) for c in ("clean", "toxic") for k in range(FOLDS)])
-    got = table_of.where(_may_tell(size)).orderBy("term").toPandas()
+    got = table_of.where(_may_tell(size)).toPandas().sort_values("term")
     clean, toxic = (got[[f"{c}{k}" for k in range(FOLDS)]].to_numpy(float) for c in ("clean", "toxic"))
     terms = got.term.tolist()
 
@@ -163,27 +168,28 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, held:
     def counts(texts: pd.Series) -> pd.Series:
         return pd.Series([chain.counts(t) for t in texts])
 
-    rows_ = sample.select("doc_id", "label", "fold", counts("text").alias("x")).orderBy("doc_id").toPandas()
-    x = np.array(rows_.x.tolist()).reshape(len(rows_), len(terms) + 1)
+    rows_ = sample.select("doc_id", "label", "fold", counts("text").alias("x")).toPandas().sort_values("doc_id")
+    x = np.array(rows_.x.tolist(), np.float32).reshape(len(rows_), len(terms) + 1)
+    x, n_words = x[:, :-1], x[:, -1]
     label, fold_no = rows_.label.to_numpy() > 0, rows_.fold.to_numpy()
 
-    def targets(v: View) -> list[np.ndarray]:
-        hits, rate = v.hits(x[:, :-1], x[:, -1])
-        return [(label & (hits > 0)).astype(float), (label & (hits >= 3)).astype(float), (label & (rate >= 1)).astype(float), label.astype(float)]
+    def target(v: View, link: int) -> np.ndarray:
+        hits, rate = v.hits(x, n_words)
+        return (label & [hits > 0, hits >= 3, rate >= 1, label][link]).astype(float)
+
+    def fitted(v: View, link: int, rows: np.ndarray) -> np.ndarray:
+        return fit_linear(np.column_stack([v.of(link, x[rows], n_words[rows]), known[rows]]), target(v, link)[rows])
 
     views = [view(k) for k in range(FOLDS)]
-    seen, aims = [v.of(x[:, :-1], x[:, -1]) for v in views], [targets(v) for v in views]
-    final, final_aims = chain.view.of(x[:, :-1], x[:, -1]), targets(chain.view)
-    known = np.zeros((len(x), 0))
+    known, every = np.zeros((len(x), 0)), np.ones(len(x), bool)
     for link in range(len(CATEGORIES)):
-        chain.weights.append(fit_linear(np.column_stack([final[link], known]), final_aims[link]))
+        chain.weights.append(fitted(chain.view, link, every))
         out = np.zeros(len(x))
         for k in range(FOLDS):
             test = fold_no == k
             if test.any() and link + 1 < len(CATEGORIES):
-                own = np.column_stack([seen[k][link], known])
-                w = fit_linear(own[~test], aims[k][link][~test])
-                out[test] = sigmoid(own[test] @ w[:-1] + w[-1])
+                w = fitted(views[k], link, ~test)
+                out[test] = sigmoid(np.column_stack([views[k].of(link, x[test], n_words[test]), known[test]]) @ w[:-1] + w[-1])
         known = np.column_stack([known, out])
     return chain
 

@@ -203,7 +203,7 @@ def test_profiles_count_every_gram():
 def test_terms_are_counted_as_by_hand():
     chain = toxicity.Chain(["bad", "bad*", "worse*", "é"], toxicity.View(np.array([0, 3]), np.array([0]), np.array([1, 2])), [])
     assert chain.counts("Bad badly, BADLY worsened é; a worse bad1x").tolist() == [2, 2, 1, 1, 9]
-    views = chain.view.of(np.array([[2, 2, 1, 1.0], [0, 0, 0, 0]]), np.array([10, 0.0]))
+    views = [chain.view.of(link, np.array([[2, 2, 1, 1.0], [0, 0, 0, 0]]), np.array([10, 0.0])) for link in range(4)]
     assert views[0].tolist() == [[1, 1], [0, 0]] and views[2].tolist() == [[10, 10], [0, 0]] and views[3][0].tolist() == [1, 1, 1, 2 / 3, 10]
 
 
