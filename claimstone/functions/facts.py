@@ -30,16 +30,21 @@ def stem(token: Column) -> Column:
     )
 
 
+def named(stemmed: Column) -> Column:
+    """The one name of a stem and its synonyms."""
+    return F.coalesce(F.try_element_at(_map(V.FACT_ALIASES), stemmed), stemmed)
+
+
 def fact_tokens(text: Column) -> Column:
     """The distinct fact tokens: stems by one name for synonyms, without scaffolding; units written out beside their number."""
     low = F.lower(F.coalesce(text, F.lit("")))
     plain = F.filter(F.regexp_extract_all(low, F.lit("([a-z0-9]{2,})"), F.lit(1)), lambda t: ~t.isin(V.FACT_SCAFFOLDING))
-    named = F.transform(plain, lambda t: F.coalesce(F.try_element_at(_map(V.FACT_ALIASES), stem(t)), stem(t)))
+    plain = F.transform(plain, lambda t: named(stem(t)))
     compact = F.regexp_extract_all(low, F.lit(f"({V.COMPACT})"), F.lit(1))
     amounts = F.transform(compact, lambda c: F.regexp_extract(c, r"^\d+(?:\.\d+)?", 0))
     units = F.transform(compact, lambda c: F.try_element_at(_map(V.UNITS), F.regexp_extract(c, "[a-z]+$", 0)))
     factor = F.when(low.rlike(r"\bmulti[-\s]+factor\s+authentication\b"), F.array(F.lit("authentication"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(named, amounts, units, factor))
+    return F.array_distinct(F.concat(plain, amounts, units, factor))
 
 
 def _share(shared: Column, whole: Column) -> Column:
