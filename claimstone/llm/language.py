@@ -23,7 +23,7 @@ from claimstone.sources.tables import table
 TOP = 300
 #: At most so many documents of each language are learned from.
 SAMPLE_ROWS = 1000
-#: Up to this many sampled documents are known by a broadcast of their ids.
+#: Up to this many languages, and sampled documents by their ids, are broadcast.
 BROADCAST_ROWS = 200_000
 NO_LETTER = "und"
 OTHER = 0xFFFF  # all letters beyond the basic plane
@@ -119,7 +119,9 @@ def train(docs: DataFrame, *, rows: int = SAMPLE_ROWS, folds: int = 4, held: int
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     share = F.least(F.lit(1.0), F.lit(2.0 * rows + 100) / F.col("n"))
-    below = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 40)).cast("long").alias("below"))
+    below = stored(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 40)).cast("long").alias("below")), "below")
+    if below.count() <= BROADCAST_ROWS:  # else documents would be dealt by language
+        below = F.broadcast(below)
     place = F.xxhash64("doc_id")
     near = known.select("doc_id", "lang", place.alias("place")).join(below, "lang").where(F.pmod("place", F.lit(1 << 40)) < F.col("below")).select("doc_id", "lang", "place").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 40)), "place", "doc_id")
