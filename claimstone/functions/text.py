@@ -172,21 +172,24 @@ def category(text: Column) -> Column:
 
 def relevance(text: Column) -> Column:
     """A struct of six signals, ``score`` and ``decision``: relevant, uncertain or irrelevant; weak signs stay uncertain."""
-    low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
-    has = {k: F.regexp_count(low, F.lit(p)) for k, p in V.SIGNALS.items()}
-    some = {k: c >= 1 for k, c in has.items()}
-    requirements = (some["modal"] & (some["action"] | some["actor"])) | some["artifact"]
-    rules = (some["condition"] & (some["modal"] | some["action"])) | (some["constraint"] & (some["modal"] | some["actor"]))
-    constraints = some["constraint"] & (some["modal"] | some["actor"] | some["condition"])
-    workflows = (some["condition"] & some["action"]) | ((has["action"] >= 2) & some["actor"])
-    decisions = low.rlike(r"\b(decided|agreed|chosen|selected|decision|approved|rejected)\b")
-    weights = [(requirements, 1.5), (rules, 1.0), (workflows, 0.8), (constraints, 0.7), (some["actor"], 0.5), (some["artifact"], 0.5)]
-    score = sum((F.when(c, F.lit(w)).otherwise(0.0) for c, w in weights), F.lit(0.0))
-    garbage = (((has["recipe"] >= 2) | (has["lyrics"] >= 2)) & ~requirements & (has["modal"] == 0)) | ((has["lorem"] >= 2) & ~requirements)
-    short = F.length(low) < V.MIN_RELEVANT_CHARS
-    decision = F.when(short, F.when(F.length(low) >= 20, "uncertain").otherwise("irrelevant")).when(garbage, "irrelevant").when(F.round(score, 6) >= 1.5, "relevant").otherwise("uncertain")
-    named = {"requirements": requirements, "business_rules": rules, "constraints": constraints, "workflows": workflows, "decisions": decisions, "stakeholders": some["actor"]}
-    return F.struct(*[F.when(short, F.lit(False)).otherwise(c).alias(k) for k, c in named.items()], F.when(short, F.lit(0.0)).otherwise(F.round(score, 6)).alias("score"), decision.alias("decision"))
+    def counted(low: Column) -> Column:
+        return F.struct(*[F.regexp_count(low, F.lit(p)).alias(k) for k, p in V.SIGNALS.items()], low.rlike(V.DECIDED).alias("decided"), F.length(low).alias("size"))
+
+    def judged(n: Column) -> Column:
+        some = {k: n[k] >= 1 for k in V.SIGNALS}
+        requirements = (some["modal"] & (some["action"] | some["actor"])) | some["artifact"]
+        rules = (some["condition"] & (some["modal"] | some["action"])) | (some["constraint"] & (some["modal"] | some["actor"]))
+        constraints = some["constraint"] & (some["modal"] | some["actor"] | some["condition"])
+        workflows = (some["condition"] & some["action"]) | ((n["action"] >= 2) & some["actor"])
+        weights = [(requirements, 1.5), (rules, 1.0), (workflows, 0.8), (constraints, 0.7), (some["actor"], 0.5), (some["artifact"], 0.5)]
+        score = F.round(sum((F.when(c, F.lit(w)).otherwise(0.0) for c, w in weights), F.lit(0.0)), 6)
+        garbage = (((n["recipe"] >= 2) | (n["lyrics"] >= 2)) & ~requirements & (n["modal"] == 0)) | ((n["lorem"] >= 2) & ~requirements)
+        short = n["size"] < V.MIN_RELEVANT_CHARS
+        decision = F.when(short, F.when(n["size"] >= 20, "uncertain").otherwise("irrelevant")).when(garbage, "irrelevant").when(score >= 1.5, "relevant").otherwise("uncertain")
+        named = {"requirements": requirements, "business_rules": rules, "constraints": constraints, "workflows": workflows, "decisions": n["decided"], "stakeholders": some["actor"]}
+        return F.struct(*[F.when(short, F.lit(False)).otherwise(c).alias(k) for k, c in named.items()], F.when(short, F.lit(0.0)).otherwise(score).alias("score"), decision.alias("decision"))
+
+    return let(let(F.trim(F.lower(F.coalesce(text, F.lit("")))), counted), judged)
 
 
 def different_languages(a: Column, b: Column) -> Column:
@@ -294,7 +297,7 @@ def _relevance_sql(source: str, keep: str) -> str:
               (n_condition >= 1 AND (n_modal >= 1 OR n_action >= 1)) OR (n_constraint >= 1 AND (n_modal >= 1 OR n_actor >= 1)) AS br,
               n_constraint >= 1 AND (n_modal >= 1 OR n_actor >= 1 OR n_condition >= 1) AS co,
               (n_condition >= 1 AND n_action >= 1) OR (n_action >= 2 AND n_actor >= 1) AS wf,
-              regexp_matches(low, '\\b(decided|agreed|chosen|selected|decision|approved|rejected)\\b') AS de FROM b),
+              regexp_matches(low, '{V.DECIDED}') AS de FROM b),
         d AS (SELECT *, round(1.5 * rq::INT + 1.0 * br::INT + 0.8 * wf::INT + 0.7 * co::INT + 0.5 * (n_actor >= 1)::INT + 0.5 * (n_artifact >= 1)::INT, 6)::DOUBLE AS s,
               ((n_recipe >= 2 OR n_lyrics >= 2) AND NOT rq AND n_modal = 0) OR (n_lorem >= 2 AND NOT rq) AS garbage FROM c),
         r AS (SELECT {keep}, size >= 50 AND rq AS requirements, size >= 50 AND br AS business_rules, size >= 50 AND co AS constraints, size >= 50 AND wf AS workflows,

@@ -38,9 +38,9 @@ def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", t
     """``a, b, jaccard``: classes a < b of different sets of ``least_tokens`` or more with a Jaccard of ``least`` or more.
 
     Tokens are ordered from rare to frequent.  Sets this similar share one of their first
-    n - ceil(least * n) + 1 tokens, and their sizes are within ``least`` of each other, so
-    only those prefixes meet.  A pair is verified where the first token that both prefixes
-    hold meets, on the whole sets, which are hashes of 8 bytes a token.
+    n - ceil(least * n) + 1 tokens, their sizes are within ``least`` of each other, and what
+    follows that token is long enough.  So ids, sizes and places of prefix tokens meet; only
+    the different pairs that are left read whole sets, which are hashes of 8 bytes a token.
     """
     heads = members.where("id = class_id").select("class_id")
     sets = docs.join(heads, docs[id_col] == heads["class_id"]).groupBy("class_id").agg(F.first(F.array_distinct(tokenize(F.col(text_col)))).alias("tokens")).where(F.size("tokens") >= least_tokens)
@@ -50,13 +50,17 @@ def near_pairs(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", t
     ordered = flat.join(ranks, "t").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
     n = F.size("s")
     ordered = stored(ordered.select("class_id", n.alias("n"), F.transform("s", lambda x: x["t"]).alias("set"), (n - F.ceil(n * least - 1e-9) + 1).cast("int").alias("p")), "sets")
-    prefix = ordered.select("class_id", "n", "set", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("i", "t"))
+    prefix = stored(ordered.select("class_id", "n", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("i", "t")), "prefixes")
     a, b = (prefix.select(*[F.col(c).alias(c if c == "t" else f"{c}_{side}") for c in prefix.columns]) for side in "ab")
     sized = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)
-    met = a.join(b, "t").where(sized & ~F.arrays_overlap(F.slice("set_a", F.lit(1), F.col("i_a")), F.slice("set_b", F.lit(1), F.col("i_b"))))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    scored = met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b", shared.alias("shared"))
-    return scored.where(F.col("shared") >= least * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9).select("a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 6).alias("jaccard"))
+    # At the first token that both hold, all that both hold comes from there on.
+    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    met = a.join(b, "t").where(sized & (rest * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9))
+    pairs = stored(met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct(), "candidates")
+    whole = [ordered.select(F.col("class_id").alias(k), F.col("set").alias(f"s{k}")) for k in "ab"]
+    shared = F.size(F.array_intersect("sa", "sb"))
+    scored = pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), shared.alias("shared"))
+    return scored.where(F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
 def conflicts(statements: DataFrame) -> DataFrame:
