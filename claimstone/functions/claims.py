@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from claimstone.functions import values as V
 from claimstone.functions.facts import fact_tokens, needs_review, numeric_values, stem
 from claimstone.functions.facts import named as alias
-from claimstone.functions.text import let, meaningful_tokens, numbers
+from claimstone.functions.text import let, meaningful_tokens, numbers, strings
 
 SPACES = " \t\n\r\x0b\x0c"
 _NOTHING = "array<string>"
@@ -32,10 +32,6 @@ def compact(text: Column) -> Column:
     return F.lower(F.regexp_replace(bare(text), r"\s+", " "))
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
-
-
 def _some(parts: Column) -> Column:
     return F.filter(F.transform(parts, bare), lambda p: p != "")
 
@@ -114,7 +110,7 @@ def support(source: Column, other: Column) -> Column:
 
 
 def _affirmed(s: Column) -> Column:
-    return F.array_except(s["facts"], _strings(V.NEGATION_TOKENS))
+    return F.array_except(s["facts"], strings(V.NEGATION_TOKENS))
 
 
 def relation(source: Column, other: Column) -> Column:
@@ -126,7 +122,7 @@ def relation(source: Column, other: Column) -> Column:
 
 def coverage(requirement: Column, evidence: Column) -> Column:
     """The share of a requirement's facts, modals aside, in the evidence; 1 if it has none."""
-    material = F.array_except(requirement["facts"], _strings(V.MODALS))
+    material = F.array_except(requirement["facts"], strings(V.MODALS))
     held = F.size(F.array_intersect(material, evidence["facts"])) / F.greatest(F.size(material), F.lit(1))
     return F.when(F.size(material) == 0, 1.0).otherwise(held)
 
@@ -201,7 +197,7 @@ def _all_facts(sources: Column) -> Column:
 
 def unsupported_terms(claim: Column, sources: Column) -> Column:
     """Terms that assert a behaviour which no source has and none entails."""
-    assertive = F.array_distinct(F.transform(_strings(V.ASSERTIVE_TERMS), lambda t: alias(stem(t))))
+    assertive = F.array_distinct(F.transform(strings(V.ASSERTIVE_TERMS), lambda t: alias(stem(t))))
     found = F.array_intersect(F.array_except(claim["facts"], _all_facts(sources)), assertive)
 
     def judged(terms: Column) -> Column:
@@ -210,7 +206,7 @@ def unsupported_terms(claim: Column, sources: Column) -> Column:
             (denies_others(claim, sources), ["deny"]), (stops_at_bound(claim, sources), ["block", "deny", "proceed", "reject"]),
             (follows_prohibition(claim, sources), ["block", "deny", "reject", "prevent"]), (retention_follows(claim, sources), ["retain"]),
         ]
-        excused = F.flatten(F.array(*[F.when(why, _strings(names)).otherwise(F.array().cast(_NOTHING)) for why, names in gone]))
+        excused = F.flatten(F.array(*[F.when(why, strings(names)).otherwise(F.array().cast(_NOTHING)) for why, names in gone]))
         return F.when(F.size(terms) > 0, F.array_except(terms, excused)).otherwise(terms)
 
     return let(found, judged)
@@ -221,7 +217,7 @@ def terms_for_review(claim: Column, sources: Column) -> Column:
     acts = {"notify": V.NOTIFIED, "record": V.RECORDED, "test": r"\btest(?:s|ed|ing)?\b"}
     lowered = F.lower(claim["text"])
     used = F.array(*[F.when(_said(lowered, acts.get(t, rf"\b{t}\b")), F.lit(t)) for t in V.REVIEW_TERMS])
-    return let(F.array_intersect(F.array_except(claim["facts"], _all_facts(sources)), _strings(V.REVIEW_TERMS)), lambda new: F.when(F.size(new) > 0, F.array_intersect(new, used)).otherwise(new))
+    return let(F.array_intersect(F.array_except(claim["facts"], _all_facts(sources)), strings(V.REVIEW_TERMS)), lambda new: F.when(F.size(new) > 0, F.array_intersect(new, used)).otherwise(new))
 
 
 def unsupported_numbers_of(claim: Column, sources: Column) -> Column:

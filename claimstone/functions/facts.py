@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimstone.functions import values as V
-from claimstone.functions.text import meaningful_tokens, numbers
+from claimstone.functions.text import meaningful_tokens, numbers, strings
 from claimstone.sources.tables import table
 
 
 def _map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant, written as one literal so that plans stay small."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
 
 def stem(token: Column) -> Column:
@@ -67,7 +65,7 @@ def supported(df: DataFrame, source: str, candidate: str) -> DataFrame:
     facts = F.size(F.array_intersect("_fs", "_fc"))
     none = (F.size("_fs") == 0) | (F.size("_fc") == 0)
     score = F.when(none, F.col("lexical")).when(apart, 0.0).otherwise(F.round(F.greatest("lexical", 0.80 * _share(facts, F.col("_fs")) + 0.20 * _share(facts, F.col("_fc"))), 4))
-    material = F.array_except("_fs", _strings(V.MODALS))
+    material = F.array_except("_fs", strings(V.MODALS))
     coverage = F.when(F.size(material) == 0, 1.0).otherwise(F.round(_share(F.size(F.array_intersect(material, F.col("_fc"))), material), 4))
     df = df.withColumn("lexical", lexical)
     return df.withColumn("support", score).withColumn("coverage", coverage).drop("_ms", "_mc", "_fs", "_fc", "_ns", "_nc")
