@@ -59,12 +59,17 @@ def slug(text: Column, size: int = 100) -> Column:
 
 
 def sample(text: Column, size: int = V.SAMPLE_CHARS) -> Column:
-    """The text, form feeds as blanks, if it has at most ``size`` characters; else its first, middle and last third of that size."""
-    flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\f"), F.lit(" "))
+    """The text, bare and form feeds as blanks, if it has at most ``size`` characters; else its first, middle and last third of that size, bare, marked as such."""
+    bare = lambda c: F.btrim(c, F.lit(V.WHITE))
     third = size // 3
-    middle = F.floor(F.length(flat) / 2) - third // 2
-    parts = F.concat_ws("\n", F.substring(flat, 1, third), F.substr(flat, (middle + 1).cast("int"), F.lit(third)), F.right(flat, F.lit(third)))
-    return F.when(F.length(flat) <= size, flat).otherwise(parts)
+
+    def cut(flat: Column) -> Column:
+        begin = F.greatest(F.floor(F.length(flat) / 2) - third // 2, F.lit(0))
+        parts = [F.substring(flat, 1, third), F.substr(flat, (begin + 1).cast("int"), F.lit(third)), F.right(flat, F.lit(third))]
+        marked = F.concat(bare(parts[0]), F.lit(V.SAMPLE_MIDDLE), bare(parts[1]), F.lit(V.SAMPLE_END), bare(parts[2]))
+        return F.when(F.length(flat) <= size, flat).otherwise(marked)
+
+    return let(bare(F.replace(F.coalesce(text, F.lit("")), F.lit("\f"), F.lit(" "))), cut)
 
 
 def luhn_valid(digits: Column) -> Column:
@@ -323,6 +328,7 @@ def category_sql(column: str) -> str:
     return _case([(n, "|".join(map(re.escape, t)).replace(chr(92) + " ", " ")) for n, t in V.CATEGORIES], f"lower(coalesce({column}, ''))", "Functional Capability")
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _CARDS_SQL = r"""
     WITH r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\b\d{13,16}\b')) AS digits FROM documents),
     s AS (SELECT doc_id, digits, list_sum(list_transform(range(1, len(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INT
@@ -337,8 +343,8 @@ SQL = {
     "normalized_text": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g') AS t FROM documents),
         b AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM a)
         SELECT doc_id, length(t)::INT AS n_chars_normal, sha256(t) AS text_sha256 FROM b""",
-    "sampled_text": """WITH a AS (SELECT doc_id, replace(coalesce(text, ''), chr(12), ' ') AS t FROM documents)
-        SELECT doc_id, md5(CASE WHEN length(t) <= 3000 THEN t ELSE substring(t, 1, 1000) || chr(10) || substring(t, (length(t) // 2 - 500 + 1)::INT, 1000) || chr(10) || right(t, 1000) END) AS sample_md5 FROM a""",
+    "sampled_text": f"""WITH a AS (SELECT doc_id, trim(replace(coalesce(text, ''), chr(12), ' '), {_WHITE}) AS t FROM documents)
+        SELECT doc_id, md5(CASE WHEN length(t) <= 3000 THEN t ELSE trim(substring(t, 1, 1000), {_WHITE}) || '{V.SAMPLE_MIDDLE}' || trim(substring(t, (length(t) // 2 - 500 + 1)::INT, 1000), {_WHITE}) || '{V.SAMPLE_END}' || trim(right(t, 1000), {_WHITE}) END) AS sample_md5 FROM a""",
     "pii_emails": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{V.EMAIL}'))::INT AS emails, md5(regexp_replace(coalesce(text, ''), '{V.EMAIL}', '[EMAIL]', 'g')) AS masked_md5 FROM documents",
     "pii_cards": _CARDS_SQL,
     "relevance_decisions": _relevance_sql("documents", "doc_id") + " SELECT * FROM r",

@@ -15,6 +15,7 @@ from claimstone.functions.text import meaningful_tokens, priority
 from claimstone.operators.similarity import prior_duplicates
 from claimstone.plans import derived
 from claimstone.session import stored
+from claimstone.sources.tables import table
 
 # --- Fixed values: causes of issues --------------------------------------------------------
 CAUSES = {
@@ -174,5 +175,36 @@ def groundedness_of_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groundedness(derived.requirements(spark, sf_dir)).select("id", F.round("groundedness", 4).alias("groundedness"))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"gate_rule_issues": gate_rule_issues, "gate_requirement_issues": gate_requirement_issues, "gate_penalties": gate_penalties, "groundedness_of_requirements": groundedness_of_requirements}
+def requirement_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the wording of requirements says: clauses, disposition, labels that it bears out, points."""
+    r = derived.requirements(spark, sf_dir)
+    parts = C.clauses(F.col("text"))
+    return r.select("id", F.size(parts).alias("clauses"), F.md5(F.array_join(parts, "|")).alias("clauses_md5"), C.disposition(F.col("text")).alias("wording"), F.array_join(C.settled_labels(F.col("text"), F.col("labels")), ",").alias("labels"),
+                    C.story_points(F.lit(0), F.array("text")).alias("points"))
+
+
+def quotable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts of each document may be quoted, and how long they are together."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", C.quotable(F.col("text")).alias("p"))
+    return parts.select("doc_id", F.size("p").alias("parts"), F.aggregate("p", F.lit(0), lambda n, x: n + F.length(x)).alias("chars"))
+
+
+_KEYS = """k AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 1 THEN '' WHEN o_orderkey % 7 = 3 THEN 'x' WHEN o_orderkey % 13 = 5 THEN '' ELSE 'x' END <> '' AS quoted,
+    o_orderkey % 11 <> 0 AND o_orderkey % 13 = 1 AS out_of_scope, o_orderkey % 11 <> 0 AND o_orderkey % 13 = 2 AS open_question, o_orderkey % 22 <> 0 AND o_orderkey % 33 = 0 AS assumed FROM orders)"""
+SQL = {
+    "groundedness_of_requirements": f"""WITH {_KEYS} SELECT k AS id, round(CASE WHEN NOT quoted THEN 0 WHEN k % 10 = 0 THEN 0.5 ELSE round((k % 10) / 10.0, 2) END * CASE WHEN k % 6 = 0 THEN 0.8 ELSE 1 END, 4)::DOUBLE AS groundedness FROM k""",
+    "gate_requirement_issues": f"""WITH {_KEYS},
+        r AS (SELECT *, out_of_scope OR open_question OR assumed AS special FROM k)
+        SELECT 'requirement' AS item_type, k AS item_id, 'requirement_empty_text' AS rule, 'high' AS severity FROM r WHERE k % 13 = 5
+        UNION ALL SELECT 'requirement', k, 'requirement_missing_labels', 'high' FROM r WHERE k % 11 = 0 AND k % 22 = 0
+        UNION ALL SELECT 'requirement', k, 'requirement_missing_labels', 'medium' FROM r WHERE k % 11 = 0 AND assumed
+        UNION ALL SELECT 'requirement', k, 'priority_not_source_supported', 'medium' FROM r WHERE ['Medium', 'Medium', 'High', 'Medium', 'Critical'][k % 5 + 1] <> CASE WHEN k % 13 = 9 THEN 'Critical' ELSE 'Medium' END
+        UNION ALL SELECT 'requirement', k, 'requirement_confidence_invalid', 'medium' FROM r WHERE k % 23 = 0
+        UNION ALL SELECT 'requirement', k, 'missing_evidence', 'high' FROM r WHERE NOT special AND NOT quoted
+        UNION ALL SELECT 'requirement', k, 'low_confidence_classification', 'medium' FROM r WHERE NOT special AND k % 23 <> 0 AND k % 29 = 0
+        UNION ALL SELECT 'coverage', 0, 'coverage_bad_story_id', 'medium' FROM r WHERE k % 8 = 5
+        UNION ALL SELECT 'coverage', -k, 'coverage_bad_requirement_id', 'medium' FROM r WHERE k % 47 = 0 AND k <> 0
+        UNION ALL SELECT 'requirement', k, 'out_of_scope_covered_by_story', 'high' FROM r WHERE (k % 47 <> 0 OR k = 0) AND k % 3 <> 1 AND out_of_scope
+        UNION ALL SELECT 'requirement', k, 'open_question_covered_by_story', 'high' FROM r WHERE (k % 47 <> 0 OR k = 0) AND k % 3 <> 1 AND open_question""",
+}
+QUERIES = {"gate_rule_issues": gate_rule_issues, "gate_requirement_issues": gate_requirement_issues, "gate_penalties": gate_penalties, "requirement_wording": requirement_wording, "quotable_parts": quotable_parts, "groundedness_of_requirements": groundedness_of_requirements}

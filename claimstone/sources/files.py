@@ -55,8 +55,10 @@ def kind(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 1024))
     at = lambda offset, size: F.substring(head, 2 * offset + 1, 2 * size)
     is_zip = at(0, 4) == "504B0304"
+    # A file that starts as one of these isn't a PDF, whatever its first KB holds.
+    other = at(0, 2).isin("4D5A") | at(0, 4).isin("504B0304", "52494646", "4F676753", "7F454C46", "1A45DFA3") | (at(0, 3) == "494433")
     return (
-        F.when(F.length(content) == 0, F.lit(None).cast("string")).when(head.contains("255044462D"), "pdf").when(is_zip, F.when(_is_docx(F.when(is_zip, content).otherwise(F.lit(b""))), "docx"))
+        F.when(F.length(content) == 0, F.lit(None).cast("string")).when((F.regexp_extract(head, "^(?:..)*?(255044462D)", 1) != "") & ~other, "pdf").when(is_zip, F.when(_is_docx(F.when(is_zip, content).otherwise(F.lit(b""))), "docx"))
         .when((at(0, 3) == "494433") | at(0, 2).isin("FFFB", "FFF3", "FFF2"), "mp3").when((at(0, 4) == "52494646") & (at(8, 4) == "57415645"), "wav").when(at(0, 4) == "4F676753", "ogg")
         .when(at(4, 4) == "66747970", "m4a").when(at(0, 4) == "1A45DFA3", "webm").when(is_text(content), "text")
     )
@@ -93,7 +95,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "document_files": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        k AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN contains(t[1:1024], '%PDF-') THEN 'pdf' WHEN starts_with(t, 'ID3') THEN 'mp3' WHEN len(regexp_extract_all(t, '[\x01-\x08\x0B\x0C\x0E-\x1F]')) <= 0.05 * length(t) THEN 'text' END AS kind FROM d)
+        k AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN contains(t[1:1024], '%PDF-') AND NOT regexp_matches(t, '^(?:MZ|RIFF|ID3|OggS)') THEN 'pdf' WHEN starts_with(t, 'ID3') THEN 'mp3' WHEN len(regexp_extract_all(t, '[\x01-\x08\x0B\x0C\x0E-\x1F]')) <= 0.05 * length(t) THEN 'text' END AS kind FROM d)
         SELECT doc_id, kind, CASE WHEN kind IS NULL THEN 'unknown content' WHEN kind <> 'text' THEN 'content is not what the name says' END AS rejected, 'doc_' || left(sha256(t), 16) AS document_id, md5(t) AS text_md5 FROM k""",
 }
 QUERIES = {"page_files": page_files, "document_files": document_files}

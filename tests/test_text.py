@@ -105,3 +105,18 @@ def test_files(spark):
     ]
     df = files.inspected(spark.createDataFrame([r[:2] for r in rows], "name string, content binary"), name_col="name")
     assert [(r.name, r.kind, r.rejected) for r in df.orderBy("name").collect()] == [(n, k, w) for n, _, k, w in rows]
+
+
+def test_sample_marks_its_parts(spark):
+    from claimstone.functions import text as T
+
+    texts = ["  short\ftext \n", "a" * 999 + " " + "b" * 4000 + " " + "c" * 999, None]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.sample(F.col("t")).alias("x")).collect()]
+    assert got == ["short text", "a" * 999 + "\n\n[... middle section ...]\n\n" + "b" * 1000 + "\n\n[... ending section ...]\n\n" + "c" * 999, ""]
+
+
+def test_let_computes_once(spark):
+    from claimstone.functions.text import let
+
+    df = spark.range(3).select(let(F.rand(1), lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("r"))
+    assert all(r.r.a == r.r.b for r in df.collect())
