@@ -11,14 +11,14 @@ after it only sets outside their shingle's largest component meet the others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from claimstone.operators.graph import connected_components
 from claimstone.session import stored
@@ -59,36 +59,52 @@ def _mark(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _shingles(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+#: Texts described at a time; bounds a worker's memory, whatever Arrow's batches are.
+AT_ONCE = 256
 
 
-@F.pandas_udf(StructType([StructField("mark", LongType()), StructField("s", ArrayType(LongType()))]))
-def _marked(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame({"mark": np.array([_mark(s) for s in sets], np.int64), "s": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(i, AT_ONCE)
 
 
-def _prefixes(frequent: pd.DataFrame) -> Callable:
-    """A function of texts: each set's mark, its size and its prefix with the ``frequent`` shingles last."""
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), kind))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of texts, one after the other."""
+    for part in _slices(batches):
+        sets = [shingle_set(t).view(np.int64) for t in part.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets), pa.int64())], ["t"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's mark and whole set."""
+    for part in _slices(batches):
+        sets = [shingle_set(t) for t in part.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["mark", "s"])
+
+
+def _described(frequent: pd.DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text) as (doc_id, mark, n, prefix, counts): each set's size and its prefix with the ``frequent`` shingles last."""
     frequent = frequent.sort_values("t")
-    known = (frequent.t.to_numpy(np.int64), frequent.n.to_numpy(np.int64))
-
-    @F.pandas_udf(StructType([StructField("mark", LongType()), StructField("n", IntegerType()), StructField("prefix", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType()))]))
-    def described(texts: pd.Series) -> pd.DataFrame:
-        t, n = known
-        rows = []
-        for s in map(shingle_set, texts):
-            h = s.view(np.int64)
-            p = len(h) - int(np.ceil(len(h) * LEAST - 1e-9)) + 1 if len(h) else 0
-            if len(t):
-                at = np.minimum(np.searchsorted(t, h), len(t) - 1)
-                first = np.lexsort((h, np.where(t[at] == h, n[at], 0)))[:p]
-            else:
-                first = np.argsort(h)[:p]
-            rows.append((_mark(s), len(h), h[first], _counts(s)))
-        return pd.DataFrame(rows, columns=["mark", "n", "prefix", "counts"])
+    t, n = frequent.t.to_numpy(np.int64), frequent.n.to_numpy(np.int64)
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        p = len(h) - int(np.ceil(len(h) * LEAST - 1e-9)) + 1 if len(h) else 0
+        if not len(t):
+            return h[np.argsort(h)[:p]]
+        at = np.minimum(np.searchsorted(t, h), len(t) - 1)
+        return h[np.lexsort((h, np.where(t[at] == h, n[at], 0)))[:p]]
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            sets = [shingle_set(x) for x in part.column(1).to_pylist()]
+            columns = [part.column(0), pa.array([_mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s.view(np.int64)) for s in sets], pa.int64()), _lists([_counts(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "prefix", "counts"])
 
     return described
 
@@ -100,9 +116,10 @@ def components(docs: DataFrame, links: DataFrame, *, id_col: str = "doc_id", tex
     id link nothing; the texts of rows that repeat an id all count for it.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode(_shingles("text")).alias("t"))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "t long")
     frequent = sample.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "t").limit(FREQUENT_MOST).toPandas()
-    sets = stored(texts.select("doc_id", _prefixes(frequent)("text").alias("d")).select("doc_id", "d.*"), "sets")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    sets = stored(texts.mapInArrow(_described(frequent), f"doc_id {kind}, mark long, n int, prefix array<long>, counts array<int>"), "sets")
     classes = stored(sets.groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
     equal = sets.select("doc_id", "mark").join(classes, "mark").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     flat = sets.join(classes, "mark").where("doc_id = rep").select("mark", "n", F.explode("prefix").alias("t"))
@@ -122,7 +139,7 @@ def components(docs: DataFrame, links: DataFrame, *, id_col: str = "doc_id", tex
         pairs = stored(pairs.select("a", "b"), "likely")
         asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "mark")
         asked = stored(asked, "asked")
-        read = texts.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(_marked("text").alias("d")).select("d.*")
+        read = texts.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(_marked, "mark long, s array<long>")
         read = stored(read.join(asked, "mark").groupBy("mark", "rep").agg(F.first("s").alias("s")), "read")
         both = pairs.join(read.toDF("a", "src", "sa"), "a").join(read.toDF("b", "dst", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))

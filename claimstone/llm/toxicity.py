@@ -38,6 +38,8 @@ SAMPLE_ROWS, FOLDS = 6000, 5
 #: From which log-likelihood ratio on a term tells toxic documents from others (chance gives it to one term in 100,000), and how much likelier a toxic one is to hold a marking word.
 EVIDENCE, MARKING = 20.0, 20.0
 THRESHOLD = 0.5
+#: Texts scored at a time.
+AT_ONCE = 256
 
 
 def terms_of(word: str) -> list[str]:
@@ -219,9 +221,10 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scored(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(chain.scores(np.array([chain.counts(t) for t in texts]))))
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), AT_ONCE):
+            out += list(chain.scores(np.array([chain.counts(t) for t in texts.iloc[i : i + AT_ONCE]])))
+        return pd.Series(out, dtype=object)
 
     return docs.withColumn("toxicity", scored(F.coalesce(F.col(text_col), F.lit(""))))
 
