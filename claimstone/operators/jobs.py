@@ -15,6 +15,10 @@ SEVERITIES = ["low", "medium", "high"]
 RETRYABLE = ["FAILED", "CANCELLED"]
 RUNNING = ["QUEUED", "RUNNING"]
 PUBLIC_STATUS = {"PARTIAL": "COMPLETED", "REJECTED": "COMPLETED"}
+PROGRESS = {
+    "detect_file_type": 5, "prepare_sources": 20, "build_source_index": 35, "extract": 45, "dedupe_requirements": 55, "retrieve_evidence": 62, "classify": 70, "evidence_grounding": 76,
+    "generate": 85, "quality_gate": 90, "repair_stories": 92, "summarize": 95, "format": 100,
+}
 BLOCKED_EXTENSIONS = [".html", ".htm", ".js", ".exe", ".sh", ".bat", ".php"]
 
 
@@ -43,6 +47,33 @@ def retained(rows: DataFrame, time_col: str, now: Column, days: int) -> DataFram
     return rows.where(F.col(time_col).isNull() | (F.col(time_col) >= now - F.expr(f"interval {days} days")))
 
 
+def requeued(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` (``job_id, status, fingerprint, attempt, progress, queued_at, started_at, ended_at, error``) after retries were asked for (``job_id, fingerprint``).
+
+    A failed or cancelled job whose fingerprint is asked for is queued again as its next
+    attempt, its progress, times and error gone; all others stay as they are.
+    """
+    asked = requests.select("job_id", "fingerprint").distinct().withColumn("_asked", F.lit(True))
+    joined = jobs.join(asked, ["job_id", "fingerprint"], "left")
+    again = F.coalesce(F.col("_asked"), F.lit(False)) & F.col("status").isin(RETRYABLE)
+    new = {"status": F.lit("QUEUED"), "attempt": F.col("attempt") + 1, "progress": F.lit(0), "queued_at": now, "started_at": F.lit(None), "ended_at": F.lit(None), "error": F.lit(None)}
+    return joined.select(*[F.when(again, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def progress_of(step: Column) -> Column:
+    """How far a job is, in percent, once it has reached a step; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in PROGRESS.items() for x in pair]), step)
+
+
+def valid_job_id(job_id: Column) -> Column:
+    return F.coalesce(job_id.rlike(r"\A[A-Za-z0-9._-]{1,128}\z"), F.lit(False))
+
+
+def replace_jobs(rows: DataFrame, path: str, job_col: str = "job_id") -> None:
+    """Writes rows below ``path``, a folder for each job; what was there of these jobs goes, other jobs stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job_col).parquet(path)
+
+
 def request_fingerprint(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON with sorted names, no blanks, nulls written, text unescaped beyond JSON's needs."""
     def quoted(c: Column) -> Column:
