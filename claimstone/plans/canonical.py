@@ -54,12 +54,8 @@ def orthogonal(a: Column, b: Column) -> Column:
 def composable(a: Column, b: Column) -> Column:
     """Whether a conditional approval and a limit of quantity, neither with an exception, can hold together."""
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in (a, b)]
-    exempt = r"\b(?:no|not|never|without|exempt|except)\b|(?:بدون|استثناء)"
-    approval = r"\b(?:approv(?:e|al)|authori[sz](?:e|ation)|permission|consent)\b|(?:موافقة|تصريح|اعتماد)"
-    condition = r"\b(?:if|when|unless|above|below|over|under|exceeds?|at\s+least|more\s+than|less\s+than)\b|(?:إذا|عند|يتجاوز|أكثر\s+من)"
-    quantity = r"\b(?:up\s+to|at\s+most|maximum|max(?:imum)?|simultaneous(?:ly)?|number\s+of|quantity)\b|(?:حتى|الحد\s+الأقصى|عدد)"
-    gate = F.when(low[0].rlike(approval), low[0]).when(low[1].rlike(approval), low[1])
-    return ~low[0].rlike(exempt) & ~low[1].rlike(exempt) & F.coalesce(gate.rlike(condition), F.lit(False)) & (low[0].rlike(quantity) | low[1].rlike(quantity))
+    gate = F.when(low[0].rlike(V.APPROVAL), low[0]).when(low[1].rlike(V.APPROVAL), low[1])
+    return ~low[0].rlike(V.EXEMPT) & ~low[1].rlike(V.EXEMPT) & F.coalesce(gate.rlike(V.CONDITIONAL), F.lit(False)) & (low[0].rlike(V.QUANTITY) | low[1].rlike(V.QUANTITY))
 
 
 def close_pairs(requirements: DataFrame) -> DataFrame:
