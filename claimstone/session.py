@@ -108,8 +108,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The shuffles behind the table aren't needed once it is written, and go with the write;
     a long query then needs the disk of its largest step and not of all steps together.
     """
+    return written(df, shared_dir(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``stored`` at a given path."""
     spark = df.sparkSession
-    path = shared_dir(spark, label)
     with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimstone.llm import contamination, jaccard, mixing, simhash, suffix, toxicity
-from claimstone.session import shared_dir
+from claimstone.session import scratch, shared_dir, written
 from claimstone.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents of ``sf_dir``."""
+    """All stages, from the documents of ``sf_dir``.
+
+    What a stage kept on disk for itself goes once its documents are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
     return docs
