@@ -12,8 +12,6 @@ Each text is read by itself, so the work is one pass without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import zstandard
@@ -21,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from claimstone.llm.ragged import BLANK, Numbers, numbered, slices
 from claimstone.sources.tables import table
 
 LEVEL = 3
@@ -30,12 +29,8 @@ CHUNK_SHARE = 0.2
 #: From so many bytes on: the least and the largest ratio.  Below the first length any ratio will do.
 BANDS = ((64, 0.40, 2.0), (128, 0.35, 1.0), (256, 0.30, 0.90), (512, 0.28, 0.82), (1024, 0.25, 0.78), (2048, 0.22, 0.76), (4096, 0.20, 0.76))
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
-#: Texts are cut into words in slices of about so many bytes.
-SLICE = 1 << 20
 
 _FROM, _LOW, _HIGH = (np.array(x) for x in zip((0, 0.0, np.inf), *BANDS, strict=True))
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -46,25 +41,6 @@ def outside(n_bytes: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return (ratio < _LOW[band]) | (ratio > _HIGH[band])
 
 
-def slices(text: bytes) -> Iterator[bytes]:
-    """A text in pieces of about SLICE bytes, cut at blanks only."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE
-        while end < len(text) and not _BLANK[text[end]]:
-            end += 1
-        yield text[at:end]
-        at = end
-
-
-class _Numbers(dict):
-    """Words numbered in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 def repeated_words(numbers: np.ndarray, window: int = WINDOW) -> int:
     """How many words lie in windows that occur twice or more, the first included."""
     n = len(numbers) - window + 1
@@ -96,13 +72,12 @@ def duplicate_lines(text: bytes) -> int:
 
 def describe(text: bytes, compressor: zstandard.ZstdCompressor) -> tuple:
     """The measures of one text, in the order of MEASURES."""
-    numbers = _Numbers()
+    numbers = Numbers()
     words, chars, symbols = [np.zeros(0, np.int32)], 0, 0
     for piece in slices(text):
-        found = piece.split()
-        words.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+        words.append(numbered(piece.split(), numbers))
         raw = np.frombuffer(piece, np.uint8)
-        chars += int(((raw & 0xC0) != 0x80).sum() - _BLANK[raw].sum())
+        chars += int(((raw & 0xC0) != 0x80).sum() - BLANK[raw].sum())
         symbols += int(_SYMBOL[raw].sum())
     words = np.concatenate(words)
     size = np.array([len(text)])

@@ -6,6 +6,7 @@ import pytest
 import zstandard
 
 from claimstone.llm import quality_rules as qr
+from claimstone.llm import ragged
 
 
 def words_of(text):
@@ -88,9 +89,9 @@ def test_bands():
 def test_slices_keep_words(monkeypatch):
     text = ("ab " * 50 + "x" * 500 + "\n" + "y é ").encode() * 3
     whole = qr.describe(text, zstandard.ZstdCompressor())
-    monkeypatch.setattr(qr, "SLICE", 16)
+    monkeypatch.setattr(ragged, "SLICE", 16)
     assert qr.describe(text, zstandard.ZstdCompressor()) == whole
-    assert b"".join(qr.slices(text)) == text
+    assert b"".join(ragged.slices(text)) == text
 
 
 def test_very_long_text():
