@@ -24,6 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 INSIDE_PERCENT = 100
 UNKNOWN = "und"
 BLOCK_TOKENS, OPEN_TOKENS = 1 << 18, 1 << 22
-#: Bits of the arrays that hold which hashes may be frequent: 2^27 are 16 MB.
-FILTER_BITS = 27
+#: Bits of the arrays that hold which hashes may be frequent: 2^26 are 8 MB, less where most are 0, since they travel compressed.
+FILTER_BITS = 26
 #: Candidates of a trie.
 SHARD = 200_000
 #: Hashes or words that a task gathers before it hands on their sums.
@@ -161,28 +162,38 @@ def _phrases(lang: str, words: pa.Array, tokens: np.ndarray, starts: int, bits:
             alive[at] = bits[k - 1][i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
 
 
-def _hash_sums(batches: Iterator[pa.RecordBatch], bits: Broadcast, length: int) -> Iterator[pa.RecordBatch]:
+def _shared(spark: SparkSession, bits: np.ndarray) -> Broadcast:
+    return spark.sparkContext.broadcast(zstandard.compress(bits.tobytes()))
+
+
+def _opened(shared: list[Broadcast]) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(b.value), np.uint64) for b in shared]
+
+
+def _hash_sums(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], length: int) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
         return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     held: list[np.ndarray] = []
+    bits = _opened(shared)
     for block in _each(batches):
-        held += [h for k, _, h in _phrases(*block, bits.value, length) if k == length]
+        held += [h for k, _, h in _phrases(*block, bits, length) if k == length]
         if sum(map(len, held)) >= HELD:
             yield out()
             held = []
     yield out()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    bits = _opened(shared)
     for lang, words, tokens, starts in _each(batches):
         found, texts = [], words.to_pylist()
-        for k, at, h in _phrases(lang, words, tokens, starts, bits.value, len(bits.value)):
+        for k, at, h in _phrases(lang, words, tokens, starts, bits, len(bits)):
             if k > 1:
                 i = h & np.uint64((1 << FILTER_BITS) - 1)
-                some = bits.value[k - 1][i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
+                some = bits[k - 1][i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
                 distinct, first = np.unique(h[some], return_index=True)
                 for value, place in zip(distinct.tolist(), at[some][first].tolist(), strict=True):
                     if value not in seen:
@@ -320,15 +331,13 @@ def _bits(hashes: DataFrame) -> np.ndarray:
 def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: int, shard: int) -> DataFrame:
     """``lang, phrase, a``: the phrases of two to ``longest`` words with ``min_count`` occurrences or more, exactly counted."""
     spark = blocks.sparkSession
-    bits = [_bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(_word_hashes, "h long"))]
+    shared = [_shared(spark, _bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(_word_hashes, "h long")))]
     for k in range(2, longest + 1):
-        shared = spark.sparkContext.broadcast(bits)
-        sums = blocks.mapInArrow(partial(_hash_sums, bits=shared, length=k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        bits = [*bits, _bits(sums.where(F.col("n") >= min_count))]
-        shared.unpersist()
-    shared = spark.sparkContext.broadcast(bits)
-    found = stored(blocks.mapInArrow(partial(_candidates, bits=shared), "lang string, phrase binary").distinct(), "candidates")
-    shared.unpersist()
+        sums = blocks.mapInArrow(partial(_hash_sums, shared=shared, length=k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        shared = [*shared, _shared(spark, _bits(sums.where(F.col("n") >= min_count)))]
+    found = stored(blocks.mapInArrow(partial(_candidates, shared=shared), "lang string, phrase binary").distinct(), "candidates")
+    for bits in shared:
+        bits.unpersist()
     shards = -(-found.count() // shard)
     if not shards:
         return found.select("lang", "phrase", F.lit(0).cast("long").alias("a"))
