@@ -61,7 +61,7 @@ class _Block:
         doc = self.langs[lang] << 46 | len(self.source_of)
         self.source_of.append(self.sources[source])
         for piece in slices(text):
-            self.keys.append(numbered(piece.split(), self.chunks).astype(np.int64) << _DOC_BITS | doc)
+            self.keys.append(numbered(piece.lower().split(), self.chunks).astype(np.int64) << _DOC_BITS | doc)
         self.bytes += len(text) + 1
 
     def rows(self) -> pa.RecordBatch:
@@ -110,23 +110,29 @@ def _named(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Da
 
 
 def term_counts(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", block_documents: int = BLOCK_DOCUMENTS,
+    docs: DataFrame, *, min_documents: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", block_documents: int = BLOCK_DOCUMENTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``lang, term, documents`` and ``lang, source, term, n``, exact over all rows.
+    """``lang, term, documents`` and ``lang, source, term, n`` of the terms in at least ``min_documents`` documents of a language, exact over all rows.
 
     Each row is a document, also where ids repeat.  Null texts, languages and sources are
     empty ones; texts without a term give no row; columns besides the three are ignored.
+
+    A term's documents are at most those of its chunks added up.  So the chunks that hold
+    no term which may reach ``min_documents``, most of the rare ones, leave before the join.
     """
     postings = stored(_named(docs, text_col, lang_col, source_col).mapInArrow(partial(_count, block_documents=block_documents), _POSTINGS), "postings").withColumn("chunk", F.col("chunk").cast("string"))
-    found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    tokens = postings.select("chunk").distinct().select("chunk", F.explode(found).alias("term"))
+    chunks = stored(postings.groupBy("lang", "chunk").agg(F.sum(F.size("docs")).alias("most")), "chunk-documents")
+    tokens = chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
     terms = stored(tokens.groupBy("chunk", "term").agg(F.count("*").alias("times")), "chunk-terms")
+    of_lang = stored(chunks.join(terms, "chunk").select("lang", "chunk", "term", "times", "most"), "language-terms")
+    may = stored(of_lang.groupBy("lang", "term").agg(F.sum("most").alias("most")).where(F.col("most") >= min_documents).select("lang", "term"), "possible-terms")
+    wanted = stored(of_lang.drop("most").join(may, ["lang", "term"]), "wanted-terms")
+    held = stored(postings.join(wanted, ["lang", "chunk"]).select("block", "lang", "term", "times", "docs", "sources", "counts"), "term-postings")
     united = F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))
-    in_blocks = postings.select("block", "lang", "chunk", "docs").join(terms.select("chunk", "term"), "chunk").groupBy("block", "lang", "term").agg(united.alias("n"))
-    documents = in_blocks.groupBy("lang", "term").agg(F.sum("n").alias("documents"))
-    by_source = postings.select("lang", "chunk", F.inline(F.arrays_zip("sources", "counts"))).groupBy("lang", F.col("sources").alias("source"), "chunk").agg(F.sum("counts").alias("n"))
-    counts = by_source.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    return documents, counts
+    documents = held.groupBy("block", "lang", "term").agg(united.alias("n")).groupBy("lang", "term").agg(F.sum("n").alias("documents"))
+    documents = stored(documents.where(F.col("documents") >= min_documents), "term-documents")
+    kept = held.join(documents.select("lang", "term"), ["lang", "term"]).select("lang", "term", "times", F.inline(F.arrays_zip("sources", "counts")))
+    return documents, kept.groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum(F.col("counts") * F.col("times")).alias("n"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -188,9 +194,8 @@ def audit(
     value and then by the item's bytes.  Rows are documents, also where ids repeat; nulls
     are empty strings; an empty table gives no row.
     """
-    documents, counts = term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col, block_documents=block_documents)
-    kept = documents.where(F.col("documents") >= min_documents).select("lang", "term")
-    held = stored(counts.join(kept, ["lang", "term"]), "kept-counts")
+    _, counts = term_counts(docs, min_documents=min_documents, text_col=text_col, lang_col=lang_col, source_col=source_col, block_documents=block_documents)
+    held = stored(counts, "kept-counts")
     whole = stored(held.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "lang-counts")
     langs = whole.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("kept"))
     sums = held.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
