@@ -9,20 +9,21 @@ bit, only add: nothing frequent is lost.  What remains are the candidates.
 
 Candidates go into double-array tries over words, at most ``SHARD`` in one (times a chance
 excess of the hash that deals them), so that what is broadcast has a bound; each trie
-passes over all blocks.  A trie moves all positions of a block at once, one word a level:
-``next = base[state] + word``, held against ``check[next] = state``; positions that fall
-out are dropped, and accepting states are counted by ``bincount``.  The counts of all tasks
-add up to the exact number of occurrences.
+passes over all blocks.  A trie moves all positions of a block at once, digit by digit of
+a word's number: ``next = base[state] + digit``, held against ``check[next] = state``;
+positions that fall out are dropped, and accepting states are counted by ``bincount``.  The
+counts of all tasks add up to the exact number of occurrences.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
@@ -114,20 +115,20 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            sums = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+            yield from sums.to_batches(max_chunksize=1 << 16)
 
-    counts: Counter = Counter()
+    held: list[pa.Table] = []
     for lang, words, tokens, starts in _each(batches):
-        n = np.bincount(tokens[:starts], minlength=len(words) + 1)[1:].tolist()
-        for word, times in zip(words.to_pylist(), n, strict=True):
-            if times:  # words of the context alone count in the next block
-                counts[lang, word] += times
-        if len(counts) >= HELD // 4:
-            yield out()
-            counts.clear()
-    yield out()
+        n = np.bincount(tokens[:starts], minlength=len(words) + 1)[1:]
+        some = np.flatnonzero(n)  # words of the context alone count in the next block
+        held.append(pa.table({"lang": pa.array([lang] * len(some), pa.string()), "phrase": words.take(pa.array(some)), "n": pa.array(n[some])}))
+        if sum(t.num_rows for t in held) >= HELD:
+            yield from out()
+            held = []
+    yield from out()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -136,30 +137,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """64 bits for each word, from its bytes and the language."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    size = np.diff(offsets)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)
+    powers = np.cumprod(np.concatenate([[1], np.full(int(size.max()) - 1, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+    sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], offsets[:-1] - offsets[0])  # words aren't empty
+    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+
+
+def _may(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    i = h & np.uint64((1 << FILTER_BITS) - 1)
+    return bits[i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
+
+
 def _phrases(lang: str, words: pa.Array, tokens: np.ndarray, starts: int, bits: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: places and hashes of the phrases whose first and last parts pass their bits.
+    """For each length from 2: places and hashes of the phrases whose first and last parts pass their bits.
 
     bits: which hashes may be frequent, for lengths from 1.
     """
-    seed = xxhash.xxh64_intdigest(lang)
-    of_word = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist())], np.uint64)
-    word = of_word[tokens]
-    h, alive = word, tokens > 0
-    for k in range(1, longest + 1):
-        if k > 1:
-            last = len(tokens) - k + 1
-            if last < 1:
-                return
-            h = h[:last] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :]
-            alive = alive[:last] & alive[1:]
-        at = np.flatnonzero(alive)
-        mixed = _mixed(h[at])
+    of_word = _word_hashes(lang, words)
+    frequent = np.concatenate([[False], _may(of_word, bits[0])])
+    of_word = np.concatenate([np.zeros(1, np.uint64), of_word])
+    alive = frequent[tokens]
+    at = np.flatnonzero(alive)
+    h = of_word[tokens[at]]
+    for k in range(2, longest + 1):
+        follows = alive[np.minimum(at + 1, len(tokens) - 1)] & (at + k <= len(tokens))
+        at = at[follows]
+        h = h[follows] * np.uint64(0x9E3779B97F4A7C15) + of_word[tokens[at + k - 1]]
+        mixed = _mixed(h)
         counted = at < starts
         yield k, at[counted], mixed[counted]
         if k <= len(bits):
-            i = mixed & np.uint64((1 << FILTER_BITS) - 1)
-            alive = alive.copy()
-            alive[at] = bits[k - 1][i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
+            passed = _may(mixed, bits[k - 1])
+            at, h = at[passed], h[passed]
+            alive = np.zeros(len(tokens), bool)
+            alive[at] = True
 
 
 def _shared(spark: SparkSession, bits: np.ndarray) -> Broadcast:
@@ -189,16 +207,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> I
     seen: set[int] = set()
     bits = _opened(shared)
     for lang, words, tokens, starts in _each(batches):
-        found, texts = [], words.to_pylist()
+        found = []
         for k, at, h in _phrases(lang, words, tokens, starts, bits, len(bits)):
-            if k > 1:
-                i = h & np.uint64((1 << FILTER_BITS) - 1)
-                some = bits[k - 1][i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
-                distinct, first = np.unique(h[some], return_index=True)
-                for value, place in zip(distinct.tolist(), at[some][first].tolist(), strict=True):
-                    if value not in seen:
-                        seen.add(value)
-                        found.append(b" ".join([texts[t - 1] for t in tokens[place : place + k].tolist()]))
+            some = _may(h, bits[k - 1])
+            distinct, first = np.unique(h[some], return_index=True)
+            for value, place in zip(distinct.tolist(), at[some][first].tolist(), strict=True):
+                if value not in seen:
+                    seen.add(value)
+                    found.append(b" ".join([words[t - 1].as_py() for t in tokens[place : place + k].tolist()]))
         if found:
             yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["lang", "phrase"])
         if len(seen) >= HELD // 4:
@@ -208,81 +224,82 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> I
 class DoubleArray:
     """A trie of phrases, one root for each language; a state is a place in the arrays.
 
-    The place of the child of s for word w is ``base[s] + w``, if ``check`` there is s.
-    ``accept`` has the number of the phrase that ends in a state, or -1.  The first and
-    last place stay free, so that places outside can be read as these.
+    A word is a number, written in ``digits`` digits of base 256, so that the children of
+    a state lie within 256 places.  The place of the child of s for digit d is
+    ``base[s] + d``, if ``check`` there is s.  ``accept`` has the number of the phrase that
+    ends in a state, or -1.  The first and last place stay free, so that places outside can
+    be read as these.
     """
 
     def __init__(self, phrases: list[tuple[str, bytes]]):
         cut = [p.split(b" ") for _, p in phrases]
         self.n, self.depth = len(phrases), max(map(len, cut), default=0)
         self.words = {w: i + 1 for i, w in enumerate(sorted({w for p in cut for w in p}))}
-        langs = sorted({lang for lang, _ in phrases})
-        self.roots = {lang: i + 1 for i, lang in enumerate(langs)}
-        label = np.zeros((self.n, self.depth), np.int64)
-        for i, p in enumerate(cut):
-            label[i, : len(p)] = [self.words[w] for w in p]
+        self.digits = max(1, -(-len(self.words).bit_length() // 8))
+        self.roots = {lang: i + 1 for i, lang in enumerate(sorted({lang for lang, _ in phrases}))}
         size = np.array([len(p) for p in cut], np.int64)
-        # Nodes: the roots, then the prefixes of one word, of two, ...
+        word = np.zeros((self.n, self.depth), np.int64)
+        for i, p in enumerate(cut):
+            word[i, : len(p)] = [self.words[w] for w in p]
+        # Nodes: the roots, then the prefixes of one digit, of two, ...
         node = np.array([self.roots[lang] - 1 for lang, _ in phrases], np.int64)
-        parents, labels, ends, nodes = [], [], [], len(langs)
+        none = np.zeros(0, np.int64)
+        parents, labels, ends, nodes = [none], [none], [], len(self.roots)
         for k in range(self.depth):
             rows = np.flatnonzero(size > k)
-            key, place = np.unique(node[rows] << 32 | label[rows, k], return_inverse=True)
-            parents.append(key >> 32)
-            labels.append(key & 0xFFFFFFFF)
-            node[rows] = nodes + place
-            nodes += len(key)
+            for digit in self._digits(word[rows, k]):
+                key, place = np.unique(node[rows] << 8 | digit, return_inverse=True)
+                parents.append(key >> 8)
+                labels.append(key & 255)
+                node[rows] = nodes + place
+                nodes += len(key)
             done = rows[size[rows] == k + 1]
             ends.append((node[done], done))
-        none = np.zeros(0, np.int64)
-        parent, word = np.concatenate([none, *parents]), np.concatenate([none, *labels])
-        place, base = self._placed(len(langs), nodes, parent, word)
-        # Widest gap that a word can jump beyond the last place: kept free by reading it as the last one.
-        self.base, self.check, self.accept = np.zeros(place.max(initial=0) + 2, np.int64), np.full(place.max(initial=0) + 2, -1, np.int32), np.full(place.max(initial=0) + 2, -1, np.int32)
+        parent = np.concatenate(parents)
+        place, base = self._placed(len(self.roots), nodes, parent, np.concatenate(labels))
+        length = int(place.max(initial=0)) + 2
+        self.base, self.check, self.accept = np.zeros(length, np.int32), np.full(length, -1, np.int32), np.full(length, -1, np.int32)
         self.base[place] = base
-        self.check[place[len(langs) :]] = place[parent]
+        self.check[place[len(self.roots) :]] = place[parent]
         for states, numbers in ends:
             self.accept[place[states]] = numbers
 
+    def _digits(self, word: np.ndarray) -> Iterator[np.ndarray]:
+        for i in reversed(range(self.digits)):
+            yield word >> 8 * i & 255
+
     @staticmethod
-    def _placed(roots: int, nodes: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places and bases of all nodes: wide ones first, then the nodes of one child into what is free."""
+    def _placed(roots: int, nodes: int, parent: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places and bases of all nodes: those of many children first, then those of one into what is free."""
         place, base = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
         place[:roots] = np.arange(1, roots + 1)
         order = np.argsort(parent, kind="stable")
         first = np.flatnonzero(np.diff(parent[order], prepend=-1))
         count = np.diff(np.append(first, len(order)))
-        used = np.zeros(2 * nodes + int(word.max(initial=0)) + 2, bool)
+        used = np.zeros(2 * nodes + 1024, bool)
         used[: roots + 1] = True
-        top, low = roots + 1, roots + 1
-        for g in np.argsort(-count, kind="stable"):
+        low, top = roots + 1, roots + 1
+        for g in np.argsort(-count, kind="stable").tolist():
             if count[g] == 1:
                 break
             children = order[first[g] : first[g] + count[g]]
-            labels = word[children]
-            start = labels.min()
-            free = np.flatnonzero(~used[low : low + 64])
-            if not len(free):
-                low += 64
-                free = np.flatnonzero(~used[low : low + 64])
-            at = next((low + f - start for f in free if not used[low + f - start + labels].any()), None)
-            if at is None:
-                at = top - start
-            ends = at + labels
-            if ends.max() + 1 + int(word.max()) >= len(used):
+            labels = label[children]
+            free = low + np.flatnonzero(~used[low : low + 128])
+            fits = ~used[free[:, None] - labels[0] + labels].any(axis=1)
+            at = int(free[fits.argmax()] if fits.any() else max(top, low + 128)) - int(labels[0])
+            used[at + labels] = True
+            top = max(top, at + int(labels[-1]) + 1)
+            if top + 1024 > len(used):
                 used = np.concatenate([used, np.zeros(len(used), bool)])
-            used[ends] = True
-            top = max(top, int(ends.max()) + 1)
             base[parent[children[0]]] = at
-            place[roots + children] = ends
-            if len(free) < 16:
+            place[roots + children] = at + labels
+            if len(free) < 48:
                 low += 64
         single = order[first[count == 1]]
         free = np.flatnonzero(~used)
         if len(free) < len(single):
             free = np.concatenate([free, len(used) + np.arange(len(single))])
-        base[parent[single]] = free[: len(single)] - word[single]
+        base[parent[single]] = free[: len(single)] - label[single]
         place[roots + single] = free[: len(single)]
         return place, base
 
@@ -290,32 +307,43 @@ class DoubleArray:
         """Add the occurrences of all phrases of a language in a block to ``counts``."""
         if lang not in self.roots:
             return
-        known = np.array([0, *(self.words.get(w, 0) for w in words)], np.int64)
-        text = np.concatenate([known[tokens], np.zeros(self.depth, np.int64)])
+        known = np.array([0, *(self.words.get(w, 0) for w in words)], np.int32)
+        text = np.concatenate([known[tokens], np.zeros(self.depth, np.int32)])
         at = np.flatnonzero(text[:starts])
         state = np.full(len(at), self.roots[lang])
         for k in range(self.depth):
             word = text[at + k]
-            to = np.clip(self.base[state] + word, 0, len(self.base) - 1)
-            moved = (word > 0) & (self.check[to] == state)
-            at, state = at[moved], to[moved]
+            here = word > 0
+            at, state, word = at[here], state[here], word[here]
+            for i in reversed(range(self.digits)):
+                to = np.clip(self.base[state] + (word >> 8 * i & 255), 0, len(self.base) - 1)
+                moved = self.check[to] == state
+                at, state, word = at[moved], to[moved], word[moved]
             ends = self.accept[state]
             counts += np.bincount(ends[ends >= 0], minlength=self.n)
 
 
-def _trie_counts(batches: Iterator[pa.RecordBatch], trie: Broadcast) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(trie.value.n, np.int64)
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    trie = zstandard.compress(pickle.dumps(DoubleArray([row[1:] for row in sorted(rows)])))
+    yield pa.record_batch([pa.array([trie], pa.binary())], names=["trie"])
+
+
+def _trie_counts(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    trie = pickle.loads(zstandard.decompress(shared.value))
+    counts = np.zeros(trie.n, np.int64)
     for lang, words, tokens, starts in _each(batches):
-        trie.value.count(lang, words.to_pylist(), tokens, starts, counts)
+        trie.count(lang, words.to_pylist(), tokens, starts, counts)
     some = np.flatnonzero(counts)
     yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["no", "a"])
 
 
-def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in batch.column(0).unique().to_pylist()}
-        h = np.array([xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)], np.uint64)
-        yield pa.record_batch([pa.array(_mixed(h).view(np.int64))], names=["h"])
+        langs, words = batch.columns
+        for lang in langs.unique().to_pylist():
+            own = words.filter(pc.equal(langs, lang))
+            yield pa.record_batch([pa.array(_word_hashes(lang, own).view(np.int64))], names=["h"])
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
@@ -331,7 +359,7 @@ def _bits(hashes: DataFrame) -> np.ndarray:
 def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: int, shard: int) -> DataFrame:
     """``lang, phrase, a``: the phrases of two to ``longest`` words with ``min_count`` occurrences or more, exactly counted."""
     spark = blocks.sparkSession
-    shared = [_shared(spark, _bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(_word_hashes, "h long")))]
+    shared = [_shared(spark, _bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(_hashed, "h long")))]
     for k in range(2, longest + 1):
         sums = blocks.mapInArrow(partial(_hash_sums, shared=shared, length=k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         shared = [*shared, _shared(spark, _bits(sums.where(F.col("n") >= min_count)))]
@@ -345,9 +373,9 @@ def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: in
     dealt = stored(dealt.withColumn("no", F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")).cast("long") - 1), "dealt")
     counts = None
     for s in range(shards):
-        rows = dealt.where(F.col("shard") == s).orderBy("no").select("lang", "phrase").toArrow()
-        trie = spark.sparkContext.broadcast(DoubleArray(list(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), strict=True))))
-        own = blocks.mapInArrow(partial(_trie_counts, trie=trie), "no long, a long").groupBy("no").agg(F.sum("a").alias("a"))
+        built = dealt.where(F.col("shard") == s).select("no", "lang", "phrase").coalesce(1).mapInArrow(_built, "trie binary").first()
+        trie = spark.sparkContext.broadcast(bytes(built.trie))
+        own = blocks.mapInArrow(partial(_trie_counts, shared=trie), "no long, a long").groupBy("no").agg(F.sum("a").alias("a"))
         own = stored(own.where(F.col("a") >= min_count).withColumn("shard", F.lit(s).cast("long")), "trie-counts")
         trie.unpersist()
         counts = own if counts is None else counts.unionByName(own)

@@ -81,7 +81,20 @@ def test_double_array():
     trie.count("xx", names, np.array(block, np.int32), 3000, counts)
     want.pop(-1)
     assert {i: n for i, n in enumerate(counts.tolist()) if n} == want
-    assert len(trie.base) < 6 * len(phrases) * 5
+    assert len(trie.base) < 4 * 5 * trie.digits * len(phrases)
+
+
+def test_many_words_fill_the_arrays():
+    r = random.Random(6)
+    phrases = sorted({("en", b" ".join(b"w%d" % min(int(r.paretovariate(0.5)), 30_000) for _ in range(r.randint(2, 5)))) for _ in range(60_000)})
+    trie = collocation.DoubleArray(phrases)
+    states = int((trie.check >= 0).sum()) + 1
+    assert trie.digits == 2 and len(trie.base) < 2 * states + 2000
+    names = [w for w in trie.words]
+    text = [names.index(w) + 1 for _, p in phrases[::5000] for w in p.split(b" ")]
+    counts = np.zeros(len(phrases), np.int64)
+    trie.count("en", names, np.array(text, np.int32), len(text), counts)
+    assert (counts[::5000] > 0).all()
 
 
 def test_one_wide_node():
