@@ -17,6 +17,7 @@ whole billionths, each term rounded down.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -36,12 +37,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCUMENTS, TOP_TERMS = 10, 10
 SCALE = 1_000_000_000
 #: A block ends at so many documents or bytes of text.
-BLOCK_DOCUMENTS, BLOCK_BYTES = 1 << 15, 32 << 20
+BLOCK_DOCUMENTS, BLOCK_BYTES = (1 << 15) - 1, 32 << 20
 #: Pairs of sources are summed in tiles of so many sources, and in parts of about so many counts.
 TILE, PART_ROWS = 512, 200_000
 
 _DOC_BITS = 15
-_POSTINGS = "block long, lang string, chunk binary, docs array<int>, sources array<string>, counts array<long>"
+_POSTINGS = "block long, lang string, chunk binary, plain boolean, docs array<short>, sources array<string>, counts array<int>"
+#: Chunks that are a term and nothing else.
+_PLAIN = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
@@ -71,18 +74,21 @@ class _Block:
         first = np.flatnonzero(np.diff(chunk, prepend=-1))
         row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chunk))))
         by_source, place = np.unique(row << 32 | np.array(self.source_of, np.int64)[docs], return_inverse=True)
-        counts = np.bincount(place, n).astype(np.int64)
+        counts = np.bincount(place, n).astype(np.int32)
+        chunks = list(self.chunks)
+        plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
         names = pa.array(list(self.sources), pa.string()).take(pa.array(by_source & 0xFFFFFFFF))
         at = chunk[first]
         return pa.record_batch(
             [
                 pa.array(np.full(len(first), self.number)),
                 pa.array(list(self.langs), pa.string()).take(pa.array(at >> 46 - _DOC_BITS)),
-                pa.array(list(self.chunks), pa.binary()).take(pa.array(at & 0x7FFFFFFF)),
-                _lists(pa.array(docs.astype(np.int32)), first),
+                pa.array(chunks, pa.binary()).take(pa.array(at & 0x7FFFFFFF)),
+                pa.array(plain[at & 0x7FFFFFFF]),
+                _lists(pa.array(docs.astype(np.int16)), first),
                 *(_lists(x, np.flatnonzero(np.diff(by_source >> 32, prepend=-1))) for x in (names, pa.array(counts))),
             ],
-            names=["block", "lang", "chunk", "docs", "sources", "counts"],
+            names=["block", "lang", "chunk", "plain", "docs", "sources", "counts"],
         )
 
 
@@ -117,17 +123,16 @@ def term_counts(
     Each row is a document, also where ids repeat.  Null texts, languages and sources are
     empty ones; texts without a term give no row; columns besides the three are ignored.
 
-    A term's documents are at most those of its chunks added up.  So the chunks that hold
-    no term which may reach ``min_documents``, most of the rare ones, leave before the join.
+    A chunk that is a term and nothing else is its own term; the others are tokenized once
+    each and their terms join back.
     """
     postings = stored(_named(docs, text_col, lang_col, source_col).mapInArrow(partial(_count, block_documents=block_documents), _POSTINGS), "postings").withColumn("chunk", F.col("chunk").cast("string"))
-    chunks = stored(postings.groupBy("lang", "chunk").agg(F.sum(F.size("docs")).alias("most")), "chunk-documents")
-    tokens = chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
+    compound = postings.where(~F.col("plain"))
+    tokens = compound.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
     terms = stored(tokens.groupBy("chunk", "term").agg(F.count("*").alias("times")), "chunk-terms")
-    of_lang = stored(chunks.join(terms, "chunk").select("lang", "chunk", "term", "times", "most"), "language-terms")
-    may = stored(of_lang.groupBy("lang", "term").agg(F.sum("most").alias("most")).where(F.col("most") >= min_documents).select("lang", "term"), "possible-terms")
-    wanted = stored(of_lang.drop("most").join(may, ["lang", "term"]), "wanted-terms")
-    held = stored(postings.join(wanted, ["lang", "chunk"]).select("block", "lang", "term", "times", "docs", "sources", "counts"), "term-postings")
+    columns = ["block", "lang", "term", "times", "docs", "sources", "counts"]
+    joined = stored(compound.join(terms, "chunk").select(*columns), "joined-terms")
+    held = postings.where("plain").select("block", "lang", F.col("chunk").alias("term"), F.lit(1).cast("long").alias("times"), "docs", "sources", "counts").unionByName(joined)
     united = F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))
     documents = held.groupBy("block", "lang", "term").agg(united.alias("n")).groupBy("lang", "term").agg(F.sum("n").alias("documents"))
     documents = stored(documents.where(F.col("documents") >= min_documents), "term-documents")
