@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimstone.functions import facts, text, transcripts
 from claimstone.operators import chunking, intervals, jobs, matching, publication, retrieval, similarity
-from claimstone.plans import canonical, gate, requirements
+from claimstone.plans import canonical, gate, requirements, scoring
 from claimstone.sources import files
 from claimstone.streaming import events
 
-MODULES = (files, text, transcripts, facts, chunking, retrieval, similarity, intervals, matching, jobs, publication, requirements, canonical, gate, events)
+MODULES = (files, text, transcripts, facts, chunking, retrieval, similarity, intervals, matching, jobs, publication, requirements, canonical, gate, scoring, events)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}

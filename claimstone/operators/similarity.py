@@ -76,9 +76,12 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return members.join(linked, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("component_id"))
 
 
-def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", alike: float = 0.90, held: float = 0.82) -> DataFrame:
+def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", alike: float = 0.90, held: float = 0.82, scope_col: str | None = None) -> DataFrame:
     """``id, n_prior, first_prior``: statements that an earlier one (smaller id) repeats.
 
+    With ``scope_col`` ids are those of a scope, statements of different scopes don't meet,
+    and the result has ``scope`` too; a null scope is one of its own.
+
     Two do if their meaningful tokens have a Jaccard of ``alike``, or the smaller set has
     LEAST_TOKENS or more and the other holds ``held`` of it.  Either way one of the smaller
     set's n - ceil(held * n) + 1 rarest tokens is in the larger one, so those are looked up.
@@ -86,7 +89,14 @@ def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str
     Equal sets are one class, which pairs once; a statement's prior ones are those before it
     among its class and the classes that pair with it.
     """
-    marked = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(F.array_sort(meaningful_tokens(F.col(text_col)))).alias("s")).where(F.size("s") > 0)
+    if scope_col is not None:
+        own = items.where(F.col(id_col).isNotNull()).select(F.struct(F.col(scope_col).alias("scope"), F.col(id_col).alias("id")).alias("id"), F.col(text_col).alias("text"))
+        name = F.concat(F.to_json(F.struct("id.scope")), F.lit("|"))
+    else:
+        own = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        name = F.lit("")
+    marked = own.groupBy("id").agg(F.first(F.array_sort(meaningful_tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    marked = marked.withColumn("s", F.transform("s", lambda t: F.concat(name, t)))  # tokens of a scope
     marked = stored(marked.withColumn("mark", F.md5(F.array_join("s", " "))), "statements")
     classes = stored(marked.groupBy("mark").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")
     members = stored(marked.select("id", "mark").join(classes, "mark").select("id", "class_id", "members"), "members")
@@ -105,7 +115,10 @@ def prior_duplicates(items: DataFrame, *, id_col: str = "item_id", text_col: str
     meet = stored(sides.select(F.col("a").alias("own"), F.col("b").alias("class_id")).unionByName(own.select(F.col("class_id").alias("own"), "class_id")), "meet")
     row = positions(meet.join(members.select("id", "class_id"), "class_id").select("own", "id", (F.col("own") == F.col("class_id")).alias("asked")), "own", "id")
     least_ids = meet.groupBy("own").agg(F.min("class_id").alias("first_prior"))
-    return row.where("asked and pos > 1").join(least_ids, "own").select("id", (F.col("pos") - 1).cast("long").alias("n_prior"), "first_prior")
+    found = row.where("asked and pos > 1").join(least_ids, "own").select("id", (F.col("pos") - 1).cast("long").alias("n_prior"), "first_prior")
+    if scope_col is None:
+        return found
+    return found.select("id.scope", "id.id", "n_prior", F.col("first_prior.id").alias("first_prior"))
 
 
 # --- Queries --------------------------------------------------------------------------

@@ -17,17 +17,6 @@ from claimstone.operators.retrieval import BM25_SQL, bm25, numbers_sql, top_k
 from claimstone.session import stored
 from claimstone.sources.tables import table
 
-# --- Fixed values: causes of issues, and which of them a component of the score already holds -----
-CAUSES = {
-    "missing_evidence": "EVIDENCE_NOT_GROUNDED", "duplicate_requirement": "DUPLICATE_CONTENT", "story_missing_acceptance": "STORY_COMPLETENESS", "story_empty_title": "STORY_COMPLETENESS",
-    "acceptance_criterion_not_source_aligned": "AC_QUALITY",
-}
-OWNED = ["EVIDENCE_NOT_GROUNDED", "DUPLICATE_CONTENT", "AC_QUALITY", "STORY_TRACEABILITY", "STORY_COMPLETENESS"]
-WEIGHTS = {"groundedness": 0.30, "traceability": 0.25, "completeness": 0.15, "ac_quality": 0.20, "uniqueness": 0.10}
-SEVERITY = {"high": 0.15, "medium": 0.05, "low": 0.01}
-MOST_PENALTY = 0.70
-CAPS = {"high": 0.59, "medium": 0.79, "reported": 0.89}
-
 
 def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """Statements of documents: their sentences that hold a cue word, numbered from 1, with a label; only the first ``most`` if that is given."""
@@ -87,38 +76,11 @@ def issues(reqs: DataFrame, tales: DataFrame) -> DataFrame:
         rule(reqs.where("evidence = 0"), "requirement", "missing_evidence", "high")
         .unionByName(rule(reqs.where("duplicate"), "requirement", "duplicate_requirement", "high"))
         .unionByName(rule(reqs.where("trim(text) = ''"), "requirement", "requirement_empty_text", "high"))
-        .unionByName(rule(reqs.where("needs_review"), "requirement", "requirement_incomplete", "medium"))
         .unionByName(rule(tales.where("title = ''"), "story", "story_empty_title", "medium"))
         .unionByName(rule(tales.where("size(criteria) = 0"), "story", "story_missing_acceptance", "medium"))
-        .unionByName(rule(tales.where("points = 8"), "story", "story_too_large", "low"))
     )
 
 
-def quality(reqs: DataFrame, tales: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: the components of quality, what issues cost, and the score.
-
-    Issues of one item and cause count once, with their highest severity; those whose cause
-    a component holds cost nothing more, but a high one still caps the score.
-    """
-    r = reqs.agg(F.count("*").alias("requirements"), F.avg("groundedness").alias("groundedness"), F.avg((F.col("evidence") > 0).cast("double")).alias("traceability"), F.avg(F.col("duplicate").cast("double")).alias("duplicate_risk"))
-    whole = (F.col("title") != "") & (F.size("criteria") > 0)
-    t = tales.agg(F.count("*").alias("stories"), F.avg(whole.cast("double")).alias("completeness"), F.avg(F.when(F.size("criteria") > 0, 1.0).otherwise(0.0)).alias("ac_quality"))
-    cause = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CAUSES.items() for x in kv]), F.col("rule")), F.col("rule"))
-    rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    grouped = found.withColumn("cause", cause).groupBy("item_type", "item_id", "cause").agg(F.max(rank).alias("rank"))
-    costly = ~F.col("cause").isin(OWNED)
-    i = grouped.agg(F.count_if(F.col("rank") == 3).alias("high_issues"), *[F.count_if(costly & (F.col("rank") == k)).alias(n) for k, n in ((3, "high"), (2, "medium"), (1, "low"))])
-    # Three tables of one row each.
-    one = r.unionByName(t, allowMissingColumns=True).unionByName(i, allowMissingColumns=True)
-    one = one.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in one.columns])
-    base = sum((F.coalesce(1 - F.col("duplicate_risk") if k == "uniqueness" else F.col(k), F.lit(0.0)) * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    score = F.greatest(F.lit(0.0), base - F.least(F.lit(MOST_PENALTY), sum((F.col(k) * w for k, w in SEVERITY.items()), F.lit(0.0))))
-    capped = F.least(score, F.when(F.col("high") > 0, CAPS["high"]).when(F.col("medium") > 0, CAPS["medium"]).otherwise(1.0), F.when(F.col("high_issues") > 0, CAPS["reported"]).otherwise(1.0))
-    overall = F.when((F.col("requirements") == 0) & (F.col("stories") == 0), 0.0).otherwise(capped)
-    parts = [F.round(c, 4).alias(c) for c in ("groundedness", "traceability", "completeness", "ac_quality", "duplicate_risk")]
-    return one.select("requirements", "stories", *parts, "high_issues", F.round(overall, 4).alias("overall"))
-
-
 def excel_rows(reqs: DataFrame, tales: DataFrame, proofs: DataFrame) -> DataFrame:
     """The export of stories with their requirement: texts joined for one cell each."""
     quotes = proofs.where("grade = 'verified'").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "quote"))).alias("q"))
@@ -162,11 +124,6 @@ def gate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(reqs, tales)
 
 
-def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reqs, _, tales = _parts(spark, sf_dir)
-    return quality(reqs, tales, issues(reqs, tales))
-
-
 def export_excel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs, proofs, tales = _parts(spark, sf_dir)
     return excel_rows(reqs, tales, proofs)
@@ -208,26 +165,14 @@ _REQUIREMENTS = f"""
     iss AS (SELECT 'requirement' AS item_type, item_id, 'missing_evidence' AS rule, 'high' AS severity FROM rq WHERE evidence = 0
         UNION ALL SELECT 'requirement', item_id, 'duplicate_requirement', 'high' FROM rq WHERE duplicate
         UNION ALL SELECT 'requirement', item_id, 'requirement_empty_text', 'high' FROM rq WHERE trim(text, ' ') = ''
-        UNION ALL SELECT 'requirement', item_id, 'requirement_incomplete', 'medium' FROM rq WHERE needs_review
         UNION ALL SELECT 'story', item_id, 'story_empty_title', 'medium' FROM sto WHERE title = ''
-        UNION ALL SELECT 'story', item_id, 'story_missing_acceptance', 'medium' FROM sto WHERE len(criteria) = 0
-        UNION ALL SELECT 'story', item_id, 'story_too_large', 'low' FROM sto WHERE points = 8)"""
+        UNION ALL SELECT 'story', item_id, 'story_missing_acceptance', 'medium' FROM sto WHERE len(criteria) = 0)"""
 SQL = {
     "extracted_statements": f"""WITH s AS (SELECT doc_id, list_filter({sentences_sql('text')}, lambda x: {_cue_sql('x', V.CUES)}) AS s FROM documents),
         x AS (SELECT doc_id, generate_subscripts(s, 1)::INT AS number, unnest(s) AS statement FROM s) SELECT doc_id, number, statement, {_label_sql('statement')} AS label, 0.9::DOUBLE AS confidence FROM x""",
     "best_evidence": f"WITH {_EVIDENCE} SELECT item_id, doc_id, md5(quote) AS quote_md5, support, grade FROM ev",
     "requirement_rows": f"WITH {_REQUIREMENTS} SELECT * EXCLUDE (text) FROM rq",
     "gate_issues": f"WITH {_REQUIREMENTS} SELECT * FROM iss",
-    "quality_scores": f"""WITH {_REQUIREMENTS},
-        a AS (SELECT count(*) AS requirements, coalesce(avg(groundedness), 0) AS g, coalesce(avg((evidence > 0)::INT), 0) AS t, coalesce(avg(duplicate::INT), 0) AS d FROM rq),
-        b AS (SELECT count(*) AS stories, coalesce(avg((title <> '' AND len(criteria) > 0)::INT), 0) AS c, coalesce(avg((len(criteria) > 0)::INT), 0) AS q FROM sto),
-        k AS (SELECT item_type, item_id, CASE rule WHEN 'missing_evidence' THEN 'EVIDENCE_NOT_GROUNDED' WHEN 'duplicate_requirement' THEN 'DUPLICATE_CONTENT' WHEN 'story_missing_acceptance' THEN 'STORY_COMPLETENESS'
-              WHEN 'story_empty_title' THEN 'STORY_COMPLETENESS' ELSE rule END AS cause, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS r FROM iss GROUP BY ALL),
-        i AS (SELECT count(*) FILTER (WHERE r = 3) AS high_issues, count(*) FILTER (WHERE r = 3 AND o) AS h, count(*) FILTER (WHERE r = 2 AND o) AS m, count(*) FILTER (WHERE r = 1 AND o) AS l
-              FROM (SELECT *, cause NOT IN ({', '.join(f"'{c}'" for c in OWNED)}) AS o FROM k))
-        SELECT requirements, stories, round(g, 4) AS groundedness, round(t, 4) AS traceability, round(c, 4) AS completeness, round(q, 4) AS ac_quality, round(d, 4) AS duplicate_risk, high_issues,
-        round(least(greatest(0, 0.30 * g + 0.25 * t + 0.15 * c + 0.20 * q + 0.10 * (1 - d) - least(0.70, 0.15 * h + 0.05 * m + 0.01 * l)), CASE WHEN h > 0 THEN 0.59 WHEN m > 0 THEN 0.79 ELSE 1 END, CASE WHEN high_issues > 0 THEN 0.89 ELSE 1 END), 4)::DOUBLE AS overall
-        FROM a, b, i""",
     "export_excel_rows": f"""WITH {_REQUIREMENTS},
         qu AS (SELECT item_id, string_agg(quote, ' | ' ORDER BY doc_id, quote) AS q FROM ev WHERE grade = 'verified' GROUP BY item_id)
         SELECT printf('US-%03d', item_id) AS id, printf('REQ-%03d', item_id) AS requirement_id, sto.title, array_to_string(criteria, '; ') AS acceptance_criteria,
@@ -235,6 +180,6 @@ SQL = {
         FROM sto JOIN rq USING (item_id) LEFT JOIN qu USING (item_id)""",
 }
 QUERIES = {
-    "extracted_statements": extracted_statements, "best_evidence": best_evidence, "requirement_rows": requirement_rows, "gate_issues": gate_issues, "quality_scores": quality_scores,
+    "extracted_statements": extracted_statements, "best_evidence": best_evidence, "requirement_rows": requirement_rows, "gate_issues": gate_issues,
     "export_excel_rows": export_excel_rows, "export_json": export_json,
 }
