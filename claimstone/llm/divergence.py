@@ -42,7 +42,7 @@ BLOCK_DOCUMENTS, BLOCK_BYTES = (1 << 15) - 1, 32 << 20
 TILE, PART_ROWS = 512, 200_000
 
 _DOC_BITS = 15
-_POSTINGS = "block long, lang string, chunk binary, plain boolean, docs array<short>, sources array<string>, counts array<int>"
+_POSTINGS = "block long, lang string, chunk binary, plain boolean, docs array<short>, sources array<long>, counts array<int>"
 #: Chunks that are a term and nothing else.
 _PLAIN = re.compile(rb"[A-Za-z\x80-\xff]+")
 
@@ -60,7 +60,7 @@ class _Block:
         self.keys: list[np.ndarray] = []
         self.source_of: list[int] = []
 
-    def add(self, lang: str, source: str, text: bytes) -> None:
+    def add(self, lang: str, source: int, text: bytes) -> None:
         doc = self.langs[lang] << 46 | len(self.source_of)
         self.source_of.append(self.sources[source])
         for piece in slices(text):
@@ -77,7 +77,7 @@ class _Block:
         counts = np.bincount(place, n).astype(np.int32)
         chunks = list(self.chunks)
         plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
-        names = pa.array(list(self.sources), pa.string()).take(pa.array(by_source & 0xFFFFFFFF))
+        names = pa.array(np.array(list(self.sources), np.int64)[by_source & 0xFFFFFFFF])
         at = chunk[first]
         return pa.record_batch(
             [
@@ -115,6 +115,17 @@ def _named(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Da
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], text)
 
 
+def _numbered_sources(named: DataFrame) -> tuple[DataFrame, Column]:
+    """``lang, source, number`` of all groups, and the number as an expression: a hash under which no two sources meet."""
+    groups = stored(named.select("lang", "source").distinct(), "groups")
+    for salt in range(1 << 16):
+        number = F.xxhash64(F.concat(F.lit(str(salt) if salt else ""), "source"))
+        sources, numbers = groups.agg(F.count_distinct("source"), F.count_distinct(number)).first()
+        if sources == numbers:
+            return groups.withColumn("number", number), number
+    raise RuntimeError("sources can't be numbered")
+
+
 def term_counts(
     docs: DataFrame, *, min_documents: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", block_documents: int = BLOCK_DOCUMENTS,
 ) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +137,9 @@ def term_counts(
     A chunk that is a term and nothing else is its own term; the others are tokenized once
     each and their terms join back.
     """
-    postings = stored(_named(docs, text_col, lang_col, source_col).mapInArrow(partial(_count, block_documents=block_documents), _POSTINGS), "postings").withColumn("chunk", F.col("chunk").cast("string"))
+    named = _named(docs, text_col, lang_col, source_col)
+    groups, number = _numbered_sources(named)
+    postings = stored(named.select("lang", number.alias("source"), "text").mapInArrow(partial(_count, block_documents=block_documents), _POSTINGS), "postings").withColumn("chunk", F.col("chunk").cast("string"))
     compound = postings.where(~F.col("plain"))
     tokens = compound.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
     terms = stored(tokens.groupBy("chunk", "term").agg(F.count("*").alias("times")), "chunk-terms")
@@ -137,7 +150,8 @@ def term_counts(
     documents = held.groupBy("block", "lang", "term").agg(united.alias("n")).groupBy("lang", "term").agg(F.sum("n").alias("documents"))
     documents = stored(documents.where(F.col("documents") >= min_documents), "term-documents")
     kept = held.join(documents.select("lang", "term"), ["lang", "term"]).select("lang", "term", "times", F.inline(F.arrays_zip("sources", "counts")))
-    return documents, kept.groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum(F.col("counts") * F.col("times")).alias("n"))
+    counts = kept.groupBy("lang", F.col("sources").alias("number"), "term").agg(F.sum(F.col("counts") * F.col("times")).alias("n"))
+    return documents, counts.join(groups, ["lang", "number"]).select("lang", "source", "term", "n")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:

@@ -65,9 +65,9 @@ def test_documents_are_distinct(spark):
 def test_rows_of_a_block():
     block = divergence._Block(3)
     for text in ("a b a", "b c", ""):
-        block.add("en", "s", text.upper().encode())
+        block.add("en", 7, text.upper().encode())
     rows = {r["chunk"]: (r["docs"], r["sources"], r["counts"]) for r in block.rows().to_pylist()}
-    assert rows == {b"a": ([0], ["s"], [2]), b"b": ([0, 1], ["s"], [2]), b"c": ([1], ["s"], [1])}
+    assert rows == {b"a": ([0], [7], [2]), b"b": ([0, 1], [7], [2]), b"c": ([1], [7], [1])}
     assert divergence._Block(1).rows().num_rows == 0
 
 
