@@ -43,8 +43,8 @@ BLOCK_TOKENS, OPEN_TOKENS = 1 << 18, 1 << 22
 FILTER_BITS = 26
 #: Candidates of a trie.
 SHARD = 200_000
-#: Hashes or words that a task gathers before it hands on their sums.
-HELD = 1 << 22
+#: Hashes or words that a task gathers before it hands on their sums, and rows that it hands on at once.
+HELD, ROWS = 1 << 21, 1 << 15
 #: Candidates that are ranked together before the best of a language are.
 RANKED_ROWS = 50_000
 
@@ -118,14 +118,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         if held:
             sums = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-            yield from sums.to_batches(max_chunksize=1 << 16)
+            yield from sums.to_batches(max_chunksize=ROWS)
 
     held: list[pa.Table] = []
     for lang, words, tokens, starts in _each(batches):
         n = np.bincount(tokens[:starts], minlength=len(words) + 1)[1:]
         some = np.flatnonzero(n)  # words of the context alone count in the next block
         held.append(pa.table({"lang": pa.array([lang] * len(some), pa.string()), "phrase": words.take(pa.array(some)), "n": pa.array(n[some])}))
-        if sum(t.num_rows for t in held) >= HELD:
+        if sum(t.num_rows for t in held) >= HELD // 2:
             yield from out()
             held = []
     yield from out()
@@ -189,18 +189,19 @@ def _opened(shared: list[Broadcast]) -> list[np.ndarray]:
 
 
 def _hash_sums(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], length: int) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
+    def out() -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for at in range(0, len(h), ROWS):
+            yield pa.record_batch([pa.array(h[at : at + ROWS].view(np.int64)), pa.array(n[at : at + ROWS])], names=["h", "n"])
 
     held: list[np.ndarray] = []
     bits = _opened(shared)
     for block in _each(batches):
         held += [h for k, _, h in _phrases(*block, bits, length) if k == length]
         if sum(map(len, held)) >= HELD:
-            yield out()
+            yield from out()
             held = []
-    yield out()
+    yield from out()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> I
                     found.append(b" ".join([words[t - 1].as_py() for t in tokens[place : place + k].tolist()]))
         if found:
             yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["lang", "phrase"])
-        if len(seen) >= HELD // 4:
+        if len(seen) >= HELD // 2:
             seen.clear()
 
 
