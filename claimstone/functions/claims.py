@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,18 +44,15 @@ def _said(text: Column, pattern: str) -> Column:
 
 # --- Clauses ----------------------------------------------------------------------------
 
-_CUTS = rf"(?i)\s*;\s*|\s+(?=without\b)|,?\s+and\s+(?=(?:{'|'.join(V.NEGATED_VERBS)})\b)|\s+and\s+(?=(?:{'|'.join(V.CLAUSE_VERBS)})\b)"
-_LISTED = r"(?i)^(.*?\b(?:for|by))\s+([^.;]+?,[^.;]+?,\s*(?:and|or)\s+[^.;]+)$"
-
 
 def clauses(text: Column) -> Column:
     """The clauses that must be covered: parts of sentences, a list of three or more after ``for`` or ``by`` as one clause each."""
-    parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?؟])\s+(?=[^\d\s])"), lambda s: F.split(s, _CUTS)))
+    parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?؟])\s+(?=[^\d\s])"), lambda s: F.split(s, V.CLAUSE_CUTS)))
 
     def expanded(part: Column) -> Column:
-        items = F.filter(F.transform(F.split(F.regexp_extract(part, _LISTED, 2), r",\s*|,?\s+(?:and|or)\s+"), bare), lambda i: F.size(meaningful_tokens(i)) >= 1)
-        each = F.transform(items, lambda i: F.concat(F.regexp_extract(part, _LISTED, 1), F.lit(" "), i))
-        return F.when(part.rlike(_LISTED), each).when(F.size(meaningful_tokens(part)) >= 2, F.array(part)).otherwise(F.array().cast(_NOTHING))
+        items = F.filter(F.transform(F.split(F.regexp_extract(part, V.LISTED, 2), r",\s*|,?\s+(?:and|or)\s+"), bare), lambda i: F.size(meaningful_tokens(i)) >= 1)
+        each = F.transform(items, lambda i: F.concat(F.regexp_extract(part, V.LISTED, 1), F.lit(" "), i))
+        return F.when(part.rlike(V.LISTED), each).when(F.size(meaningful_tokens(part)) >= 2, F.array(part)).otherwise(F.array().cast(_NOTHING))
 
     return F.flatten(F.transform(F.transform(parts, lambda p: F.btrim(p, F.lit(" ."))), expanded))
 
@@ -214,9 +213,9 @@ def unsupported_terms(claim: Column, sources: Column) -> Column:
 
 def terms_for_review(claim: Column, sources: Column) -> Column:
     """Terms of lower risk that no source has and that the claim uses as acts."""
-    acts = {"notify": V.NOTIFIED, "record": V.RECORDED, "test": r"\btest(?:s|ed|ing)?\b"}
+    acts = {"notify": V.NOTIFIED, "record": V.RECORDED, "test": [V.TESTED]}
     lowered = F.lower(claim["text"])
-    used = F.array(*[F.when(_said(lowered, acts.get(t, rf"\b{t}\b")), F.lit(t)) for t in V.REVIEW_TERMS])
+    used = F.array(*[F.when(reduce(or_, [_said(lowered, p) for p in acts.get(t, [rf"\b{t}\b"])]), F.lit(t)) for t in V.REVIEW_TERMS])
     return let(F.array_intersect(F.array_except(claim["facts"], _all_facts(sources)), strings(V.REVIEW_TERMS)), lambda new: F.when(F.size(new) > 0, F.array_intersect(new, used)).otherwise(new))
 
 

@@ -78,6 +78,8 @@ def luhn_valid(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+#: 13 digits with nothing but blanks and hyphens between: what every card number holds.
+MAY_BE_CARD = r"(?:\p{Nd}[ -]*+){12}\p{Nd}"
 CARDS = StructType([StructField("text", StringType()), StructField("cards", IntegerType())])
 
 
@@ -105,8 +107,10 @@ def _cards_masked(texts: pd.Series) -> pd.DataFrame:
 
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``masked`` and ``pii`` (counts by kind, of those found): cards, secrets, vendor keys, emails, phones, in this order."""
-    df = df.withColumn("_cards", _cards_masked(F.coalesce(F.col(text_col), F.lit(""))))
-    text = F.col("_cards.text")
+    # Python sees only texts in which a card number can be.
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn("_cards", _cards_masked(F.when(own.rlike(MAY_BE_CARD), own).otherwise("")))
+    text = F.when(own.rlike(MAY_BE_CARD), F.col("_cards.text")).otherwise(own)
     counts = [("CREDIT_CARD", F.col("_cards.cards")), ("API_SECRET", F.regexp_count(text, F.lit(V.SECRET)))]
     text = F.regexp_replace(text, V.SECRET, "$1=[REDACTED_SECRET]")
     for kind, pattern, mask in [*((k, p, f"[REDACTED_{k}]") for k, p in V.KEYS), ("EMAIL", V.EMAIL, "[EMAIL]"), ("PHONE", V.PHONE, "[PHONE]")]:
@@ -198,12 +202,6 @@ def relevance(text: Column) -> Column:
     return let(let(F.trim(F.lower(F.coalesce(text, F.lit("")))), counted), judged)
 
 
-def different_languages(a: Column, b: Column) -> Column:
-    """Whether two BCP-47 tags have different primary tags; null if one is missing."""
-    primary = lambda c: F.lower(F.split(c, "-")[0])
-    return primary(a) != primary(b)
-
-
 # --- Queries --------------------------------------------------------------------------
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from claimstone.functions import values as V
+from claimstone.session import stored
 from claimstone.sources.tables import table
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
@@ -56,9 +57,10 @@ def pages(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, a row for each page that isn't blank: ``page`` from 1, ``start_char, end_char, chunk``; pages end at form feeds."""
     rest = [c for c in docs.columns if c != text_col]
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\f")
-    # The offset of a page is the length of all before it and a form feed for each.
-    offsets = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    rows = docs.select(*rest, F.posexplode(F.arrays_zip(parts.alias("p"), offsets.alias("o"))).alias("i", "z"))
+    rows = stored(docs.select(*rest, F.monotonically_increasing_id().alias("_row"), parts.alias("_parts")).select(*rest, "_row", F.posexplode("_parts").alias("i", "_p")), "pages")
+    # A page starts behind all pages before it and a form feed for each.
+    before = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("z", F.struct(F.col("_p").alias("p"), F.coalesce(F.sum(F.length("_p") + 1).over(before), F.lit(0)).cast("int").alias("o")))
     return rows.select(*rest, (F.col("i") + 1).alias("page"), F.col("z.o").alias("start_char"), (F.col("z.o") + F.length("z.p")).alias("end_char"), F.col("z.p").alias("chunk")).where(F.trim("chunk") != "")
 
 

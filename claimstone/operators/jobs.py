@@ -69,11 +69,6 @@ def valid_job_id(job_id: Column) -> Column:
     return F.coalesce(job_id.rlike(r"\A[A-Za-z0-9._-]{1,128}\z"), F.lit(False))
 
 
-def replace_jobs(rows: DataFrame, path: str, job_col: str = "job_id") -> None:
-    """Writes rows below ``path``, a folder for each job; what was there of these jobs goes, other jobs stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job_col).parquet(path)
-
-
 def request_fingerprint(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON with sorted names, no blanks, nulls written, text unescaped beyond JSON's needs."""
     def quoted(c: Column) -> Column:

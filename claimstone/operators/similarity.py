@@ -219,7 +219,7 @@ SQL["repeated_turns"] = f"""
     SELECT conv_id, turn, count(*) AS n_prior, min(prior)[1] AS first_conv_id, min(prior)[2] AS first_turn FROM f GROUP BY conv_id, turn"""
 SQL["conflict_pairs"] = f"""
     WITH k AS (SELECT item_id, list_sort(list_distinct({tokens_sql('text')})) AS s FROM benchmark),
-    c AS (SELECT s, min(item_id) AS i FROM k WHERE len(s) >= 4 GROUP BY s),
+    c AS (SELECT s, min(item_id) AS i FROM k WHERE len(s) >= 1 GROUP BY s),
     p AS (SELECT a.i AS a, b.i AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM c a JOIN c b ON a.i < b.i)
     SELECT * FROM p WHERE jaccard >= 0.3 AND jaccard < 0.8"""
 QUERIES = {

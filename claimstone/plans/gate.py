@@ -158,8 +158,11 @@ def repeated_stories(stories: DataFrame) -> DataFrame:
     return rows.join(later, "node", "left_semi").select("s", "id").unionByName(copies.select("s", "id"))
 
 
-def story_issues(stories: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Of stories with their requirements (``with_requirements``) and criteria (``scope, story, criterion_id, text``)."""
+def story_issues(stories: DataFrame, criteria: DataFrame, again: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """Of stories with their requirements (``with_requirements``) and criteria (``scope, story, criterion_id, text``).
+
+    ``again`` and ``copies`` are what ``repeated_criteria`` and ``repeated_stories`` find, where that is known already.
+    """
     s = with_criteria(stories, criteria)
     title, about = C.bare(F.col("title")), C.bare(F.col("description"))
     s = s.withColumn("claim", C.described(C.bare(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))))
@@ -187,8 +190,8 @@ def story_issues(stories: DataFrame, criteria: DataFrame) -> DataFrame:
     wrong = F.col("numbers") | acts | C.conflicts_with(F.col("claim"), F.col("sources")) | C.invents_approval(F.col("claim"), F.col("sources"))
     best = F.array_max(F.transform(F.filter("sources", C.substantive), lambda f: C.support(f, F.col("claim"))))
     each = stored(each.select("scope", "id", wrong.alias("wrong"), best.alias("best")), "criteria")
-    again = s.join(repeated_criteria(s).select("s", "id").distinct(), ["s", "id"], "left_semi")
-    copies = s.join(repeated_stories(stories), ["s", "id"], "left_semi")
+    again = s.join((repeated_criteria(s) if again is None else again).select("s", "id").distinct(), ["s", "id"], "left_semi")
+    copies = s.join(repeated_stories(stories) if copies is None else copies, ["s", "id"], "left_semi")
     own = own.unionByName(_found(again, "story", [("duplicate_acceptance_criterion", F.lit(True), "medium")])).unionByName(_found(copies, "story", [("duplicate_story", F.lit(True), "medium")]))
     return own.unionByName(_found(each, "story", [("acceptance_criterion_unsupported_fact", F.col("wrong"), "high"), ("acceptance_criterion_not_source_aligned", ~F.col("wrong") & (F.col("best") < V.CRITERION_SUPPORT), "medium")]))
 
@@ -207,10 +210,10 @@ def coverage_issues(coverages: DataFrame, requirements: DataFrame, stories: Data
     )
 
 
-def all_issues(requirements: DataFrame, stories: DataFrame, criteria: DataFrame, coverages: DataFrame) -> DataFrame:
+def all_issues(requirements: DataFrame, stories: DataFrame, criteria: DataFrame, coverages: DataFrame, again: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """``scope, item_type, item_id, rule, severity`` of everything that the gate finds, each scope by itself."""
     linked = with_requirements(stories, requirements)
-    return requirement_issues(requirements).unionByName(story_issues(linked, criteria)).unionByName(coverage_issues(coverages, requirements, stories))
+    return requirement_issues(requirements).unionByName(story_issues(linked, criteria, again, copies)).unionByName(coverage_issues(coverages, requirements, stories))
 
 
 def groundedness(requirements: DataFrame) -> DataFrame:
@@ -294,8 +297,8 @@ SQL = {
         UNION ALL SELECT scope, 'requirement', id, 'missing_evidence', 'high' FROM r WHERE NOT special AND NOT quoted
         UNION ALL SELECT scope, 'requirement', id, 'low_confidence_classification', 'medium' FROM r WHERE NOT special AND k % 23 <> 0 AND k % 29 = 0
         UNION ALL SELECT scope, 'coverage', 0, 'coverage_bad_story_id', 'medium' FROM r WHERE k % 8 = 5
-        UNION ALL SELECT scope, 'coverage', -id, 'coverage_bad_requirement_id', 'medium' FROM r WHERE k % 47 = 0 AND k <> 0
-        UNION ALL SELECT scope, 'requirement', id, 'out_of_scope_covered_by_story', 'high' FROM r WHERE (k % 47 <> 0 OR k = 0) AND k % 3 <> 1 AND out_of_scope
-        UNION ALL SELECT scope, 'requirement', id, 'open_question_covered_by_story', 'high' FROM r WHERE (k % 47 <> 0 OR k = 0) AND k % 3 <> 1 AND open_question""",
+        UNION ALL SELECT scope, 'coverage', -id, 'coverage_bad_requirement_id', 'medium' FROM r WHERE k % 47 = 0
+        UNION ALL SELECT scope, 'requirement', id, 'out_of_scope_covered_by_story', 'high' FROM r WHERE k % 47 <> 0 AND k % 3 <> 1 AND out_of_scope
+        UNION ALL SELECT scope, 'requirement', id, 'open_question_covered_by_story', 'high' FROM r WHERE k % 47 <> 0 AND k % 3 <> 1 AND open_question""",
 }
 QUERIES = {"gate_rule_issues": gate_rule_issues, "gate_requirement_issues": gate_requirement_issues, "gate_penalties": gate_penalties, "requirement_wording": requirement_wording, "quotable_parts": quotable_parts, "groundedness_of_requirements": groundedness_of_requirements}

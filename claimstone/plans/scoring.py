@@ -26,7 +26,7 @@ def _share(part: Column, whole: Column, none: float) -> Column:
     return F.when(whole > 0, part / F.greatest(whole, F.lit(1))).otherwise(none)
 
 
-def judged_stories(stories: DataFrame, criteria: DataFrame, requirements: DataFrame) -> DataFrame:
+def judged_stories(stories: DataFrame, criteria: DataFrame, requirements: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """``s, id, source_ids``, whether a story is traceable and complete, its criteria, those that sources bear, those that repeat, and the share of clauses that criteria cover."""
     rows = gate.with_criteria(gate.with_requirements(stories, requirements), criteria)
     rows = rows.withColumn("whole", C.described(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.transform("ac", lambda c: F.coalesce(c["text"], F.lit(""))), " "))))
@@ -42,33 +42,34 @@ def judged_stories(stories: DataFrame, criteria: DataFrame, requirements: DataFr
     best = F.array_max(F.transform(F.filter("known", C.substantive), lambda f: C.support(f, claim)))
     holds = ~F.col("generic") & (best.isNull() | (~wrong & (best >= V.CRITERION_SUPPORT)))
     supported = each.select("s", "id", holds.alias("holds")).groupBy("s", "id").agg(F.count_if("holds").alias("supported"))
-    again = gate.repeated_criteria(rows).groupBy("s", "id").agg(F.count("*").alias("repeated"))
+    again = (gate.repeated_criteria(rows) if again is None else again).groupBy("s", "id").agg(F.count("*").alias("repeated"))
     told = rows.select("s", "id", "source_ids", traceable.alias("traceable"), complete.alias("complete"), F.size("ac").alias("criteria"), covered.alias("covered"))
     return told.join(supported, ["s", "id"], "left").join(again, ["s", "id"], "left").fillna(0, ["supported", "repeated"])
 
 
-def quality(requirements: DataFrame, stories: DataFrame, criteria: DataFrame, issues: DataFrame) -> DataFrame:
+def quality(requirements: DataFrame, stories: DataFrame, criteria: DataFrame, issues: DataFrame, again: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """A row for each scope that has a requirement or a story: its score, the parts, and the counts.
 
-    ``issues``: those of the gate and others (``scope, item_type, item_id, rule, severity``).
+    ``issues``: those of the gate and others (``scope, item_type, item_id, rule, severity``);
+    ``again`` and ``copies`` as in ``gate.story_issues``.
     Without stories traceability, completeness and the quality of criteria are 0; without
     requirements groundedness is; a part is as good as its weakest link.  A null scope is a
     scope of its own; without requirements and stories there is no row.
     """
     actionable = ~F.arrays_overlap(F.coalesce("labels", F.array().cast("array<string>")), F.array(*map(F.lit, V.SPECIAL_LABELS)))
     r = gate.keyed(requirements).select("scope", "s", "id", actionable.alias("actionable"), (F.coalesce(F.size("evidence"), F.lit(0)) > 0).alias("proved"))
-    told = stored(judged_stories(stories, criteria, requirements), "judged-stories")
+    told = stored(judged_stories(stories, criteria, requirements, again), "judged-stories")
     aligned = told.where("traceable").select("s", F.explode("source_ids").alias("id")).distinct().withColumn("aligned", F.lit(True))
     of_requirements = r.join(aligned, ["s", "id"], "left").groupBy("s").agg(
         F.first("scope").alias("scope"), F.count("*").alias("requirements"), F.count_if("actionable").alias("actionable"), F.count_if(F.col("actionable") & F.col("aligned")).alias("aligned"), F.count_if(F.col("actionable") & F.col("proved")).alias("proved"))
     grounded = gate.keyed(gate.groundedness(requirements)).groupBy("s").agg(F.avg("groundedness").alias("groundedness"))
-    again = gate.keyed(prior_duplicates(requirements, id_col="id", scope_col="scope")).groupBy("s").agg(F.count("*").alias("repeated_requirements"))
+    repeated = gate.keyed(prior_duplicates(requirements, id_col="id", scope_col="scope")).groupBy("s").agg(F.count("*").alias("repeated_requirements"))
     scope_of = gate.keyed(stories).groupBy("s").agg(F.first("scope").alias("story_scope"))
-    copies = gate.repeated_stories(stories).groupBy("s").agg(F.count("*").alias("repeated_stories"))
+    copies = (gate.repeated_stories(stories) if copies is None else copies).groupBy("s").agg(F.count("*").alias("repeated_stories"))
     of_stories = told.groupBy("s").agg(
         F.count("*").alias("stories"), F.count_if("traceable").alias("traceable"), F.count_if("complete").alias("complete"), F.sum("criteria").alias("criteria"), F.sum("supported").alias("supported"), F.sum("repeated").alias("repeated"), F.avg("covered").alias("covered"))
     cost = gate.keyed(gate.penalties(issues)).drop("scope")
-    q = of_requirements.join(of_stories, "s", "full").join(scope_of, "s", "left").join(grounded, "s", "left").join(again, "s", "left").join(copies, "s", "left").join(cost, "s", "left")
+    q = of_requirements.join(of_stories, "s", "full").join(scope_of, "s", "left").join(grounded, "s", "left").join(repeated, "s", "left").join(copies, "s", "left").join(cost, "s", "left")
     counts = ["requirements", "actionable", "aligned", "proved", "stories", "traceable", "complete", "criteria", "supported", "repeated", "repeated_requirements", "repeated_stories", "high", "medium", "low", "reported"]
     q = q.withColumn("scope", F.coalesce("scope", "story_scope")).fillna(0, counts).fillna(0.0, ["groundedness", "covered"]).fillna(False, ["degraded"])
     c = {n: F.col(n) for n in counts}
@@ -92,7 +93,9 @@ def quality(requirements: DataFrame, stories: DataFrame, criteria: DataFrame, is
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of each scope, its gate's issues among them."""
     requirements, stories, criteria, coverages = gate.tables(spark, sf_dir)
-    return quality(requirements, stories, criteria, stored(gate.all_issues(requirements, stories, criteria, coverages), "issues"))
+    rows = gate.with_criteria(gate.with_requirements(stories, requirements), criteria)
+    again, copies = stored(gate.repeated_criteria(rows), "repeated-criteria"), stored(gate.repeated_stories(stories), "repeated-stories")
+    return quality(requirements, stories, criteria, stored(gate.all_issues(requirements, stories, criteria, coverages, again, copies), "issues"), again, copies)
 
 
 def repeated_story_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def _entry(v: Column, label: Column | None = None) -> Column:
 
 
 def _entries(values: Column) -> Column:
-    return F.transform(F.coalesce(values, F.array().cast(_VARIANTS)), _entry)
+    return F.transform(F.coalesce(values, F.array().cast(_VARIANTS)), lambda v: _entry(v))
 
 
 def _values(v: Column, names: Column) -> Column:

@@ -52,10 +52,6 @@ def test_requeued(spark):
     assert got == {"a": ("QUEUED", 2, 0, True, None), "b": ("FAILED", 1, 50, False, "x"), "c": ("COMPLETED", 1, 100, False, None), "d": ("QUEUED", 3, 0, True, None)}
 
 
-def test_progress_ids_and_replacing(spark, tmp_path):
+def test_progress_and_ids(spark):
     row = spark.range(1).select(jobs.progress_of(F.lit("extract")).alias("a"), jobs.progress_of(F.lit("?")).alias("b"), jobs.valid_job_id(F.lit("a.b-1_")).alias("c"), jobs.valid_job_id(F.lit("a b")).alias("d"), jobs.valid_job_id(F.lit("a\n")).alias("e")).first()
     assert tuple(row) == (45, None, True, False, False)
-    path = str(tmp_path / "jobs")
-    jobs.replace_jobs(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "job_id string, x int"), path)
-    jobs.replace_jobs(spark.createDataFrame([("a", 9)], "job_id string, x int"), path)
-    assert sorted((r.job_id, r.x) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3)]
