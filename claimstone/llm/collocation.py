@@ -145,7 +145,7 @@ def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     size = np.diff(offsets)
     place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)
-    powers = np.cumprod(np.concatenate([[1], np.full(int(size.max()) - 1, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()) - 1, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
     sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], offsets[:-1] - offsets[0])  # words aren't empty
     return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(lang)))
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimstone.llm import collocation
@@ -132,3 +133,11 @@ def test_sql_on_odd_rows(spark, tmp_path):
 def test_query(spark, sf_dir, duck):
     want = duck_rows(duck, collocation.SQL["op13_phrase_collocations"])[1]
     assert want and spark_rows(collocation.op13_phrase_collocations(spark, sf_dir)) == want
+
+
+def test_hashes_tell_words_apart():
+    words = [f"{a}{b}ing{c}".encode() for a in "abcdefghij" for b in ("", "x", "long-middle-") for c in range(200)] + ["é".encode(), b"e"]
+    h = collocation._word_hashes("en", pa.array(words, pa.binary()))
+    assert len(set(h.tolist())) == len(words)
+    assert not set(h.tolist()) & set(collocation._word_hashes("de", pa.array(words, pa.binary())).tolist())
+    assert (collocation._word_hashes("en", pa.array(words, pa.binary()).slice(5, 40)) == h[5:45]).all()
