@@ -213,4 +213,19 @@ def payload_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"payload_requirements": payload_requirements}
-SQL: dict[str, str] = {}
+_ROW = lambda at, number, text, *, id=None, actor="NULL", goal="NULL", disposition="accepted", labels="FR", confidence=CONFIDENCE, kind="NULL", quote=None, page=1: (
+    f"SELECT doc_id, {number} AS number, {id or f"'{number}'"} AS id, {text} AS text, {actor}::VARCHAR AS actor, {goal}::VARCHAR AS goal, '{disposition}' AS disposition, '{labels}' AS labels, {confidence}::DOUBLE AS confidence, {kind}::VARCHAR AS extraction_type, {quote or text} AS quote, {page} AS page_number FROM d WHERE doc_id % {_FORMS} = {at}"
+)
+#: What each shape gives; shapes 6 (cut off), 8 (a text alone) and 9 (a name and an empty list) give nothing.
+_GIVEN = [
+    _ROW(0, 1, "s", id="'7'", actor="'clerk'", labels="FR,NFR", confidence=0.5), _ROW(0, 2, "s || ' must not fail'"), _ROW(1, 1, "trim(s, ' ')"), _ROW(1, 2, "s", labels="BR"), _ROW(2, 1, "s", disposition="rejected", labels="Open Question"),
+    _ROW(3, 1, "s"), _ROW(3, 2, "'second ' || s", id="'R-9'"), _ROW(4, 1, "s"), _ROW(4, 2, "s", disposition="rejected", labels="FR,Out-of-Scope", quote="'we decided against it'", page=4), _ROW(5, 1, "s", labels="NFR"), _ROW(5, 2, "'inner ' || s", labels="BR"),
+    _ROW(5, 3, "s", labels="Constraint"), _ROW(7, 1, "s", id="'3'"), _ROW(10, 1, "s"), _ROW(10, 2, "'x'"), _ROW(11, 1, "s", goal="'g'", kind="'implied'"),
+]
+SQL = {
+    "payload_requirements": rf"""
+        WITH d AS (SELECT doc_id, left(trim(regexp_replace(left(coalesce(text, ''), 400), '{_CLEAN}', ' ', 'g'), ' '), 160) AS s FROM documents),
+        r AS ({' UNION ALL '.join(_GIVEN)})
+        SELECT 'c' || doc_id AS chunk_id, number, id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS text_md5, actor, goal, disposition, labels, confidence, extraction_type, 1 AS proofs, md5(left(quote, {QUOTE_CHARS})) AS quote_md5, page_number, 'c' || doc_id AS evidence_chunk
+        FROM r WHERE trim(text, ' ') <> ''""",
+}
