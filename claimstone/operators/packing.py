@@ -140,12 +140,31 @@ def source_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of comparisons of each order's lines with the next ones of the same customer."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("a"), F.length("o_comment").alias("len_a") if "o_comment" in table(spark, sf_dir, "orders").columns else (F.pmod("o_orderkey", F.lit(900)) + 50).cast("int").alias("len_a"))
+    """Batches of comparisons of each order with the next ones of its customer."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("a"), (F.pmod("o_orderkey", F.lit(900)) + 50).cast("int").alias("len_a"))
     near = o.select("scope", F.col("a").alias("b"), F.col("len_a").alias("len_b"))
     pairs = o.join(near, "scope").where("a < b and b - a <= 400").withColumn("place", F.struct("a", "b"))
     return pair_batches(pairs, limit=2000).groupBy("scope", "batch").agg(F.count("*").alias("pairs"))
 
 
 QUERIES = {"text_parts": text_parts, "source_excerpts": source_excerpts, "comparison_batches": comparison_batches}
-SQL: dict[str, str] = {}
+_MORE = "(length('Compare REQ-' || x.a || ' and REQ-' || x.b || chr(10)) + CASE WHEN list_contains(u.h, x.a) THEN 0 ELSE x.la END + CASE WHEN list_contains(u.h, x.b) THEN 0 ELSE x.lb END)"
+SQL = {
+    "text_parts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n\s*\n|\f'), lambda x: trim(x, E' \t\n\r\x0b\x0c')), lambda x: x <> '') AS p FROM d WHERE length(t) > 4000),
+        c AS (SELECT doc_id, flatten(list_transform(p, lambda x: list_transform(range(0, (length(x) - 1) // 4000 + 1), lambda i: substring(x, i * 4000 + 1, 4000)))) AS c FROM p),
+        i AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c),
+        b AS (SELECT doc_id, i, c[i] AS piece, list_reduce(list_transform(c[1:i], lambda x: {'b': 0::BIGINT, 's': length(x) + 2}),
+            lambda u, x: {'b': CASE WHEN u.s + x.s > 4000 THEN u.b + 1 ELSE u.b END, 's': CASE WHEN u.s + x.s > 4000 THEN x.s ELSE u.s + x.s END}).b AS part FROM i),
+        o AS (SELECT doc_id, 0::BIGINT AS part, t FROM d WHERE length(t) BETWEEN 1 AND 4000 UNION ALL SELECT doc_id, part, string_agg(piece, E'\n\n' ORDER BY i) FROM b GROUP BY doc_id, part)
+        SELECT doc_id, part, length(t)::INTEGER AS chars, md5(t) AS text_md5 FROM o""",
+    "comparison_batches": f"""
+        WITH o AS (SELECT o_custkey AS scope, o_orderkey AS k, (o_orderkey % 900 + 50)::BIGINT AS n FROM orders),
+        p AS (SELECT x.scope, list({{'n': 0::BIGINT, 's': length('Compare REQ-' || x.k || ' and REQ-' || y.k || chr(10)) + x.n + y.n, 'h': [x.k, y.k], 'a': x.k, 'b': y.k, 'la': x.n, 'lb': y.n}} ORDER BY x.k, y.k) AS p
+            FROM o x JOIN o y ON x.scope = y.scope AND x.k < y.k AND y.k - x.k <= 400 GROUP BY x.scope),
+        i AS (SELECT scope, p, unnest(range(1, len(p) + 1)) AS i FROM p),
+        b AS (SELECT scope, list_reduce(p[1:i], lambda u, x: {{'n': CASE WHEN u.s + {_MORE} > 2000 THEN u.n + 1 ELSE u.n END, 's': CASE WHEN u.s + {_MORE} > 2000 THEN {_MORE} ELSE u.s + {_MORE} END,
+            'h': CASE WHEN u.s + {_MORE} > 2000 THEN [x.a, x.b] ELSE list_concat(u.h, [x.a, x.b]) END, 'a': x.a, 'b': x.b, 'la': x.la, 'lb': x.lb}}).n AS batch FROM i)
+        SELECT scope, batch, count(*) AS pairs FROM b GROUP BY scope, batch""",
+}
