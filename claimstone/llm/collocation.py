@@ -4,8 +4,9 @@ The corpus is read once into blocks: ragged arrays of word numbers with the word
 block beside them.  A phrase can be frequent only if the phrases inside it are (Apriori).
 So, length by length, the blocks add up hashes of the phrases whose first and last parts
 may both be frequent; hashes that stay below the threshold rule their phrases out, and the
-others are kept as bits of one array of fixed size.  Two phrases of one hash, or of one
-bit, only add: nothing frequent is lost.  What remains are the candidates.
+others are kept as bits of one array of fixed size.  Two phrases of one bit only add:
+nothing frequent is lost.  Each hash that remains keeps one place, where its phrase is
+read: these are the candidates.
 
 Candidates go into double-array tries over words, at most ``SHARD`` in one (times a chance
 excess of the hash that deals them), so that what is broadcast has a bound; each trie
@@ -26,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,10 @@ UNKNOWN = "und"
 BLOCK_TOKENS, OPEN_TOKENS = 1 << 18, 1 << 22
 #: Bits of the arrays that hold which hashes may be frequent: 2^26 are 8 MB, less where most are 0, since they travel compressed.
 FILTER_BITS = 26
+#: Bits of a place in a block, and of a block among those of a task.
+PLACE_BITS, BLOCK_BITS = 20, 16
+#: Attempts with another hash after two phrases shared one.
+SEEDS = 8
 #: Candidates of a trie.
 SHARD = 200_000
 #: Hashes or words that a task gathers before it hands on their sums, and rows that it hands on at once.
@@ -51,7 +56,7 @@ RANKED_ROWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t" + _ENDS, LOWER.encode() + b" " + b"\n" * len(_ENDS))
-_BLOCKS = "lang string, words array<binary>, tokens array<int>, starts int"
+_BLOCKS = "block long, lang string, words array<binary>, tokens array<int>, starts int"
 
 
 class _Open:
@@ -86,6 +91,16 @@ class _Open:
 
 def _encode(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     blocks: dict[str, _Open] = {}
+    first, made = TaskContext.get().partitionId() << BLOCK_BITS, 0
+
+    def out(block: _Open, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal made
+        for rows in block.rows(last):
+            if made >> BLOCK_BITS or rows["starts"][0].as_py() >> PLACE_BITS:
+                raise ValueError("a task has too many blocks, or a block too many words")
+            yield pa.RecordBatch.from_arrays([pa.array([first + made]), *rows.columns], ["block", *rows.schema.names])
+            made += 1
+
     for batch in batches:
         for lang, text in zip(*batch.columns, strict=True):
             lang = lang.as_py()
@@ -93,24 +108,24 @@ def _encode(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
             for piece in slices(text.as_py()):
                 block.add(piece.translate(_FOLD).replace(b"\n", b" \n ").split(b" "))
                 if block.size >= block_tokens:
-                    yield from block.rows(last=False)
+                    yield from out(block, last=False)
             block.add([b"\n"])
             if sum(b.size for b in blocks.values()) > OPEN_TOKENS:
-                yield from blocks.pop(max(blocks, key=lambda x: blocks[x].size)).rows(last=True)
+                yield from out(blocks.pop(max(blocks, key=lambda x: blocks[x].size)), last=True)
     for block in blocks.values():
-        yield from block.rows(last=True)
+        yield from out(block, last=True)
 
 
 def encoded(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """All texts as blocks ``lang, words, tokens, starts``; null languages are ``und``."""
+    """All texts as blocks ``block, lang, words, tokens, starts``; null languages are ``und``."""
     named = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return named.mapInArrow(partial(_encode, block_tokens=block_tokens), _BLOCKS)
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, int]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, words, tokens, starts = (c[i] for c in batch.columns)
+            lang, words, tokens, starts = (batch[n][i] for n in ("lang", "words", "tokens", "starts"))
             yield lang.as_py(), words.values, tokens.values.to_numpy(), starts.as_py()
 
 
@@ -137,7 +152,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+def _word_hashes(lang: str, words: pa.Array, seed: int = 0) -> np.ndarray:
     """64 bits for each word, from its bytes and the language."""
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -147,7 +162,7 @@ def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)
     powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()) - 1, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
     sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], offsets[:-1] - offsets[0])  # words aren't empty
-    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(lang, seed)))
 
 
 def _may(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -155,12 +170,12 @@ def _may(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bits[i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1) > 0
 
 
-def _phrases(lang: str, words: pa.Array, tokens: np.ndarray, starts: int, bits: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _phrases(lang: str, words: pa.Array, tokens: np.ndarray, starts: int, bits: list[np.ndarray], longest: int, seed: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length from 2: places and hashes of the phrases whose first and last parts pass their bits.
 
     bits: which hashes may be frequent, for lengths from 1.
     """
-    of_word = _word_hashes(lang, words)
+    of_word = _word_hashes(lang, words, seed)
     frequent = np.concatenate([[False], _may(of_word, bits[0])])
     of_word = np.concatenate([np.zeros(1, np.uint64), of_word])
     alive = frequent[tokens]
@@ -188,38 +203,40 @@ def _opened(shared: list[Broadcast]) -> list[np.ndarray]:
     return [np.frombuffer(zstandard.decompress(b.value), np.uint64) for b in shared]
 
 
-def _hash_sums(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], length: int) -> Iterator[pa.RecordBatch]:
+def _hash_sums(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the phrases of a length, how often each occurs, and one place of it."""
     def out() -> Iterator[pa.RecordBatch]:
-        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        h, first, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_index=True, return_counts=True)
+        place = np.concatenate([np.zeros(0, np.int64), *places])[first]
         for at in range(0, len(h), ROWS):
-            yield pa.record_batch([pa.array(h[at : at + ROWS].view(np.int64)), pa.array(n[at : at + ROWS])], names=["h", "n"])
+            part = slice(at, at + ROWS)
+            yield pa.record_batch([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array(place[part])], names=["h", "n", "place"])
 
-    held: list[np.ndarray] = []
+    held, places = [], []
     bits = _opened(shared)
-    for block in _each(batches):
-        held += [h for k, _, h in _phrases(*block, bits, length) if k == length]
-        if sum(map(len, held)) >= HELD:
-            yield from out()
-            held = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number = batch["block"][i].as_py() << PLACE_BITS
+            for block in _each(iter([batch.slice(i, 1)])):
+                for k, at, h in _phrases(*block, bits, length, seed):
+                    if k == length:
+                        held.append(h)
+                        places.append(at + number)
+            if sum(map(len, held)) >= HELD:
+                yield from out()
+                held, places = [], []
     yield from out()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    bits = _opened(shared)
-    for lang, words, tokens, starts in _each(batches):
-        found = []
-        for k, at, h in _phrases(lang, words, tokens, starts, bits, len(bits)):
-            some = _may(h, bits[k - 1])
-            distinct, first = np.unique(h[some], return_index=True)
-            for value, place in zip(distinct.tolist(), at[some][first].tolist(), strict=True):
-                if value not in seen:
-                    seen.add(value)
-                    found.append(b" ".join([words[t - 1].as_py() for t in tokens[place : place + k].tolist()]))
-        if found:
-            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["lang", "phrase"])
-        if len(seen) >= HELD // 2:
-            seen.clear()
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases at the places that are asked for (``asked``: place, length, how often its hash occurs)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, words, tokens, asked = (batch[n][i] for n in ("lang", "words", "tokens", "asked"))
+            text, ids = words.values, tokens.values.to_numpy()
+            place, size, n = (asked.values.field(k).to_numpy() for k in range(3))
+            found = [b" ".join([text[t - 1].as_py() for t in ids[a : a + k].tolist()]) for a, k in zip(place.tolist(), size.tolist(), strict=True)]
+            yield pa.record_batch([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(n)], names=["lang", "phrase", "n"])
 
 
 class DoubleArray:
@@ -339,12 +356,12 @@ def _trie_counts(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterat
     yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["no", "a"])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, words = batch.columns
         for lang in langs.unique().to_pylist():
             own = words.filter(pc.equal(langs, lang))
-            yield pa.record_batch([pa.array(_word_hashes(lang, own).view(np.int64))], names=["h"])
+            yield pa.record_batch([pa.array(_word_hashes(lang, own, seed).view(np.int64))], names=["h"])
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
@@ -357,30 +374,50 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: int, shard: int) -> DataFrame:
-    """``lang, phrase, a``: the phrases of two to ``longest`` words with ``min_count`` occurrences or more, exactly counted."""
+def _candidates(blocks: DataFrame, words: DataFrame, min_count: int, longest: int, seed: int) -> DataFrame:
+    """``lang, phrase, n``: a phrase for each hash that occurs ``min_count`` times or more, and how often it does."""
     spark = blocks.sparkSession
-    shared = [_shared(spark, _bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(_hashed, "h long")))]
+    shared = [_shared(spark, _bits(words.where(F.col("a") >= min_count).select("lang", "phrase").mapInArrow(partial(_hashed, seed=seed), "h long")))]
+    places = None
     for k in range(2, longest + 1):
-        sums = blocks.mapInArrow(partial(_hash_sums, shared=shared, length=k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        shared = [*shared, _shared(spark, _bits(sums.where(F.col("n") >= min_count)))]
-    found = stored(blocks.mapInArrow(partial(_candidates, shared=shared), "lang string, phrase binary").distinct(), "candidates")
+        sums = blocks.mapInArrow(partial(_hash_sums, shared=shared, length=k, seed=seed), "h long, n long, place long").groupBy("h").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+        often = stored(sums.where(F.col("n") >= min_count), "frequent-hashes")
+        shared = [*shared, _shared(spark, _bits(often))]
+        own = often.select(F.lit(k).cast("long").alias("k"), "n", "place")
+        places = own if places is None else places.unionByName(own)
     for bits in shared:
         bits.unpersist()
-    shards = -(-found.count() // shard)
-    if not shards:
-        return found.select("lang", "phrase", F.lit(0).cast("long").alias("a"))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
-    dealt = stored(dealt.withColumn("no", F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")).cast("long") - 1), "dealt")
-    counts = None
-    for s in range(shards):
-        built = dealt.where(F.col("shard") == s).select("no", "lang", "phrase").coalesce(1).mapInArrow(_built, "trie binary").first()
-        trie = spark.sparkContext.broadcast(bytes(built.trie))
-        own = blocks.mapInArrow(partial(_trie_counts, shared=trie), "no long, a long").groupBy("no").agg(F.sum("a").alias("a"))
-        own = stored(own.where(F.col("a") >= min_count).withColumn("shard", F.lit(s).cast("long")), "trie-counts")
-        trie.unpersist()
-        counts = own if counts is None else counts.unionByName(own)
-    return dealt.join(counts, ["shard", "no"]).select("lang", "phrase", "a")
+    at = F.struct(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), "k", "n")
+    asked = places.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(at).alias("asked"))
+    return stored(blocks.join(asked, "block").select("lang", "words", "tokens", "asked").mapInArrow(_names, "lang string, phrase binary, n long"), "candidates")
+
+
+def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: int, shard: int) -> DataFrame:
+    """``lang, phrase, a``: the phrases of two to ``longest`` words with ``min_count`` occurrences or more, exactly counted.
+
+    A hash names one phrase.  If that phrase occurs less often than its hash, another one
+    has the same hash, and all is done again with other hashes.
+    """
+    spark = blocks.sparkSession
+    for seed in range(SEEDS):
+        found = _candidates(blocks, words, min_count, longest, seed)
+        shards = -(-found.count() // shard)
+        if not shards:
+            return found.select("lang", "phrase", F.col("n").alias("a"))
+        dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+        dealt = stored(dealt.withColumn("no", F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")).cast("long") - 1), "dealt")
+        counts = None
+        for s in range(shards):
+            built = dealt.where(F.col("shard") == s).select("no", "lang", "phrase").coalesce(1).mapInArrow(_built, "trie binary").first()
+            trie = spark.sparkContext.broadcast(bytes(built.trie))
+            own = blocks.mapInArrow(partial(_trie_counts, shared=trie), "no long, a long").groupBy("no").agg(F.sum("a").alias("a"))
+            own = stored(own.withColumn("shard", F.lit(s).cast("long")), "trie-counts")
+            trie.unpersist()
+            counts = own if counts is None else counts.unionByName(own)
+        counted = stored(dealt.join(counts, ["shard", "no"], "left"), "counted")
+        if counted.where("a is null or a <> n").isEmpty():
+            return counted.select("lang", "phrase", "a")
+    raise RuntimeError("phrases share hashes again and again")
 
 
 def collocations(

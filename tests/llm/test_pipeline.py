@@ -86,3 +86,15 @@ def test_near_duplicates_reach_a_similarity_of_0_8(spark):
     assert linked > 30
     got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), SF)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    """Null texts, sources and ids, empty and repeated rows and columns of other names; and no row at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words of a plain document", "en", None, 30), (3, "some words of a plain document", "en", None, 30), (4, "quite another plain text", None, "b", 24)]
+    docs = frame(spark, rows).selectExpr("*", "1 AS w", "'x' AS component", "2 AS size_")
+    got = stage(spark, docs, SF)
+    ids = {r.doc_id for r in got.select("doc_id").collect()}
+    assert ids == {1, 2, 3, 4} and (name == "mixing" or got.columns == COLUMNS)
+    assert stage(spark, frame(spark, []), SF).count() == 0
