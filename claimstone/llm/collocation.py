@@ -49,7 +49,7 @@ SEEDS = 8
 #: Candidates of a trie.
 SHARD = 200_000
 #: Hashes or words that a task gathers before it hands on their sums, and rows that it hands on at once.
-HELD, ROWS = 1 << 21, 1 << 15
+HELD, ROWS = 1 << 20, 1 << 15
 #: Candidates that are ranked together before the best of a language are.
 RANKED_ROWS = 50_000
 
