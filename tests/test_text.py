@@ -120,3 +120,20 @@ def test_let_computes_once(spark):
 
     df = spark.range(3).select(let(F.rand(1), lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("r"))
     assert all(r.r.a == r.r.b for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["numeric_claims", "relevance_decisions", "relevance_against_labels", "priorities", "pii_emails", "pii_cards"])
+def test_words_beside_accents(spark, tmp_path, name):
+    """Edges of words are those of the SQL where accented letters, vertical tabs or other cases stand beside them."""
+    import duckdb
+
+    from tests.compare import duck_rows, spark_rows
+
+    texts = ["27 4116106959541135\nÉréviè ç", "é5 seconds, 7 secondsé, 8\x0bdays, 9 day\u017f", "éuser must log in énotify the manager, la la laé, lorem ipsumé dolor sit amet or so", "élorem ipsum élorem ipsum dolor sit amet and more than fifty letters", "éurgenté businesscritical \u017furgent",
+             "éjohn@example.com john@example.comé", "é4111111111111111 4111111111111111é", None, "", "priority:\x0bhigh", "PRIORITY: LOW, N\u0131ce to have, bu\u017fine\u017fs critical"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    connection = duckdb.connect()
+    for table in ("documents", "labels"):
+        connection.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert spark_rows(T.QUERIES[name](spark, str(tmp_path))) == duck_rows(connection, T.SQL[name])[1]
