@@ -218,3 +218,20 @@ def test_copies_are_not_paired_with_each_other(spark):
     rows = [(i, "needs seven quite different meaningful words") for i in range(3000)]
     got = {r.id: (r.n_prior, r.first_prior) for r in similarity.prior_duplicates(spark.createDataFrame(rows, "item_id long, text string")).collect()}
     assert got == {i: (i, 0) for i in range(1, 3000)}
+
+
+def test_sets_of_near_copies_move_once(spark):
+    """Each near copy pairs with each other one, but its set isn't read again for each pair; no pair is lost."""
+    from itertools import combinations
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:40] + [f"own{i}"]) for i in range(60)] + [" ".join(words[k : k + 30]) for k in range(40, 300, 3)] + [" ".join(words[:300]), " ".join(words[:260])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    for least in (0.8, 0.3):
+        want = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9}
+        found = similarity.near_pairs(docs, similarity.token_classes(docs), least=least)
+        assert {(r.a, r.b) for r in found.collect()} == want
+    ordered = spark.createDataFrame([(i, [0]) for i in range(60)], "class_id long, set array<long>")
+    dealt, held = similarity._dealt(spark.createDataFrame(list(combinations(range(60), 2)), "a long, b long"), ordered)
+    assert (dealt.count(), held.count()) == (60 * 59 // 2, 60)
