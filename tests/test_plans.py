@@ -201,3 +201,12 @@ def test_groundedness(spark):
     rows = [(1, False, [(0.4,), (0.9,)]), (2, True, [(1.5,)]), (3, False, [(0.0,)]), (4, False, []), (5, False, None)]
     got = {r.id: r.groundedness for r in gate.groundedness(spark.createDataFrame(rows, "id long, needs_review boolean, evidence array<struct<support_score:double>>").withColumn("scope", F.lit(1))).collect()}
     assert got == {1: 0.9, 2: 0.8, 3: 0.5, 4: 0.0, 5: 0.0}
+
+
+def test_every_rule_of_the_plain_gate(spark):
+    """Statements to review and stories of 8 points are issues too."""
+    from claimstone.plans import requirements as R
+
+    reqs = spark.createDataFrame([(1, "x", 1, False, True), (2, "y", 1, False, False)], "item_id long, text string, evidence long, duplicate boolean, needs_review boolean")
+    tales = spark.createDataFrame([(1, "t", ["c"], 8), (2, "t", ["c"], 5)], "item_id long, title string, criteria array<string>, points int")
+    assert sorted(tuple(r) for r in R.issues(reqs, tales).collect()) == [("requirement", 1, "requirement_incomplete", "medium"), ("story", 1, "story_too_large", "low")]
