@@ -51,6 +51,13 @@ def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 class _Block:
     """The chunks of some documents."""
 
@@ -68,24 +75,35 @@ class _Block:
         self.bytes += len(text) + 1
 
     def rows(self) -> pa.RecordBatch:
-        """One row for each language and chunk."""
-        held, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.keys]), return_counts=True)
-        docs, chunk = held & (1 << _DOC_BITS) - 1, held >> _DOC_BITS
-        first = np.flatnonzero(np.diff(chunk, prepend=-1))
-        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chunk))))
-        by_source, place = np.unique(row << 32 | np.array(self.source_of, np.int64)[docs], return_inverse=True)
-        counts = np.bincount(place, n).astype(np.int32)
+        """One row for each language and chunk; the block's keys go with it, since copies of them are most of a task's memory."""
+        held = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        self.keys.clear()
+        held.sort()
+        at = _firsts(held)
+        n, held = np.diff(np.append(at, len(held))).astype(np.int32), held[at]
+        docs, chunk = (held & (1 << _DOC_BITS) - 1).astype(np.int16), held >> _DOC_BITS
+        del held, at
+        first = _firsts(chunk)
+        by_source = np.repeat(np.arange(len(first)) << 32, np.diff(np.append(first, len(chunk))))
+        by_source |= np.array(self.source_of, np.int64)[docs]
+        order = np.argsort(by_source, kind="stable")
+        by_source = by_source[order]
+        place = _firsts(by_source)
+        counts = np.add.reduceat(n[order], place, dtype=np.int32) if len(n) else n
+        by_source = by_source[place]
+        del order, place, n
         chunks = list(self.chunks)
         plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
         names = pa.array(np.array(list(self.sources), np.int64)[by_source & 0xFFFFFFFF])
         at = chunk[first]
+        del chunk
         return pa.record_batch(
             [
                 pa.array(np.full(len(first), self.number)),
                 pa.array(list(self.langs), pa.string()).take(pa.array(at >> 46 - _DOC_BITS)),
                 pa.array(chunks, pa.binary()).take(pa.array(at & 0x7FFFFFFF)),
                 pa.array(plain[at & 0x7FFFFFFF]),
-                _lists(pa.array(docs.astype(np.int16)), first),
+                _lists(pa.array(docs), first),
                 *(_lists(x, np.flatnonzero(np.diff(by_source >> 32, prepend=-1))) for x in (names, pa.array(counts))),
             ],
             names=["block", "lang", "chunk", "plain", "docs", "sources", "counts"],

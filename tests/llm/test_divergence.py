@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -96,3 +97,17 @@ def test_sql_on_odd_rows(spark, tmp_path):
 
 def test_query(spark, sf_dir, duck):
     assert spark_rows(divergence.op11_source_divergence(spark, sf_dir)) == duck_rows(duck, divergence.SQL["op11_source_divergence"])[1]
+
+
+def test_a_blocks_rows_take_little_beside_its_keys():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(20_000)]
+    block = divergence._Block(0)
+    for _ in range(400):
+        block.add("en", r.randrange(5), " ".join(r.choices(words, k=1000)).encode())
+    keys = 8 * 400_000
+    tracemalloc.start()
+    block.rows()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7.5 * keys and not block.keys
