@@ -1,6 +1,7 @@
 """Runs of spoken sentences against an enumeration, and the choice among them against all."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,15 @@ def test_best_runs_against_all(spark):
         want[p] = (best[0], best[2])
     got = {r.pair: (r.score, r.quote) for r in E.best_runs(spark.createDataFrame(pairs, "pair int, requirement string, said string")).collect()}
     assert got == want and want[0][1].startswith("The system shall support LDAP Active. Directory")
+
+
+def test_long_recording(spark):
+    """Work grows with a recording's sentences, not with their square, and blocks of runs meet without a seam."""
+    said = " ".join(f"Clerk {k} keeps order {k} for {k % 7} days." for k in range(3000)) + " Auditors seal ledgers yearly."
+    df = spark.createDataFrame([(0, "auditors seal the ledgers yearly", said)], "pair int, requirement string, said string")
+    began = time.time()
+    runs = df.select(E.runs(F.col("said")).alias("r")).first().r
+    assert time.time() - began < 20 and runs == enumerated(said)
+    placed = df.select(F.explode(E.blocks(E.runs(F.col("said")))).alias("b")).select("b.at", "b.runs").orderBy("at").collect()
+    assert [r for b in placed for r in b.runs] == runs and all(len(b.runs) <= E.TOGETHER for b in placed)
+    assert E.best_runs(df).first().quote == "Auditors seal ledgers yearly."
