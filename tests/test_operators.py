@@ -235,3 +235,21 @@ def test_sets_of_near_copies_move_once(spark):
     ordered = spark.createDataFrame([(i, [0]) for i in range(60)], "class_id long, set array<long>")
     dealt, held = similarity._dealt(spark.createDataFrame(list(combinations(range(60), 2)), "a long, b long"), ordered)
     assert (dealt.count(), held.count()) == (60 * 59 // 2, 60)
+
+
+def test_best_matches_without_a_row_for_each_pair(spark, monkeypatch):
+    words = ["order", "clerk", "seal", "ledger", "audit", "nightly", "refund"]
+    texts = [" ".join(words[(i * k) % 7] for k in range(1 + i % 9)) for i in range(300)] + [None, " ", "none of them", "order " * 40]
+    docs = spark.createDataFrame([(3 * i % 1000, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "order clerk order"), (1, "audit ledger"), (2, None), (3, "unheard"), (None, "refund"), (5, "seal the audit nightly")], "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.select("query_id", "doc_id", "score", "rank").collect()))
+    of = {"doc_id": "doc_id", "query_id": "item_id"}
+    want = rows(retrieval.top_k(retrieval.bm25(docs, items, **of), 4))
+    got = retrieval.bm25_top_k(docs, items, 4, **of)
+    assert rows(got) == want and len(want) == 16
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "CELLS", 16)
+    assert rows(retrieval.bm25_top_k(docs, items, 4, **of)) == want
+    for odd in (docs.unionByName(docs.limit(9)), docs.withColumn("doc_id", F.col("doc_id").cast("string")), docs.unionByName(spark.createDataFrame([(None, "order")], docs.schema))):
+        assert rows(retrieval.bm25_top_k(odd, items, 4, **of)) == rows(retrieval.top_k(retrieval.bm25(odd, items, **of), 4))
+    assert rows(retrieval.bm25_top_k(docs, items.limit(0), 4, **of)) == rows(retrieval.bm25_top_k(docs.limit(0), items, 4, **of)) == []
