@@ -253,3 +253,27 @@ def test_best_matches_without_a_row_for_each_pair(spark, monkeypatch):
     for odd in (docs.unionByName(docs.limit(9)), docs.withColumn("doc_id", F.col("doc_id").cast("string")), docs.unionByName(spark.createDataFrame([(None, "order")], docs.schema))):
         assert rows(retrieval.bm25_top_k(odd, items, 4, **of)) == rows(retrieval.top_k(retrieval.bm25(odd, items, **of), 4))
     assert rows(retrieval.bm25_top_k(docs, items.limit(0), 4, **of)) == rows(retrieval.bm25_top_k(docs.limit(0), items, 4, **of)) == []
+
+
+def _written(monkeypatch) -> dict[str, int]:
+    """The rows of each table that a query of ``similarity`` writes, by label, once it ran."""
+    rows, stored = {}, similarity.stored
+
+    def counted(df, label):
+        rows[label] = rows.get(label, 0) + (out := stored(df, label)).count()
+        return out
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    return rows
+
+
+def test_statements_that_only_share_rare_words_are_not_written_as_pairs(spark, monkeypatch):
+    r, words = random.Random(4), [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(r.sample(words, 9))) for i in range(300)] + [(1000 + i, " ".join(r.sample(words, 3))) for i in range(50)]
+    rows += [(2000 + i, rows[i][1].rsplit(" ", 1)[0] + " another") for i in range(30)]
+    sets = {i: set(t.split()) for i, t in rows}
+    written = _written(monkeypatch)
+    got = {x.id: (x.n_prior, x.first_prior) for x in similarity.prior_duplicates(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    prior = {i: [j for j, b in sets.items() if j < i and (len(a & b) >= 0.9 * len(a | b) - 1e-9 or min(len(a), len(b)) >= 4 and len(a & b) >= 0.82 * min(len(a), len(b)) - 1e-9)] for i, a in sets.items()}
+    assert got == {i: (len(p), min(p)) for i, p in prior.items() if p} and len(got) >= 30
+    assert len(got) <= written["met"] < 2000  # of some 30,000 that share one
