@@ -277,3 +277,15 @@ def test_statements_that_only_share_rare_words_are_not_written_as_pairs(spark, m
     prior = {i: [j for j, b in sets.items() if j < i and (len(a & b) >= 0.9 * len(a | b) - 1e-9 or min(len(a), len(b)) >= 4 and len(a & b) >= 0.82 * min(len(a), len(b)) - 1e-9)] for i, a in sets.items()}
     assert got == {i: (len(p), min(p)) for i, p in prior.items() if p} and len(got) >= 30
     assert len(got) <= written["met"] < 2000  # of some 30,000 that share one
+
+
+def test_sets_too_different_for_a_conflict_are_not_written_as_pairs(spark, monkeypatch):
+    r, words = random.Random(5), [f"word{i}" for i in range(60)]
+    texts = [" ".join(r.sample(words, 9)) for _ in range(300)]
+    sets = {i: set(t.split()) for i, t in enumerate(texts)}
+    want = {(a, b) for a in sets for b in sets if a < b and 0.3 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.8}
+    written = _written(monkeypatch)
+    found = similarity.conflicts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(x.a, x.b) for x in found.collect()} == want and len(want) == 100
+    assert written["candidates"] < 2000  # of some 30,000 that share one
+    assert len(want) <= written["candidates"] and "dealt" not in written
