@@ -289,3 +289,27 @@ def test_sets_too_different_for_a_conflict_are_not_written_as_pairs(spark, monke
     assert {(x.a, x.b) for x in found.collect()} == want and len(want) == 100
     assert written["candidates"] < 2000  # of some 30,000 that share one
     assert len(want) <= written["candidates"] and "dealt" not in written
+
+
+def test_blocks_of_vectors_meet_two_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    r = random.Random(21)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 2) for i in range(60)] + [(60, None, 0), (61, [0.0] * 4, 1), (62, [1.0], 0), (63, [], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def cosine(a, b):
+        size = (sum(x * x for x in a or []) * sum(x * x for x in b or [])) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 9) if size and len(a) == len(b) else 0.0
+
+    full = {i: e for i, e, _ in rows if e and len(e) == 4 and any(e)}
+    for block in (5, 4096):
+        found = retrieval.cosine_pairs(v.where("vec_id < 62"), 0.5, block=block)
+        assert {(x.a, x.b) for x in found.collect()} == {(a, b) for a in full for b in full if a < b and cosine(full[a], full[b]) >= 0.5}
+        # A row of a plan with whole blocks in it would come to Python by thousands.
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        near = retrieval.cosine_top_k(v.where("vec_id < 62"), v.where("vec_id % 20 = 0 and vec_id < 60"), 3, scope_cols=("label",), block=block)
+        got = {}
+        for x in sorted(near.collect(), key=lambda x: x["rank"]):
+            got.setdefault(x.query_id, []).append(x.doc_id)
+        held = {i: e for i, e, label in rows if label == 0 and i < 62}
+        assert got == {q: sorted((d for d in held if d != q), key=lambda d: (-cosine(held[q], held[d]), d))[:3] for q in (0, 20, 40)}
