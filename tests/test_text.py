@@ -137,3 +137,13 @@ def test_words_beside_accents(spark, tmp_path, name):
     for table in ("documents", "labels"):
         connection.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     assert spark_rows(T.QUERIES[name](spark, str(tmp_path))) == duck_rows(connection, T.SQL[name])[1]
+
+
+def test_legacy_masks_hand_on_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(T, "AT_ONCE", 3)
+    texts = ["write to a.b@example.org or 555-123-4567", None, "", "card 4111 1111 1111 1111", "api_key = 'abcdef1234567890abcd'"] * 4
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "a.b@example.org", "x")], "doc_id int, text string, lang string").coalesce(1)
+    found = T.legacy_masked(docs)
+    want = docs.select("doc_id", T.mask_pii_legacy(F.coalesce("text", F.lit(""))).alias("m")).select("doc_id", "m.*")
+    assert found.dtypes == want.dtypes and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
