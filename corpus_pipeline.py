@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +14,29 @@ from claimstone.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _alone(stage: Stage) -> Stage:
+    """``stage`` with its documents written; what it kept on disk for itself goes then, whoever runs it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        path = shared_dir(spark, f"pipeline-{stage.__name__}")
+        with scratch(spark):
+            return written(stage(spark, docs, sf_dir), path)
+
+    return run
+
 
+@_alone
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), chain).where(F.col("toxicity")[len(toxicity.CATEGORIES) - 1] < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+@_alone
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays.
 
@@ -33,18 +52,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
+@_alone
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller id has are cut; every document stays."""
     cut = suffix.remove_repeats(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_alone
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     pairs, _ = contamination.find_contained(docs, table(spark, sf_dir, "benchmark"))
     return docs.select(*COLUMNS).join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
+@_alone
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix(docs)
@@ -62,13 +84,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents of ``sf_dir``.
-
-    What a stage kept on disk for itself goes once its documents are written.
-    """
+    """All stages, from the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = shared_dir(spark, f"pipeline-{name}")
-        with scratch(spark):
-            docs = written(stage(spark, docs, sf_dir), path)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -99,3 +101,18 @@ def test_stages_on_odd_rows(spark, name):
     # Null and empty texts have the same fingerprint.
     assert ids == ({1, 3, 4} if name == "near_duplicates" else {1, 2, 3, 4}) and (name == "mixing" or got.columns == COLUMNS)
     assert stage(spark, frame(spark, []), SF).count() == 0
+
+
+def test_a_stage_by_itself_leaves_only_its_documents(spark):
+    """A stage's own tables went with ``run`` only, so that stages run one by one piled them up."""
+    passage = "this passage is repeated word for word in two documents of the corpus. "
+    docs = frame(spark, [(1, "first. " + passage, "en", "a", 1), (2, "second. " + passage + "end", "en", "a", 1), (3, passage, "en", "a", 1)])
+    from claimstone import session
+
+    session.shared_dir(spark, "probe")  # may set the folder
+    root = Path(session.shared_dir(spark, "probe").removeprefix("file:")).parent
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
+        before = set(root.iterdir())
+        out = stage(spark, docs, SF)
+        made = set(root.iterdir()) - before
+        assert [p.name.rpartition("-")[0] for p in made] == [f"pipeline-{stage.__name__}"] and out.count() >= 1
