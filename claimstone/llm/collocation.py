@@ -13,7 +13,7 @@ excess of the hash that deals them), so that what is broadcast has a bound; each
 passes over all blocks.  A trie moves all positions of a block at once, digit by digit of
 a word's number: ``next = base[state] + digit``, held against ``check[next] = state``;
 positions that fall out are dropped, and accepting states are counted by ``bincount``.  The
-counts of all tasks add up to the exact number of occurrences.
+counts of all tasks, handed on as arrays, add up to the exact number of occurrences.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 INSIDE_PERCENT = 100
 UNKNOWN = "und"
 BLOCK_TOKENS, OPEN_TOKENS = 1 << 18, 1 << 22
+#: Blocks of a row group and of an Arrow batch: a task holds so many in each of its steps.
+TOGETHER = 8
 #: Bits of the arrays that hold which hashes may be frequent: 2^26 are 8 MB, less where most are 0, since they travel compressed.
 FILTER_BITS = 26
 #: Bits of a place in a block, and of a block among those of a task.
@@ -48,6 +50,8 @@ PLACE_BITS, BLOCK_BITS = 20, 16
 SEEDS = 8
 #: Candidates of a trie.
 SHARD = 200_000
+#: Counts of a trie that go together in a row.
+COUNTED = 1024
 #: Hashes or words that a task gathers before it hands on their sums, and rows that it hands on at once.
 HELD, ROWS = 1 << 20, 1 << 15
 #: Candidates that are ranked together before the best of a language are.
@@ -352,8 +356,16 @@ def _trie_counts(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterat
     counts = np.zeros(trie.n, np.int64)
     for lang, words, tokens, starts in _each(batches):
         trie.count(lang, words.to_pylist(), tokens, starts, counts)
-    some = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["no", "a"])
+    for part, at in enumerate(range(0, trie.n, COUNTED)):
+        own = counts[at : at + COUNTED]
+        yield pa.record_batch([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], names=["part", "counts"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """The sums of one part of the counts over all tasks."""
+    sums = np.sum([c.values.to_numpy() for c in parts["counts"]], axis=0)
+    some = np.flatnonzero(sums)
+    return pa.table({"no": pa.array(parts["part"][0].as_py() * COUNTED + some), "a": pa.array(sums[some])})
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -381,7 +393,7 @@ def _candidates(blocks: DataFrame, words: DataFrame, min_count: int, longest: in
     places = None
     for k in range(2, longest + 1):
         sums = blocks.mapInArrow(partial(_hash_sums, shared=shared, length=k, seed=seed), "h long, n long, place long").groupBy("h").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
-        often = stored(sums.where(F.col("n") >= min_count), "frequent-hashes")
+        often = stored(sums.where(F.col("n") >= min_count), "frequent-hashes", batch=TOGETHER)
         shared = [*shared, _shared(spark, _bits(often))]
         own = often.select(F.lit(k).cast("long").alias("k"), "n", "place")
         places = own if places is None else places.unionByName(own)
@@ -389,7 +401,7 @@ def _candidates(blocks: DataFrame, words: DataFrame, min_count: int, longest: in
         bits.unpersist()
     at = F.struct(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), "k", "n")
     asked = places.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(at).alias("asked"))
-    return stored(blocks.join(asked, "block").select("lang", "words", "tokens", "asked").mapInArrow(_names, "lang string, phrase binary, n long"), "candidates")
+    return stored(blocks.join(asked, "block").select("lang", "words", "tokens", "asked").mapInArrow(_names, "lang string, phrase binary, n long"), "candidates", batch=TOGETHER)
 
 
 def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: int, shard: int) -> DataFrame:
@@ -410,8 +422,8 @@ def frequent(blocks: DataFrame, words: DataFrame, *, min_count: int, longest: in
         for s in range(shards):
             built = dealt.where(F.col("shard") == s).select("no", "lang", "phrase").coalesce(1).mapInArrow(_built, "trie binary").first()
             trie = spark.sparkContext.broadcast(bytes(built.trie))
-            own = blocks.mapInArrow(partial(_trie_counts, shared=trie), "no long, a long").groupBy("no").agg(F.sum("a").alias("a"))
-            own = stored(own.withColumn("shard", F.lit(s).cast("long")), "trie-counts")
+            own = blocks.mapInArrow(partial(_trie_counts, shared=trie), "part long, counts array<long>").groupBy("part").applyInArrow(_added, "no long, a long")
+            own = stored(own.withColumn("shard", F.lit(s).cast("long")), "trie-counts", batch=TOGETHER)
             trie.unpersist()
             counts = own if counts is None else counts.unionByName(own)
         counted = stored(dealt.join(counts, ["shard", "no"], "left"), "counted")
@@ -434,8 +446,8 @@ def collocations(
     """
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
-    blocks = stored(encoded(docs, text_col=text_col, lang_col=lang_col, block_tokens=block_tokens), "blocks")
-    words = stored(blocks.mapInArrow(_word_counts, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "words")
+    blocks = stored(encoded(docs, text_col=text_col, lang_col=lang_col, block_tokens=block_tokens), "blocks", group=TOGETHER)
+    words = stored(blocks.mapInArrow(_word_counts, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "words", batch=TOGETHER)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     found = frequent(blocks, words, min_count=min_count, longest=longest, shard=shard).withColumn("phrase", F.col("phrase").cast("string"))
     phrases = stored(found.withColumn("w", F.split("phrase", " ")), "phrases")

@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from claimstone.llm import collocation
@@ -141,3 +142,21 @@ def test_hashes_tell_words_apart():
     assert len(set(h.tolist())) == len(words)
     assert not set(h.tolist()) & set(collocation._word_hashes("de", pa.array(words, pa.binary())).tolist())
     assert (collocation._word_hashes("en", pa.array(words, pa.binary()).slice(5, 40)) == h[5:45]).all()
+
+
+def test_few_blocks_are_in_memory_together(spark, monkeypatch):
+    """A task used to hold a row group of 128 MB of blocks when it wrote one and when it read one."""
+    asked, kept = {}, collocation.stored
+
+    def stored(df, label, **bounds):
+        asked[label] = bounds, kept(df, label, **bounds)
+        return asked[label][1]
+
+    monkeypatch.setattr(collocation, "stored", stored)
+    rows = made(200, 3)
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert got(collocation.collocations(df, min_count=10, block_tokens=3)) == naive(rows, 10)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in asked["blocks"][1].inputFiles()]
+    assert sum(g.num_rows for g in groups) > 10 * collocation.TOGETHER
+    assert all(g.row_group(i).num_rows <= collocation.TOGETHER for g in groups for i in range(g.num_row_groups))
+    assert {label for label, (bounds, _) in asked.items() if bounds.get("batch") == collocation.TOGETHER} == {"words", "frequent-hashes", "candidates", "trie-counts"}

@@ -31,6 +31,22 @@ def test_small_tables_still_are(spark):
     assert _broadcasts(spark, before)
 
 
+def test_rows_of_groups_and_batches_are_bounded(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    rows = stored(spark.range(0, 50, 1, 1), "rows", group=8)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in rows.inputFiles()]
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) == 8
+    before = spark.conf.get(session.BATCH, None)
+    n = [r.n for r in stored(rows.mapInArrow(sizes, "n long"), "sizes", batch=3).collect()]
+    assert max(n) == 3 and sum(n) == 50 and spark.conf.get(session.BATCH, None) == before
+
+
 def test_a_write_leaves_the_settings_as_they_were(spark):
     names = (session.CLEANUP, session.BROADCAST, session.ADAPTIVE)
     kept = {k: spark.conf.get(k, None) for k in names}
