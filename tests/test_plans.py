@@ -210,3 +210,22 @@ def test_every_rule_of_the_plain_gate(spark):
     reqs = spark.createDataFrame([(1, "x", 1, False, True), (2, "y", 1, False, False)], "item_id long, text string, evidence long, duplicate boolean, needs_review boolean")
     tales = spark.createDataFrame([(1, "t", ["c"], 8), (2, "t", ["c"], 5)], "item_id long, title string, criteria array<string>, points int")
     assert sorted(tuple(r) for r in R.issues(reqs, tales).collect()) == [("requirement", 1, "requirement_incomplete", "medium"), ("story", 1, "story_too_large", "low")]
+
+
+def test_each_different_text_is_described_once(spark, monkeypatch):
+    """Few texts are described by themselves, many in place; the groups are the same."""
+    texts = ["Managers approve large refunds promptly", "Managers approve large refunds promptly!", "Clerks archive closed orders every month", "", None]
+    rows = [(s, i, t, None, "speed" if i % 2 else None, "accepted", ["FR"], "Low", 0.5, False, []) for s in (1, 2, None) for i, t in enumerate(texts * 4)]
+    df, kept, known = spark.createDataFrame(rows, SCHEMA), canonical.stored, []
+
+    def stored(frame, label):
+        out = kept(frame, label)
+        if label == "known-texts":
+            known.append(out.count())
+        return out
+
+    monkeypatch.setattr(canonical, "stored", stored)
+    once = [sorted(map(tuple, x.collect()), key=str) for x in canonical.canonical(df)]
+    assert known == [4, 2, 4]
+    monkeypatch.setattr(canonical, "KNOWN", 0)
+    assert [sorted(map(tuple, x.collect()), key=str) for x in canonical.canonical(df)] == once and len(known) == 3 and len(once[1]) == 60
