@@ -19,7 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def spark():
     from claimstone.session import local_session, ship
 
-    session = local_session("tests", cpus="4", partitions=4, spark__driver__memory="4g")
+    session = local_session("tests", cpus="4", partitions=4, spark__driver__memory="4g", spark__sql__ui__retainedExecutions="5000")
     ship(session)
     yield session
     session.stop()
